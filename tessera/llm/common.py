@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch; texts can be long, so batches stay short.
@@ -73,7 +74,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BA
         if size <= most or b.num_rows == 1:
             yield b
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(b.schema.names.index(text))), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(b.column(b.schema.names.index(text))), 0).to_pylist()
         begin = total = 0
         for i, n in enumerate(lengths):
             if i > begin and total + n > most:

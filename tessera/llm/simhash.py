@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import textkern as K
 from tessera.llm.common import pick, prepare, slices, stash
@@ -71,6 +72,19 @@ def fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
     return out
 
 
+def with_fingerprint_rows(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``docs`` (its columns in the struct ``row``) with ``fp``, a signed long."""
+    prepare(docs.sparkSession)
+    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            fp = fingerprints(b.column(1).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["row", "fp"])
+
+    return base.mapInArrow(run, T.StructType([base.schema["row"], T.StructField("fp", T.LongType())]))
+
+
 def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
     """``doc_id, fp``: the fingerprint of every row, as a signed long."""
     prepare(docs.sparkSession)

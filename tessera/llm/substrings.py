@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,7 +68,7 @@ class _Group:
         """What the shards said of each key."""
         order, lo, hi = self.dealt(keys, shards)
         out = np.zeros(len(keys), np.uint8)
-        part = table.filter(pa.compute.equal(table.column("kind"), kind))
+        part = table.filter(pc.equal(table.column("kind"), kind))
         for s, bits in zip(part.column("shard").to_pylist(), part.column("bits").to_pylist(), strict=True):
             n = hi[s] - lo[s]
             got = np.unpackbits(np.frombuffer(bits, np.uint8))

@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,7 +116,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE
     def matrix(rows: pa.ListScalar, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
         part = rows.values
         ids, x = part.field("vec_id").to_numpy(zero_copy_only=False), part.field("x")
-        sizes = pa.compute.list_value_length(x).to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(x).to_numpy(zero_copy_only=False)
         flat = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         out = np.zeros((len(ids), max(int(sizes.max(initial=0)), width)))
         out[np.repeat(np.arange(len(ids)), sizes), np.concatenate([np.arange(s) for s in sizes])] = flat
