@@ -1 +1 @@
-
+"""Scalar functions and Arrow kernels over bytes, text, audio and pixels."""

@@ -1,0 +1,136 @@
+"""In-context tasks: prompts, and statistics of predicted distributions."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: SQL of each task's answer for inputs ``x`` (an array of bytes).
+TARGETS = {
+    "max": "array_max(x)",
+    "min": "array_min(x)",
+    "sum": "aggregate(x, 0, (a, v) -> (a + v) % 256)",
+    "mean": "cast(floor(aggregate(x, 0, (a, v) -> a + v) / size(x)) as int)",
+    "first": "x[0]",
+    "last": "x[size(x) - 1]",
+    "index": "x[x[0] % size(x)]",
+    "diff": "pmod(x[0] - x[1], 256)",
+    "xor": "x[0] ^ x[1]",
+    "absdiff": "abs(x[0] - x[1])",
+    "succ": "(x[0] + 1) % 256",
+    "compl": "255 - x[0]",
+    "double": "(2 * x[0]) % 256",
+    "closest": "array_min(transform(slice(x, 2, size(x) - 1), (v, i) -> struct(abs(v - x[0]) as d, i, v))).v",
+}
+#: Bytes that models prefer whatever is asked.
+PREFERRED = (0, 255, 1, 16)
+
+
+def target(task: str, column: str = "x"):
+    return F.expr(f"transform(array(`{column}`), x -> {TARGETS[task]})[0]")
+
+
+def shifted(column: str, constant):
+    """The answer of the hidden-constant task."""
+    return F.transform(F.col(column), lambda v: F.pmod(v + constant, F.lit(256)))
+
+
+def previous(demos: DataFrame) -> DataFrame:
+    """The answer of the memory task: the example's predecessor's first input."""
+    from pyspark.sql import Window
+
+    return demos.withColumn("answer", F.lag(F.col("x")[0]).over(Window.partitionBy("trial").orderBy("demo")))
+
+
+def demo_table(spark: SparkSession, m: int, k: int, trials: int = 64, seed: int = 0) -> DataFrame:
+    """``trial, demo, x``: m examples and a query (demo m) of k bytes from 1 to 255."""
+    x = np.random.default_rng(seed).integers(1, 256, (trials, m + 1, k))
+    return spark.createDataFrame([(t, d, x[t, d].tolist()) for t in range(trials) for d in range(m + 1)], "trial int, demo int, x array<int>")
+
+
+def prompts(demos: DataFrame, task: str, delimiter: int | None = 0, context: int = 4096) -> DataFrame:
+    """``trial, prompt, answer``: ``O``, then for each example the delimiter, its inputs and
+    its answer, then the query's inputs. Prompts beyond the context are left out."""
+    mark = F.array(F.lit(delimiter)) if delimiter is not None else F.expr("cast(array() as array<int>)")
+    full = demos.withColumn("answer", target(task).cast("int"))
+    last = full.groupBy("trial").agg(F.max("demo").alias("query"))
+    part = F.when(F.col("demo") < F.col("query"), F.concat(mark, "x", F.array("answer"))).otherwise(F.concat(mark, F.col("x")))
+    each = full.join(last, "trial").select("trial", "demo", "query", "answer", part.alias("part"))
+    out = each.groupBy("trial").agg(F.array_sort(F.collect_list(F.struct("demo", "part"))).alias("parts"), F.max_by("answer", "demo").alias("answer"))
+    return out.select("trial", F.expr("concat(array(79), flatten(transform(parts, p -> p.part)))").alias("prompt"), "answer").where(F.size("prompt") <= context)
+
+
+def palindrome(column: str = "x"):
+    return F.reverse(F.col(column))
+
+
+def stack_trace(spark: SparkSession, length: int, trials: int, seed: int = 0) -> DataFrame:
+    """``trial, ops`` (positive: push that byte, 0: pop) of random traces, and the byte that
+    the final pop gives, by a fold over the trace."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for t in range(trials):
+        depth, ops = 0, []
+        while len(ops) < length - 1 or not depth:
+            push = not depth or rng.random() < 0.6
+            ops.append(int(rng.integers(1, 256)) if push else 0)
+            depth += 1 if push else -1
+        rows.append((t, [*ops, 0]))
+    fold = "aggregate(slice(ops, 1, size(ops) - 1), cast(array() as array<int>), (s, o) -> if(o = 0, slice(s, 1, greatest(size(s) - 1, 0)), concat(s, array(o))))"
+    return spark.createDataFrame(rows, "trial int, ops array<int>").withColumn("answer", F.expr(f"element_at({fold}, -1)"))
+
+
+# ---- distributions: rows with ``p``, an array of 256 probabilities
+
+
+def argmax(column: str = "p"):
+    """The first place of the largest value."""
+    return (F.array_position(F.col(column), F.array_max(column)) - 1).cast("int")
+
+
+def top_k(column: str, k: int):
+    """Values below the k-th largest become null; ties with it stay."""
+    kth = F.element_at(F.sort_array(F.col(column), False), F.least(F.lit(k), F.size(column)))
+    return F.transform(F.col(column), lambda v: F.when(v >= kth, v))
+
+
+def entropy(column: str = "p"):
+    return F.aggregate(F.col(column), F.lit(0.0), lambda a, v: a - v.cast("double") * F.log2(v.cast("double") + 1e-30))
+
+
+def entropy_stats(rows: DataFrame, *by: str) -> DataFrame:
+    h = rows.select(*by, entropy().alias("h"))
+    return h.groupBy(*by).agg(F.avg("h").alias("mean"), F.expr("percentile(h, 0.25)").alias("q25"), F.expr("percentile(h, 0.75)").alias("q75"))
+
+
+def accuracy(rows: DataFrame, *by: str) -> DataFrame:
+    """``p, answer, support``: share of right answers, probability of the answer, share of
+    predictions that are in the support."""
+    pred = argmax()
+    return rows.groupBy(*by).agg(F.avg((pred == F.col("answer")).cast("double")).alias("accuracy"), F.avg(F.element_at("p", F.col("answer") + 1)).alias("p_correct"), F.avg(F.array_contains(F.col("support"), pred).cast("double")).alias("in_input"), F.count("*").alias("n"))
+
+
+def behaviour(pred, answer, context):
+    """0 correct, 1 preferred byte, 2 low four bits right, 3 a byte of the context, 4 other;
+    the first that holds."""
+    return F.when(pred == answer, 0).when(pred.isin(*PREFERRED), 1).when(pred.bitwiseAND(15) == answer.bitwiseAND(15), 2).when(F.array_contains(context, pred), 3).otherwise(4)
+
+
+def composition(rows: DataFrame, *by: str) -> DataFrame:
+    """``pred, answer, context``: the share of each behaviour."""
+    kind = rows.select(*by, behaviour(F.col("pred"), F.col("answer"), F.col("context")).alias("kind"))
+    return kind.groupBy(*by).agg(*[F.avg((F.col("kind") == i).cast("double")).alias(n) for i, n in enumerate(("correct", "preferred", "low_bits", "in_context", "other"))])
+
+
+def control(rows: DataFrame, *by: str) -> DataFrame:
+    """``pred, answer, other``: accuracy, share of other queries' bytes, within 4, mean error."""
+    off = F.abs(F.col("pred") - F.col("answer"))
+    return rows.groupBy(*by).agg(F.avg((off == 0).cast("double")).alias("accuracy"), F.avg(F.array_contains("other", F.col("pred")).cast("double")).alias("other_byte"), F.avg((off <= 4).cast("double")).alias("within_4"), F.avg(off.cast("double")).alias("mae"))
+
+
+def average_seeds(rows: DataFrame, *by: str) -> DataFrame:
+    """The mean distribution over seeds: rows ``by…, seed, p``."""
+    long = rows.select(*by, F.posexplode("p").alias("byte", "v"))
+    mean = long.groupBy(*by, "byte").agg(F.avg("v").alias("v"))
+    return mean.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("byte", "v"))).alias("s")).select(*by, F.expr("transform(s, e -> e.v)").alias("p"))

@@ -1,4 +1,567 @@
-"""The queries over the driver's tables and their DuckDB equivalents."""
+"""The queries over the driver's tables and their DuckDB equivalents.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Each entry names its columns with a kind (i: 64-bit integer, d: double rounded to six
+places, s: text, b: boolean); both sides are cast to that, so that results compare.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import signal, text
+from tessera.operators import curves, detect, frontier, melody, probes, programs, scoring, windows
+from tessera.sources.tables import arithmetic_values, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+_TYPES = {"i": "BIGINT", "s": "VARCHAR", "b": "BOOLEAN"}
+W = 255
+
+
+def query(spec: str, sql: str | None = None):
+    """Register a function (tables by name -> DataFrame) as a query, with its oracle."""
+    columns = [c.split(":") for c in spec.split()]
+
+    def add(build: Callable) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = build(lambda name: table(spark, sf_dir, name))
+            return df.select(*[(F.round(F.col(c).cast("double"), 6) if k == "d" else F.col(c).cast({"i": "bigint", "s": "string", "b": "boolean"}[k])).alias(c) for c, k in columns])
+
+        run.__name__, run.__doc__ = build.__name__, build.__doc__
+        QUERIES[build.__name__] = run
+        if sql:
+            chosen = ", ".join(f'round(CAST("{c}" AS DOUBLE), 6) AS "{c}"' if k == "d" else f'CAST("{c}" AS {_TYPES[k]}) AS "{c}"' for c, k in columns)
+            ORACLE_SQL[build.__name__] = f"SELECT {chosen} FROM (\n{sql}\n)"
+        return build
+
+    return add
+
+
+def raw_documents(t, *columns: str) -> DataFrame:
+    d = t("documents")
+    return d.select("doc_id", *columns, F.col("text").cast("binary").alias("raw"))
+
+
+def clips(t) -> DataFrame:
+    return t("documents").select(F.concat(F.lit("doc"), F.col("doc_id")).alias("name"), F.col("text").cast("binary").alias("raw"))
+
+
+# ---- windows and clips
+
+
+@query("doc_id:i idx:i digest:s", f"SELECT doc_id, i AS idx, md5(lower(substr(h, {2 * W} * i + 1, {2 * W}))) AS digest FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(strlen(text) // {W})) AS i FROM documents)")
+def window_chunks(t):
+    return windows.chunk(raw_documents(t), W).withColumn("digest", F.md5(F.lower(F.hex("payload"))))
+
+
+@query("source:s bytes:i windows:i tail_bytes:i too_short:i", f"SELECT source, sum(strlen(text)) AS bytes, sum(strlen(text) // {W}) AS windows, sum(strlen(text) % {W}) AS tail_bytes, count(*) FILTER (strlen(text) < {W}) AS too_short FROM documents GROUP BY source")
+def window_tail_stats(t):
+    return windows.tail_stats(raw_documents(t, "source"), W, "source")
+
+
+_PLAN = f"WITH c AS (SELECT 'doc' || doc_id AS name, strlen(text) // {W} AS n, sha256('doc' || doc_id) AS digest FROM documents), p AS (SELECT *, CAST(('0x' || substr(digest, 1, 16))::UBIGINT % n AS BIGINT) AS start FROM c WHERE n > 0)"
+_DRAWS = f"{_PLAN}, d AS (SELECT name, digest, n, start, unnest(range(n)) AS rnd FROM p), f AS (SELECT *, row_number() OVER (ORDER BY rnd, digest, name) - 1 AS number FROM d QUALIFY number < 1000)"
+
+
+@query("number:i name:s rnd:i chunk:i", f"{_DRAWS} SELECT number, name, rnd, (start + rnd) % n AS chunk FROM f")
+def clip_balanced_cap(t):
+    return windows.balanced_cap(clips(t), W, 1000)
+
+
+@query("name:s quota:i", f"{_DRAWS} SELECT name, count(*) AS quota FROM f GROUP BY name")
+def round_robin_quota(t):
+    return windows.round_robin_quota(clips(t), W, 1000)
+
+
+@query("number:i name:s rnd:i chunk:i", f"{_DRAWS}, q AS (SELECT name, count(*) AS quota FROM f GROUP BY name) SELECT number, name, rnd, (start + (rnd * n) // quota) % n AS chunk FROM f JOIN q USING (name)")
+def clip_spread_cap(t):
+    return windows.spread_cap(clips(t), W, 1000)
+
+
+@query("name:s k:i chunk:i", f"""{_PLAN}, q AS (SELECT *, least(n, 3) AS quota FROM p WHERE n <= 40),
+a AS (SELECT name, quota, k, (start + (k * n) // quota) % n AS chunk FROM (SELECT *, unnest(range(quota)) AS k FROM q)),
+e AS (SELECT name, quota, j, (start + j) % n AS chunk FROM (SELECT *, unnest(range(n)) AS j FROM q)),
+r AS (SELECT e.name, e.quota + row_number() OVER (PARTITION BY e.name ORDER BY j) - 1 AS k, e.chunk FROM e ANTI JOIN a ON e.name = a.name AND e.chunk = a.chunk)
+SELECT name, k, chunk FROM a UNION ALL SELECT name, k, chunk FROM r""")
+def clip_spread_order(t):
+    plan = windows.clip_plan(clips(t), W).where("n <= 40").withColumn("quota", F.least("n", F.lit(3)))
+    return windows.spread_order(plan)
+
+
+@query("shard:i idx:i digest:s", f"""WITH d AS (SELECT CAST(substr(source, 4) AS INT) AS shard, doc_id, hex(encode(text)) AS h FROM documents),
+s AS (SELECT shard, string_agg(h, '' ORDER BY doc_id) AS h, 12 + CASE WHEN shard < 10 THEN 1 ELSE 0 END AS q FROM d GROUP BY shard)
+SELECT shard, i AS idx, md5(lower(substr(h, {2 * W} * i + 1, {2 * W}))) AS digest FROM (SELECT *, unnest(range(least(q, len(h) // {2 * W}))) AS i FROM s)""")
+def shard_quota_bake(t):
+    docs = raw_documents(t, "source").withColumn("shard", F.expr("cast(substr(source, 4) as int)"))
+    return windows.shard_bake(docs, W, 250, 20).withColumn("digest", F.md5(F.lower(F.hex("payload"))))
+
+
+@query("stream:i idx:i digest:s", "SELECT stream, i AS idx, md5(lower(substr(h, 128 * i + 1, 128))) AS digest FROM (SELECT *, unnest(range(len(h) // 128)) AS i FROM (SELECT conv_id AS stream, string_agg(hex(encode(text)), '' ORDER BY turn) AS h FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id))")
+def stream_rechunk(t):
+    pieces = t("conversations").where("conv_id is not null").select(F.col("conv_id").alias("stream"), F.col("turn").alias("chunk_index"), F.col("text").cast("binary").alias("raw"))
+    return windows.rechunk(pieces, 64).withColumn("digest", F.md5(F.lower(F.hex("payload"))))
+
+
+@query("rows:i bad_rows:i first_bad:s max_token:i min_token:i", """WITH b AS (SELECT item_id, [ascii(c) for c in regexp_extract_all(text, '[\\x00-\\x7F]')] AS s FROM benchmark)
+SELECT count(*) AS rows, count(*) FILTER (len(s) <> 200) AS bad_rows, min(CASE WHEN len(s) <> 200 THEN 'b' || item_id END) AS first_bad, max(list_max(s)) AS max_token, min(list_min(s)) AS min_token FROM b""")
+def validate_windows(t):
+    rows = t("benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("id"), F.regexp_replace("text", r"[^\x00-\x7F]", "").cast("binary").alias("raw"))
+    return windows.validate_windows(rows.select("id", windows.bytes_of("raw").alias("sequence")), 200)
+
+
+@query("doc_id:i fits:b", "SELECT doc_id, regexp_full_match(text, '(?s)[\\x00-\\x7F]*') AS fits FROM documents")
+def vocab_check(t):
+    return t("documents").select("doc_id", (F.octet_length("text") == F.char_length("text")).alias("fits"))
+
+
+@query("doc_id:i idx:i", f"SELECT doc_id, i AS idx FROM (SELECT doc_id, unnest(range(strlen(text) // {W})) AS i FROM documents) WHERE i % 4 = 1")
+def strided_shard(t):
+    return windows.strided_shard(windows.chunk(raw_documents(t), W), 1, 4)
+
+
+@query("doc_id:i idx:i", f"SELECT doc_id, i AS idx FROM (SELECT doc_id, unnest(range(strlen(text) // {W})) AS i FROM documents) WHERE i < 2")
+def first_n_cap(t):
+    return windows.first_n(windows.chunk(raw_documents(t), W), 2)
+
+
+@query("conv_id:i idx:i total:i", "SELECT conv_id, i AS idx, list_sum(s[4 * i + 1:4 * i + 4]) AS total FROM (SELECT *, unnest(range(len(s) // 4)) AS i FROM (SELECT conv_id, list(strlen(text) ORDER BY turn) AS s FROM conversations GROUP BY conv_id))")
+def token_chunks(t):
+    rows = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.octet_length("text").alias("n")))).alias("s"))
+    cut = windows.chunk_tokens(rows.select("conv_id", F.expr("transform(s, x -> x.n)").alias("sequence")), 4)
+    return cut.withColumn("total", F.expr("aggregate(sequence, 0, (a, v) -> a + v)"))
+
+
+@query("doc_id:i tagged:s input_last:i target_first:i", "SELECT doc_id, md5('4f' || lower(substr(hex(encode(text)), 1, 40))) AS tagged, CAST(('0x' || substr(hex(encode(text)), 37, 2)) AS INT) AS input_last, CAST(('0x' || substr(hex(encode(text)), 3, 2)) AS INT) AS target_first FROM documents WHERE strlen(text) >= 20")
+def prefix_shift(t):
+    """The tag byte before a window, and the shift to inputs and targets."""
+    first = windows.first_n(windows.chunk(raw_documents(t), 20), 1).withColumn("values", windows.bytes_of("payload")).withColumn("x", windows.input_target("values"))
+    return first.select("doc_id", F.md5(F.lower(F.hex(windows.add_tag("payload")))).alias("tagged"), F.element_at("x.input", -1).alias("input_last"), F.element_at("x.target", 1).alias("target_first"))
+
+
+# ---- joins, sets, fingerprints
+
+
+@query("source:s quality:i n:i", "SELECT source, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def label_join(t):
+    return t("documents").select("doc_id", "source").join(t("labels"), "doc_id").groupBy("source", "quality").agg(F.count("*").alias("n"))
+
+
+@query("doc_id:i", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def label_anti_join(t):
+    return t("documents").select("doc_id").join(t("labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("item_id:i sha256:s md5:s sha1:s size:i", "SELECT item_id, sha256(text) AS sha256, md5(text) AS md5, sha1(text) AS sha1, strlen(text) AS size FROM benchmark")
+def content_fingerprint(t):
+    return t("benchmark").select("item_id", *[c.alias(n) for n, c in text.pins("text").items()])
+
+
+@query("kind:s n:i", """SELECT 'unlabelled' AS kind, count(*) AS n FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+UNION ALL SELECT 'unknown', count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)
+UNION ALL SELECT 'both', count(*) FROM (SELECT doc_id FROM labels INTERSECT SELECT doc_id FROM documents)
+UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM labels UNION SELECT doc_id FROM documents)""")
+def coverage_set_ops(t):
+    d, lab = t("documents").select("doc_id"), t("labels").select("doc_id")
+    parts = {"unlabelled": d.subtract(lab), "unknown": lab.subtract(d), "both": lab.intersect(d), "either": lab.union(d).distinct()}
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("text_md5:s doc_id:i", "SELECT md5(text) AS text_md5, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def dedupe_first_seen(t):
+    return t("documents").groupBy(F.md5(F.col("text").cast("binary")).alias("text_md5")).agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("page_id:i digest:s", r"SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS digest FROM pages WHERE instr(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<!--') = 0")
+def comment_strip_normalize(t):
+    closed = F.instr(F.regexp_replace("html", "(?s)<!--.*?-->", ""), "<!--") == 0
+    return t("pages").where(closed).select("page_id", F.md5(text.strip_comments("html", "<!--", "-->").cast("binary")).alias("digest"))
+
+
+@query("item_id:i i:i ch:s first:i size:i", "SELECT item_id, i - 1 AS i, text[i] AS ch, strlen(text[1:i - 1]) AS first, strlen(text[i]) AS size FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM (SELECT item_id, left(text, 120) AS text FROM benchmark))")
+def utf8_byte_spans(t):
+    spans = t("benchmark").select("item_id", F.expr("left(text, 120)").alias("text")).select("item_id", F.posexplode(text.byte_spans("text")).alias("i", "s"))
+    return spans.select("item_id", "i", "s.ch", "s.first", "s.size")
+
+
+# ---- scores
+
+_PAIRS = f"""WITH w AS (SELECT doc_id, lang, substr(hex(encode(text)), {2 * W} * i + 1, {2 * W}) AS h FROM (SELECT doc_id, lang, text, unnest(range(strlen(text) // {W})) AS i FROM documents)),
+b AS (SELECT doc_id % 2 AS test, lang, CASE WHEN j = 0 THEN '4F' ELSE substr(h, 2 * j - 1, 2) END AS prev, substr(h, 2 * j + 1, 2) AS byte FROM (SELECT *, unnest(range({W})) AS j FROM w)),
+c AS (SELECT test, lang, prev, byte, count(*) AS n FROM b GROUP BY ALL),
+m AS (SELECT prev, byte, sum(n) AS pair FROM c WHERE test = 0 GROUP BY ALL), x AS (SELECT prev, sum(n) AS total FROM c WHERE test = 0 GROUP BY ALL),
+s AS (SELECT lang, n, -log2((coalesce(pair, 0) + 0.5) / (coalesce(total, 0) + 128.0)) AS bits FROM c LEFT JOIN m USING (prev, byte) LEFT JOIN x USING (prev) WHERE test = 1)"""
+
+
+def _bigram(t, *by):
+    docs = raw_documents(t, "lang").where("doc_id is not null").select((F.col("doc_id") % 2).alias("test"), "lang", "raw")
+    counts = scoring.pair_counts(docs, W, "test", "lang")
+    return scoring.bigram_bits(counts.where("test = 0"), counts.where("test = 1"), *by)
+
+
+@query("bpb:d n_bytes:i", f"{_PAIRS} SELECT sum(n * bits) / sum(n) AS bpb, sum(n) AS n_bytes FROM s")
+def ngram_bpb(t):
+    return _bigram(t)
+
+
+@query("lang:s bpb:d n_bytes:i", f"{_PAIRS} SELECT lang, sum(n * bits) / sum(n) AS bpb, sum(n) AS n_bytes FROM s GROUP BY lang")
+def ngram_bpb_by_lang(t):
+    return _bigram(t, "lang")
+
+
+@query("lang:s entropy:d distinct_bytes:i", f"{_PAIRS}, u AS (SELECT lang, byte, sum(n) AS n FROM c GROUP BY ALL), v AS (SELECT lang, n, sum(n) OVER (PARTITION BY lang) AS total FROM u) SELECT lang, -sum(n / total * log2(n / total)) AS entropy, count(*) AS distinct_bytes FROM v GROUP BY lang")
+def byte_histogram_entropy(t):
+    from pyspark.sql import Window
+
+    counts = scoring.pair_counts(raw_documents(t, "lang"), W, "lang").groupBy("lang", "byte").agg(F.sum("n").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
+    return counts.withColumn("p", share).groupBy("lang").agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), F.count("*").alias("distinct_bytes"))
+
+
+@query("l_orderkey:i mean_ce:d", "SELECT l_orderkey, sum(CASE WHEN l_linenumber - 1 < l_orderkey % 5 THEN l_discount ELSE 0 END) / greatest(count(*) FILTER (l_linenumber - 1 < l_orderkey % 5), 1) AS mean_ce FROM lineitem GROUP BY l_orderkey")
+def masked_ce(t):
+    rows = t("lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("pos"), F.col("l_discount").alias("ce"), (F.col("l_orderkey") % 5).alias("length"))
+    return scoring.masked_mean(rows, "l_orderkey")
+
+
+@query("l_returnflag:s seq_ce:d loss:d bpb:d n_seqs:i", "SELECT l_returnflag, avg(l_discount) AS seq_ce, sum(l_discount * l_quantity) / sum(l_quantity) AS loss, sum(l_discount * l_quantity) / sum(l_quantity) / ln(2.0) AS bpb, count(*) AS n_seqs FROM lineitem GROUP BY l_returnflag")
+def loss_sums(t):
+    return scoring.loss_sums(t("lineitem").select("l_returnflag", F.col("l_discount").alias("ce"), F.col("l_quantity").alias("length")), "l_returnflag")
+
+
+_PROBS = "p AS (SELECT (vec_id // 4) % 3 AS corpus, vec_id // 4 AS item, vec_id % 4 AS seed, 1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))) AS p FROM embeddings)"
+_ENSEMBLE = f"WITH {_PROBS}, k AS (SELECT unnest(range(1, 16)) AS mask), a AS (SELECT corpus, item, mask, avg(p) AS p FROM p, k WHERE (mask >> seed) & 1 = 1 GROUP BY ALL), e AS (SELECT corpus, mask, avg(-log2(greatest(p, 1e-30))) AS bpb FROM a GROUP BY ALL)"
+
+
+def probabilities(t):
+    return t("embeddings").select(F.expr("(vec_id div 4) % 3").alias("corpus"), F.expr("vec_id div 4").alias("item"), F.expr("vec_id % 4").alias("seed"), F.expr("1 / (1 + exp(-cast(embedding[0] as double)))").alias("p"))
+
+
+@query("corpus:i seed:i bpb:d", f"WITH {_PROBS} SELECT corpus, seed, avg(-log2(greatest(p, 1e-30))) AS bpb FROM p GROUP BY ALL")
+def bits_per_byte(t):
+    return scoring.bits_per_byte(probabilities(t), "corpus", "seed")
+
+
+@query("corpus:i K:i bpb:d", f"{_ENSEMBLE} SELECT corpus, bit_count(CAST(mask AS INT)) AS K, avg(bpb) AS bpb FROM e GROUP BY ALL")
+def per_k_ensemble(t):
+    return scoring.per_k(probabilities(t), 4, "corpus")
+
+
+@query("corpus:i mean:d sd:d median:d subsets:i", f"{_ENSEMBLE} SELECT corpus, avg(bpb) AS mean, stddev_samp(bpb) AS sd, median(bpb) AS median, count(*) AS subsets FROM e WHERE bit_count(CAST(mask AS INT)) = 2 GROUP BY corpus")
+def subset_stats(t):
+    return scoring.subset_stats(probabilities(t), 4, 2, "corpus")
+
+
+# ---- trajectories and frontiers
+
+_TRAJ = """WITH g AS (SELECT 'r' || (l_suppkey % 6) AS rung, 65728 * (1 + l_suppkey % 6) * (1 + l_suppkey % 6) AS N, 256 * (l_partkey % 24) AS round, l_returnflag AS corpus, CAST(l_linenumber AS BIGINT) AS K,
+ sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, sum(CAST(round(l_quantity) AS BIGINT)) AS quantity, 1 + (l_suppkey % 6 + l_partkey % 24) % 5 AS n_seeds FROM lineitem GROUP BY ALL),
+traj AS (SELECT rung, N, round, corpus, K, 1 + cents / (quantity * 100000.0) + 8.0 / (1 + round) AS bpb, n_seeds FROM g),
+ax AS (SELECT *, CAST(K AS DOUBLE) * N * 1536 * 4096 * (round + 1) AS C FROM traj WHERE round <> 0)"""
+
+
+def trajectory(t):
+    """A trajectory-shaped table made of order lines."""
+    g = t("lineitem").groupBy(F.expr("l_suppkey % 6").alias("s"), F.expr("l_partkey % 24").alias("p"), F.col("l_returnflag").alias("corpus"), F.col("l_linenumber").cast("bigint").alias("K"))
+    g = g.agg(F.sum(F.expr("cast(round(l_extendedprice * 100) as bigint)")).alias("cents"), F.sum(F.expr("cast(round(l_quantity) as bigint)")).alias("quantity"))
+    return g.selectExpr("concat('r', s) AS rung", "65728 * (1 + s) * (1 + s) AS N", "256 * p AS round", "corpus", "K", "1 + cents / (quantity * 100000.0D) + 8.0D / (1 + 256 * p) AS bpb", "1 + (s + p) % 5 AS n_seeds")
+
+
+def axis(t):
+    return frontier.compute_axis(frontier.selection(trajectory(t)))
+
+
+@query("rung:s rounds:i max_seeds:i last_round:i corpora:i", f"{_TRAJ} SELECT rung, count(DISTINCT round) AS rounds, max(n_seeds) AS max_seeds, max(round) AS last_round, count(DISTINCT corpus) AS corpora FROM traj GROUP BY rung")
+def trajectory_rollup(t):
+    return frontier.rollup(trajectory(t))
+
+
+@query("rung:s round:i corpus:s K:i bpb:d", f"{_TRAJ} SELECT * FROM traj WHERE n_seeds >= 3")
+def min_seed_filter(t):
+    return frontier.min_seeds(trajectory(t))
+
+
+@query("rung:s corpus:s round:i K:i bpb:d", f"{_TRAJ} SELECT DISTINCT ON (rung, corpus) rung, corpus, round, K, bpb FROM traj WHERE K <= 4 ORDER BY rung, corpus, round DESC, K DESC")
+def final_round_pick(t):
+    return frontier.final_round(trajectory(t))
+
+
+@query("rung:s round:i corpus:s K:i C:d", f"{_TRAJ} SELECT rung, round, corpus, K, C / 1e15 AS C FROM ax")
+def compute_axis(t):
+    return axis(t).withColumn("C", F.col("C") / 1e15)
+
+
+_FRONT = "SELECT corpus, C, bpb FROM (SELECT *, min(bpb) OVER (PARTITION BY corpus ORDER BY C ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT corpus, C, min(bpb) AS bpb FROM ax GROUP BY ALL)) WHERE m IS NULL OR bpb < m"
+
+
+@query("corpus:s C:d bpb:d", f"{_TRAJ} SELECT corpus, C / 1e15 AS C, bpb FROM ({_FRONT})")
+def pareto_front(t):
+    return frontier.pareto(axis(t), "corpus").withColumn("C", F.col("C") / 1e15)
+
+
+@query("corpus:s C:d bpb:d", f"{_TRAJ} SELECT corpus, C / 1e15 AS C, bpb FROM ({_FRONT})")
+def two_level_frontier(t):
+    return frontier.two_level(axis(t)).withColumn("C", F.col("C") / 1e15)
+
+
+@query("rung:s round:i corpus:s K:i bpb:d", f"{_TRAJ}, o AS (SELECT *, dense_rank() OVER (PARTITION BY rung ORDER BY round) - 1 AS nth FROM traj WHERE round <> 0 AND rung <> 'r5' AND K <= 4) SELECT rung, round, corpus, K, bpb FROM o WHERE nth % 3 = 0")
+def frontier_stride(t):
+    return frontier.selection(trajectory(t), omit=("r5",), stride=3, most_k=4)
+
+
+@query("corpus:s amplitude:d alpha:d log_r2:d n_points:i", f"{_TRAJ}, f AS ({_FRONT}) SELECT corpus, exp(regr_intercept(ln(bpb), ln(C))) AS amplitude, -regr_slope(ln(bpb), ln(C)) AS alpha, regr_r2(ln(bpb), ln(C)) AS log_r2, count(*) AS n_points FROM f GROUP BY corpus HAVING count(*) >= 3")
+def loglog_power_fit(t):
+    return frontier.power_fit(frontier.pareto(axis(t), "corpus"), "corpus")
+
+
+@query("corpus:s alpha:d amplitude:d floor:d n_points:i", f"""{_TRAJ}, f AS ({_FRONT}), a AS (SELECT round(0.05 * i, 2) AS alpha FROM (SELECT unnest(range(1, 41)) AS i)), x AS (SELECT corpus, alpha, pow(C / 1e15, -alpha) AS x, bpb AS y FROM f, a),
+r AS (SELECT corpus, alpha, regr_slope(y, x) AS amplitude, regr_intercept(y, x) AS floor, greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0) AS sse, count(*) AS n_points FROM x GROUP BY ALL)
+SELECT DISTINCT ON (corpus) * FROM r WHERE amplitude >= 0 AND floor >= 0 ORDER BY corpus, sse, alpha""")
+def floor_power_fit(t):
+    grid = [round(0.05 * i, 2) for i in range(1, 41)]
+    return frontier._grid_fit(frontier.pareto(axis(t), "corpus"), ("corpus",), grid, 1e15, True)
+
+
+_ARMS = "SELECT corpus, CASE WHEN rung IN ('r0', 'r1') THEN 'selfplay' WHEN rung IN ('r2', 'r3') THEN 'uniform' ELSE 'pcfg' END AS arm, C, bpb FROM ax"
+
+
+def arms(t):
+    return axis(t).withColumn("arm", F.when(F.col("rung").isin("r0", "r1"), "selfplay").when(F.col("rung").isin("r2", "r3"), "uniform").otherwise("pcfg"))
+
+
+@query("corpus:s selfplay:d uniform:d pcfg:d reduction:d rank:i", f"""{_TRAJ}, b AS (SELECT corpus, min(bpb) FILTER (arm = 'selfplay') AS selfplay, min(bpb) FILTER (arm = 'uniform') AS uniform, min(bpb) FILTER (arm = 'pcfg') AS pcfg FROM ({_ARMS}) WHERE C <= 1e17 GROUP BY corpus)
+SELECT *, 1 - selfplay / least(uniform, pcfg) AS reduction, rank() OVER (ORDER BY 1 - selfplay / least(uniform, pcfg) DESC NULLS LAST) AS rank FROM b""")
+def common_compute_reduction(t):
+    return frontier.common_compute(arms(t), 1e17)
+
+
+@query("corpus:s r0:d r1:d r2:d best:s", f"""{_TRAJ}, v AS (SELECT corpus, arg_max(bpb, round * 100 + K) FILTER (rung = 'r0') AS r0, arg_max(bpb, round * 100 + K) FILTER (rung = 'r1') AS r1, arg_max(bpb, round * 100 + K) FILTER (rung = 'r2') AS r2 FROM traj WHERE K <= 4 GROUP BY corpus)
+SELECT *, concat_ws(',', CASE WHEN round(r0, 2) = least(round(r0, 2), round(r1, 2), round(r2, 2)) THEN 'r0' END, CASE WHEN round(r1, 2) = least(round(r0, 2), round(r1, 2), round(r2, 2)) THEN 'r1' END, CASE WHEN round(r2, 2) = least(round(r0, 2), round(r1, 2), round(r2, 2)) THEN 'r2' END) AS best FROM v""")
+def ablation_pivot(t):
+    finals = frontier.final_round(trajectory(t)).where(F.col("rung").isin("r0", "r1", "r2"))
+    return frontier.ablation_pivot(finals.withColumnRenamed("rung", "arm").select("arm", "corpus", "bpb"), ["r0", "r1", "r2"])
+
+
+# ---- curves (each user's event values, in order)
+
+_CURVES = "WITH q AS (SELECT user_id AS curve, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value AS y FROM events), n AS (SELECT curve, max(i) AS last FROM q GROUP BY curve)"
+_AROUND = "a AS (SELECT q.curve, q.i, d, v.y FROM (SELECT *, unnest(range(-{h}, {h} + 1)) AS d FROM q) q JOIN n USING (curve) JOIN q v ON v.curve = q.curve AND v.i = least(greatest(q.i + d, 0), n.last))"
+
+
+def event_curves(t):
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t("events").select(F.col("user_id").alias("curve"), (F.row_number().over(by) - 1).alias("i"), F.col("value").alias("y"))
+
+
+@query("curve:i i:i y:d", f"{_CURVES}, {_AROUND.format(h=16)} SELECT curve, i, median(y) AS y FROM a GROUP BY ALL")
+def median_filter_edge(t):
+    return curves.median_filter(event_curves(t))
+
+
+@query("curve:i area:d", f"{_CURVES}, {_AROUND.format(h=16)}, m AS (SELECT curve, i, median(y) AS y FROM a GROUP BY ALL), e AS (SELECT curve, i, min(y) OVER (PARTITION BY curve ORDER BY i) AS e FROM m), s AS (SELECT curve, e, lead(e) OVER (PARTITION BY curve ORDER BY i) AS f, min(e) OVER (PARTITION BY curve) AS z FROM e) SELECT curve, coalesce(sum((e + f) / 2 - z), 0) AS area FROM s GROUP BY curve")
+def robust_area(t):
+    return curves.robust_area(event_curves(t))
+
+
+@query("curve:i i:i y:d", f"{_CURVES}, {_AROUND.format(h=15)}, w AS (SELECT *, 0.5 - 0.5 * cos(2 * pi() * (d + 15) / 30) AS w FROM a) SELECT curve, i, sum(w * y) / 15.0 AS y FROM w GROUP BY ALL")
+def hann_smooth(t):
+    return curves.hann_smooth(event_curves(t))
+
+
+@query("arm:i g:i mean:d low:d high:d", """WITH q AS (SELECT user_id % 3 AS arm, user_id AS seed, floor(epoch(ts)) / 3600.0 AS x, avg(value) AS y FROM events GROUP BY ALL), o AS (SELECT *, x - min(x) OVER () AS h FROM q),
+s AS (SELECT *, lead(h) OVER w AS h1, lead(y) OVER w AS y1 FROM o WINDOW w AS (PARTITION BY arm, seed ORDER BY h)), g AS (SELECT i AS g, 7.5 * i AS gx FROM (SELECT unnest(range(60)) AS i)),
+v AS (SELECT arm, seed, g, CASE WHEN h1 IS NULL THEN y ELSE y + (y1 - y) * (gx - h) / (h1 - h) END AS y FROM s JOIN g ON gx >= h AND (h1 IS NULL OR gx < h1))
+SELECT arm, g, avg(y) AS mean, min(y) AS low, max(y) AS high FROM v GROUP BY ALL""")
+def interp_hold_last(t):
+    hours = t("events").groupBy((F.col("user_id") % 3).alias("arm"), F.col("user_id").alias("seed"), (F.unix_timestamp("ts") / 3600.0).alias("t")).agg(F.avg("value").alias("y"))
+    first = hours.agg(F.min("t").alias("t0"))
+    points = hours.crossJoin(F.broadcast(first)).select("arm", "seed", (F.col("t") - F.col("t0")).alias("x"), "y")
+    return curves.band(curves.interpolate(points, [7.5 * i for i in range(60)]))
+
+
+@query("arm:i seed:i v:d outlier:b", """WITH v AS (SELECT p_partkey % 7 AS arm, p_partkey AS seed, CASE WHEN p_partkey % 97 = 5 THEN 9 ELSE 1 END * p_retailprice AS v FROM part WHERE p_partkey < 300),
+o AS (SELECT a.arm, a.seed, a.v, median(b.v) AS m FROM v a JOIN v b ON a.arm = b.arm AND a.seed <> b.seed GROUP BY ALL)
+SELECT arm, seed, v, v > 2.5 * m AND v > 1.1 * (SELECT max(x.v) FROM v x WHERE x.v <> o.v) AS outlier FROM o""")
+def leave_one_out_outlier(t):
+    v = t("part").where("p_partkey < 300").select((F.col("p_partkey") % 7).alias("arm"), F.col("p_partkey").alias("seed"), (F.when(F.col("p_partkey") % 97 == 5, 9).otherwise(1) * F.col("p_retailprice")).alias("v"))
+    return curves.outliers(v)
+
+
+# ---- programs and families
+
+#: Programs that are run: letters of the machine, with and without macros and terminator.
+PROGRAMS = ["S+[.++]", "S++[.+++]F", "SX[.-]", "S+++++[>+++<-]>.", "S]][[.+.", "SX>+++[<.>-]", "S+.>+.<[.>.<]", "SRCWGHVLNZ.", "S,.,.,.", "SxyzF.....", "S"]
+
+
+def program_table(t):
+    spark = t("region").sparkSession
+    return spark.createDataFrame([(i, bytearray(p.encode())) for i, p in enumerate(PROGRAMS)], "id long, program binary")
+
+
+@query("id:i code:s n_written:i steps:i output:s")
+def vm_run(t):
+    return programs.run(program_table(t), output_length=64).withColumn("output", F.lower(F.hex("output")))
+
+
+@query("id:i size:i head:s n_written:i")
+def vm_training_rows(t):
+    rows = programs.training_rows(programs.run(program_table(t), output_length=255), 256)
+    return rows.select("id", F.octet_length("row").alias("size"), F.lower(F.hex(F.expr("substring(row, 1, 16)"))).alias("head"), "n_written")
+
+
+_TAPES = "WITH f AS (SELECT p_partkey AS id, list_transform(range(400), lambda n: CASE p_partkey % 4 WHEN 0 THEN (p_size * n + 7) % 256 WHEN 1 THEN (2 * n * n + p_size * n + 1) % 256 WHEN 2 THEN (n * n * n + p_size * n + 5) % 256 ELSE (n * n * n * n + p_size) % 256 END) AS tape FROM part WHERE p_partkey < 200)"
+
+
+def tapes(t):
+    kind = F.expr("transform(sequence(0, 399), n -> cast(case p_partkey % 4 when 0 then (p_size * n + 7) % 256 when 1 then (2 * n * n + p_size * n + 1) % 256 when 2 then (cast(n as bigint) * n * n + p_size * n + 5) % 256 else (cast(n as bigint) * n * n * n + p_size) % 256 end as int))")
+    return t("part").where("p_partkey < 200").select(F.col("p_partkey").alias("id"), kind.alias("tape"))
+
+
+_D = "list_transform(range(1, {n}), lambda i: (({x}[i + 1] - {x}[i]) % 256 + 256) % 256)"
+
+
+@query("id:i degree:i", f"""{_TAPES}, a AS (SELECT id, {_D.format(n=400, x="tape")} AS d1 FROM f), b AS (SELECT *, {_D.format(n=399, x="d1")} AS d2 FROM a), c AS (SELECT *, {_D.format(n=398, x="d2")} AS d3 FROM b)
+SELECT id, CASE WHEN len(list_distinct(d1)) = 1 THEN 1 WHEN len(list_distinct(d2)) = 1 THEN 2 WHEN len(list_distinct(d3)) = 1 THEN 3 END AS degree FROM c""")
+def finite_difference_orders(t):
+    return tapes(t).select("id", detect.polynomial_order("tape").alias("degree"))
+
+
+@query("id:i family:s start_offset:i period:i params:s")
+def detect_families(t):
+    return detect.scan(tapes(t))
+
+
+_HITS = "WITH h AS (SELECT event_type AS family, 'r' || (user_id % 6) AS rung, event_id // 10 AS round FROM events), n AS (SELECT 'r' || i AS rung, 65728 * (i + 1) AS N FROM (SELECT unnest(range(6)) AS i)), g AS (SELECT family, rung, min(round) AS round, any_value(N) AS N FROM h JOIN n USING (rung) GROUP BY family, rung)"
+
+
+@query("family:s first_rung:s first_round:i smallest_rung:s rungs:i", f"{_HITS} SELECT family, arg_min(rung, round * 10000000 + N) AS first_rung, min(round) AS first_round, arg_min(rung, N) AS smallest_rung, count(*) AS rungs FROM g GROUP BY family")
+def first_discovery(t):
+    spark = t("region").sparkSession
+    rungs = spark.createDataFrame([(f"r{i}", 65728 * (i + 1)) for i in range(6)], "rung string, N long")
+    hits = t("events").select(F.col("event_type").alias("family"), F.concat(F.lit("r"), F.col("user_id") % 6).alias("rung"), F.expr("event_id div 10").alias("round"))
+    return detect.first_discovery(hits, rungs)
+
+
+@query("family:s hits:i bound:b mean_rounds:d median_rounds:d", """WITH c AS (SELECT event_type AS family, count(*) FILTER (value > 95) AS hits, count(*) * 1000 AS programs FROM events GROUP BY 1 UNION ALL SELECT 'none', 0, 164300000)
+SELECT family, hits, hits = 0 AS bound, 1 / (1024 * CASE WHEN hits > 0 THEN hits / programs ELSE 3.0 / programs END) AS mean_rounds, ln(2.0) / (1024 * CASE WHEN hits > 0 THEN hits / programs ELSE 3.0 / programs END) AS median_rounds FROM c""")
+def rule_of_three(t):
+    c = t("events").groupBy(F.col("event_type").alias("family")).agg(F.count_if(F.col("value") > 95).alias("hits"), (F.count("*") * 1000).alias("programs"))
+    none = t("region").sparkSession.createDataFrame([("none", 0, 164_300_000)], "family string, hits long, programs long")
+    return detect.expected_rounds(c.unionByName(none).withColumn("per_round", F.lit(1024)))
+
+
+# ---- melodies (events as notes)
+
+_NOTES = "WITH nt AS (SELECT user_id AS piece, event_id AS nid, CAST(floor(value) AS BIGINT) % 128 AS pitch, event_id % 40000 AS raw, (2 * (event_id % 40000) * 4 + 480) // 960 AS start, (2 * (event_id % 40000 + event_id % 1500) * 4 + 480) // 960 AS stop FROM events WHERE user_id < 40)"
+_TOKENS = f"""{_NOTES}, c AS (SELECT piece, cell, arg_max(pitch, r) AS pitch, arg_max(nid, r) AS nid FROM (SELECT *, unnest(range(start, least(stop, 4095))) AS cell, pitch * 1000000000000 + raw * 1000000 + nid AS r FROM nt WHERE stop > start) GROUP BY ALL),
+l AS (SELECT piece, least(max(stop), 4095) AS n FROM nt WHERE stop > start GROUP BY piece), g AS (SELECT piece, unnest(range(n)) AS cell FROM l),
+k AS (SELECT g.piece, g.cell, CASE WHEN nid IS NULL THEN 129 WHEN nid = lag(nid) OVER (PARTITION BY g.piece ORDER BY g.cell) THEN 128 ELSE pitch END AS token FROM g LEFT JOIN c USING (piece, cell))"""
+
+
+def notes(t):
+    e = t("events").where("user_id < 40").selectExpr("user_id AS piece", "event_id AS nid", "cast(floor(value) as bigint) % 128 AS pitch", "event_id % 40000 AS raw", "event_id % 40000 + event_id % 1500 AS last")
+    return e.withColumn("start", melody.quantize(F.col("raw"), 480)).withColumn("stop", melody.quantize(F.col("last"), 480))
+
+
+@query("piece:i cell:i token:i", f"{_TOKENS} SELECT * FROM k")
+def skyline_melody(t):
+    return melody.skyline(notes(t))
+
+
+@query("piece:i start:i stop:i pitch:i", f"{_TOKENS}, i AS (SELECT *, sum(CASE WHEN token <> 128 THEN 1 ELSE 0 END) OVER (PARTITION BY piece ORDER BY cell) AS g FROM k) SELECT piece, min(cell) AS start, max(cell) + 1 AS stop, arg_min(token, cell) AS pitch FROM i GROUP BY piece, g HAVING arg_min(token, cell) <= 127")
+def melody_to_notes(t):
+    return melody.to_notes(melody.skyline(notes(t)))
+
+
+@query("piece:i onsets:i holds:i rests:i ends:i lowest:i highest:i", f"{_TOKENS} SELECT piece, count(*) FILTER (token <= 127) AS onsets, count(*) FILTER (token = 128) AS holds, count(*) FILTER (token = 129) AS rests, count(*) FILTER (token = 130) AS ends, min(token) FILTER (token <= 127) AS lowest, max(token) FILTER (token <= 127) AS highest FROM k GROUP BY piece")
+def melody_token_stats(t):
+    return melody.token_stats(melody.skyline(notes(t)))
+
+
+# ---- pixels, audio, arithmetic
+
+
+@query("vec_id:i i:i v:i", "SELECT vec_id, i, v FROM (SELECT vec_id, unnest(range(63)) AS i, unnest(list_transform(range(63), lambda i: CAST(floor(CAST(embedding[(i % 3) * 21 + i // 3 + 1] AS DOUBLE) * 100) AS BIGINT))) AS v FROM embeddings)")
+def hwc_interleave(t):
+    rows = t("embeddings").withColumn("planar", F.expr("transform(slice(embedding, 1, 63), v -> cast(floor(cast(v as double) * 100) as bigint))"))
+    return rows.select("vec_id", F.posexplode(signal.interleave("planar")).alias("i", "v"))
+
+
+@query("vec_id:i total:i least:i most:i", "WITH q AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor((least(greatest(CAST(v AS DOUBLE) * 32768, -32768), 32767) + 32768) / 256) AS BIGINT)) AS q FROM embeddings) SELECT vec_id, list_sum(q) AS total, list_min(q) AS least, list_max(q) AS most FROM q")
+def pcm8_quantize(t):
+    q = t("embeddings").select("vec_id", F.transform("embedding", signal.pcm8).alias("q"))
+    return q.select("vec_id", F.expr("aggregate(q, 0, (a, v) -> a + v)").alias("total"), F.array_min("q").alias("least"), F.array_max("q").alias("most"))
+
+
+@query("id:i total:i first:i last:i", "WITH s AS (SELECT p_partkey AS id, list_transform(range(255), lambda j: (p_partkey % 256 + p_size * j) % 256) AS s FROM part) SELECT id, list_sum(s) AS total, s[1] AS first, s[255] AS last FROM s")
+def arithmetic_corpus(t):
+    rows = arithmetic_values(t("part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 256).alias("start"), F.col("p_size").alias("step")), 255)
+    return rows.select("id", F.expr("aggregate(sequence, 0, (a, v) -> a + v)").alias("total"), F.expr("sequence[0]").alias("first"), F.expr("sequence[254]").alias("last"))
+
+
+# ---- in-context tasks (order lines as inputs, embeddings as distributions)
+
+_X = "WITH x AS (SELECT l_orderkey, list(1 + l_partkey % 255 ORDER BY l_partkey, l_suppkey) AS x FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2)"
+
+
+@query("l_orderkey:i max:i min:i sum:i mean:i first:i last:i diff:i xor:i absdiff:i succ:i compl:i double:i closest:i", f"""{_X} SELECT l_orderkey, list_max(x) AS max, list_min(x) AS min, CAST(list_sum(x) AS BIGINT) % 256 AS sum, CAST(list_sum(x) AS BIGINT) // len(x) AS mean, x[1] AS first, x[-1] AS last, ((x[1] - x[2]) % 256 + 256) % 256 AS diff, xor(x[1], x[2]) AS xor,
+abs(x[1] - x[2]) AS absdiff, (x[1] + 1) % 256 AS succ, 255 - x[1] AS compl, 2 * x[1] % 256 AS double, x[1 + list_sort(list_transform(range(1, len(x)), lambda i: abs(x[i + 1] - x[1]) * 1000 + i))[1] % 1000] AS closest FROM x""")
+def icl_targets(t):
+    rows = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey"))).alias("s")).where(F.size("s") >= 2)
+    rows = rows.select("l_orderkey", F.expr("transform(s, e -> cast(1 + e.l_partkey % 255 as int))").alias("x"))
+    names = "max min sum mean first last diff xor absdiff succ compl double closest".split()
+    return rows.select("l_orderkey", *[probes.target(n).alias(n) for n in names])
+
+
+_P = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: exp(4 * CAST(v AS DOUBLE))) AS x FROM embeddings), q AS (SELECT vec_id, label, list_transform(x, lambda v: v / list_sum(x)) AS p FROM e), d AS (SELECT *, list_position(p, list_max(p)) - 1 AS pred, vec_id % 64 AS answer, [vec_id % 64, (vec_id * 7) % 64, label] AS support FROM q)"
+
+
+def distributions(t):
+    soft = t("embeddings").select("vec_id", "label", F.expr("transform(embedding, v -> exp(4 * cast(v as double)))").alias("x"))
+    return soft.select("vec_id", "label", F.expr("transform(x, v -> v / aggregate(x, 0D, (a, b) -> a + b))").alias("p"), F.expr("cast(vec_id % 64 as int)").alias("answer"), F.expr("array(cast(vec_id % 64 as int), cast((vec_id * 7) % 64 as int), label)").alias("support"))
+
+
+@query("label:i accuracy:d p_correct:d in_input:d n:i", f"{_P} SELECT label, avg((pred = answer)::INT) AS accuracy, avg(p[answer + 1]) AS p_correct, avg(list_contains(support, pred)::INT) AS in_input, count(*) AS n FROM d GROUP BY label")
+def icl_accuracy(t):
+    return probes.accuracy(distributions(t), "label")
+
+
+@query("label:i mean:d q25:d q75:d", f"{_P}, h AS (SELECT label, -list_sum(list_transform(p, lambda v: v * log2(v + 1e-30))) AS h FROM d) SELECT label, avg(h) AS mean, quantile_cont(h, 0.25) AS q25, quantile_cont(h, 0.75) AS q75 FROM h GROUP BY label")
+def entropy_quantiles(t):
+    return probes.entropy_stats(distributions(t), "label")
+
+
+@query("label:i correct:d preferred:d low_bits:d in_context:d other:d", f"""{_P}, k AS (SELECT label, CASE WHEN pred = answer THEN 0 WHEN pred IN (0, 255, 1, 16) THEN 1 WHEN pred % 16 = answer % 16 THEN 2 WHEN list_contains(support, pred) THEN 3 ELSE 4 END AS k FROM d)
+SELECT label, avg((k = 0)::INT) AS correct, avg((k = 1)::INT) AS preferred, avg((k = 2)::INT) AS low_bits, avg((k = 3)::INT) AS in_context, avg((k = 4)::INT) AS other FROM k GROUP BY label""")
+def sum_composition(t):
+    rows = distributions(t).withColumn("pred", probes.argmax()).withColumnRenamed("support", "context")
+    return probes.composition(rows, "label")
+
+
+@query("label:i accuracy:d other_byte:d within_4:d mae:d", f"{_P} SELECT label, avg((pred = answer)::INT) AS accuracy, avg(list_contains(support, pred)::INT) AS other_byte, avg((abs(pred - answer) <= 4)::INT) AS within_4, avg(abs(pred - answer)) AS mae FROM d GROUP BY label")
+def control_metrics(t):
+    return probes.control(distributions(t).withColumn("pred", probes.argmax()).withColumnRenamed("support", "other"), "label")
+
+
+@query("depth:i accuracy:d n:i", f"{_P} SELECT vec_id % 9 AS depth, avg((pred = answer)::INT) AS accuracy, count(*) AS n FROM d GROUP BY ALL")
+def depth_breakdown(t):
+    return probes.accuracy(distributions(t).withColumn("depth", F.col("vec_id") % 9), "depth")
+
+
+@query("vec_id:i kept:i", f"{_P} SELECT vec_id, len(list_filter(p, lambda v: v >= list_reverse_sort(p)[8])) AS kept FROM d")
+def top_k_mask(t):
+    return distributions(t).select("vec_id", F.size(F.filter(probes.top_k("p", 8), lambda v: v.isNotNull())).alias("kept"))
+
+
+@query("item:i byte:i v:d", f"{_P} SELECT vec_id // 4 AS item, byte, avg(v) AS v FROM (SELECT vec_id, unnest(range(64)) AS byte, unnest(p) AS v FROM d) GROUP BY ALL")
+def ensemble_probe(t):
+    mean = probes.average_seeds(distributions(t).select(F.expr("vec_id div 4").alias("item"), (F.col("vec_id") % 4).alias("seed"), "p"), "item")
+    return mean.select("item", F.posexplode("p").alias("byte", "v"))

@@ -1 +1 @@
-
+"""Readers of tables, windows, score slices and raw archives."""
