@@ -24,10 +24,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, prepare, slices
+from tessera.llm.common import pick, prepare, slices, stash
 
 MOST_TOXIC = 3000
 MOST_CLEAN = 6000
@@ -186,11 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     seeds = {w + "$": _SEED_WEIGHT for w in SEEDS.split()}
     known = labels.where(labels.doc_id.isNotNull() & labels.toxic.isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     ids = pick(docs, "doc_id").where("doc_id is not null").distinct().join(known, "doc_id")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    most = max(most_toxic, most_clean)
-    chosen = ids.where("toxic in (0, 1)").withColumn("n", F.row_number().over(order)).where((F.col("n") <= most) & (F.col("n") <= F.when(F.col("toxic") == 1, most_toxic).otherwise(most_clean)))
-    from tessera.llm.common import stash
-
+    # the bounded sample: each task hands on its smallest hashes, no label's rows meet
+    first = lambda label, most: ids.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = first(1, most_toxic).unionByName(first(0, most_clean))
     sample = stash(pick(docs, "doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id"), "labelled")
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
