@@ -103,7 +103,8 @@ class Models:
 def _gather(docs: DataFrame, labels: DataFrame, known: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts [target, background] of words and hashed pairs over all documents."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True))
-    rows = pick(docs, "doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # labels grow with the documents: one way to join them at every size, never a broadcast
+    rows = pick(docs, "doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     shared = docs.sparkSession.sparkContext.broadcast(known)
     n_words, n_pairs = len(known) + 2, 1 << bits
 
