@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkern as K
-from tessera.llm.common import pick, prepare, slices
+from tessera.llm.common import pick, prepare, slices, stash, unstash
 
 WORDS = 1 << 16
 BITS = 20
@@ -78,7 +78,11 @@ def vocabulary(docs: DataFrame, words: int = WORDS) -> np.ndarray:
             yield from flush()
 
     counts = pick(docs, "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r.h for r in counts.orderBy(F.desc("n"), "h").limit(words).select("h").collect()], np.int64).view(np.uint64))
+    # as a table, so that the tasks' own top words meet in a task and not in the driver
+    top = stash(counts.orderBy(F.desc("n"), "h").limit(words).select("h"), "vocabulary")
+    known = np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
+    unstash(top)
+    return known
 
 
 class Models:
