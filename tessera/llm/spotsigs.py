@@ -150,8 +150,8 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
     heads = out.where("role = 1").select("part", F.col("text").alias("following"))
     tails = out.where("role = 2").select("part", "doc_id", "text")
     # the next task that has rows; the window holds one number for each task
-    order = heads.select("part").withColumn("next", F.lead("part").over(Window.orderBy("part")))
-    order = order.crossJoin(F.broadcast(heads.agg(F.min("part").alias("first")))).select("part", F.coalesce("next", "first").alias("next"))
+    tasks = Window.orderBy("part")
+    order = heads.select("part", F.coalesce(F.lead("part").over(tasks), F.first("part").over(tasks)).alias("next"))
     met = tails.join(order, "part").join(heads.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "following")
     return out.where("role = 0").unionByName(met.mapInArrow(across, schema)).drop("role", "part", "text")
 
