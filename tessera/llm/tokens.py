@@ -162,7 +162,8 @@ def pack_minimum_slack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame
             offset = slots["offset"][at] + (k % slots["each"][at]) * length
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    ranked = pieces.join(sums.select("part", "length", "before"), ["part", "length"]).select(*names, (F.col("local") + F.col("before")).alias("_rank"))
+    # the counts grow with the number of tasks: one way to join them at every size, never a broadcast
+    ranked = pieces.join(sums.select("part", "length", "before").hint("merge"), ["part", "length"]).select(*names, (F.col("local") + F.col("before")).alias("_rank"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
