@@ -43,21 +43,26 @@ _SMALL = 1024
 _LANES = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(b)) & np.uint64(1)) << np.uint64(8 * b) for b in range(8))
 
 
-def fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
-    """The 64-bit fingerprint of every text."""
+def shingle_hashes(texts: list[str | None], words: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all shingles, text after text, and the number of them in every text."""
     w = K.Words(K.encode(texts, lower=True))
     n = w.counts()
+    if not len(w.start):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
     starts = K.window_starts(w, words)
     short = np.flatnonzero((n > 0) & (n < words))
-    start = np.concatenate((w.start[starts], w.start[w.first[short]])) if len(w.start) else np.empty(0, np.int64)
-    end = np.concatenate((w.end[starts + words - 1], w.end[w.first[short + 1] - 1])) if len(w.start) else np.empty(0, np.int64)
-    doc = np.concatenate((w.text_of()[starts], short)) if len(w.start) else np.empty(0, np.int64)
-    out = np.zeros(len(texts), np.uint64)
-    if not len(doc):
-        return out
+    start = np.concatenate((w.start[starts], w.start[w.first[short]]))
+    end = np.concatenate((w.end[starts + words - 1], w.end[w.first[short + 1] - 1]))
+    doc = np.concatenate((w.text_of()[starts], short))
     order = np.argsort(doc, kind="stable")
-    h = K.xxh64(w.buf, start, end)[order]
-    total = np.bincount(doc, minlength=len(texts))
+    return K.xxh64(w.buf, start, end)[order], np.bincount(doc, minlength=len(texts))
+
+
+def majority(h: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """For every text the bits set in over half of its hashes."""
+    out = np.zeros(len(total), np.uint64)
+    if not len(h):
+        return out
     has = np.flatnonzero(total)
     # up to 255 values are added in the eight byte lanes of one integer
     parts = -(-total[has] // 255)
@@ -72,6 +77,11 @@ def fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
     return out
 
 
+def fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
+    """The 64-bit fingerprint of every text."""
+    return majority(*shingle_hashes(texts, words))
+
+
 def with_fingerprint_rows(docs: DataFrame, words: int = 3) -> DataFrame:
     """``docs`` (its columns in the struct ``row``) with ``fp``, a signed long."""
     prepare(docs.sparkSession)

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 import pytest
-from test_simhash import brute_components
+from test_nearcopies import brute_groups
 from test_substrings import brute as brute_repeats
 from test_tokens import check_pack
 from tokenizers import Tokenizer
@@ -16,16 +16,6 @@ from tessera.llm.common import read_table, stash
 SF = "/root/testdata/sf0.001"
 
 
-def fingerprint5(text):
-    import xxhash
-
-    words = text.encode().lower().split()
-    if not words:
-        return 0
-    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 @pytest.fixture(scope="module")
 def docs(spark):
     real = read_table(spark, SF, "documents")
@@ -49,13 +39,15 @@ def test_stages_equal_brute_force(spark, docs):
     assert step.columns == columns and sorted(map(str, step.collect())) == sorted(map(str, want))
     assert 9004 not in {r.doc_id for r in want}
 
-    fps = [fingerprint5(r.text) for r in want]
-    ids = [r.doc_id for r in want]
-    label = brute_components(ids, fps)
+    group = brute_groups([(r.doc_id, r.text) for r in want])
+    first = {}
+    for r, g in zip(want, group):
+        if r.doc_id is not None:
+            first[g] = min(r.doc_id, first.get(g, r.doc_id))
     kept, seen = [], set()
-    for r, f in zip(want, fps):
-        if r.doc_id == label[(r.doc_id, f)] and (r.doc_id, f) not in seen:
-            seen.add((r.doc_id, f))
+    for r, g in zip(want, group):
+        if r.doc_id == first.get(g) and g not in seen:
+            seen.add(g)
             kept.append(r)
     step = stash(corpus_pipeline.drop_near_duplicates(spark, step, SF), "t")
     assert step.columns == columns and sorted(map(str, step.collect())) == sorted(map(str, kept))
