@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, simhash, substrings, tokens, toxicity
+from tessera.llm import language, nearcopies, simhash, substrings, tokens, toxicity
 from tessera.llm.common import read_table, stash
 
 
@@ -33,14 +33,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash group, of five-word shingles: that with the
-    smallest ``doc_id``; of rows that repeat it, one. Rows without an id are kept only
-    where their group has no other, one for each group."""
-    groups = simhash.near_groups(docs, words=5)
+    """Keep one document of each group of near copies, by SimHash and by five-word shingle
+    sets with a Jaccard similarity of 0.8 or more: that with the smallest ``doc_id``; of rows
+    that repeat it, one. A row without an id is kept only where its group has no other, one
+    for each group."""
+    groups = nearcopies.near_copy_groups(docs, words=5)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"))
     keep = groups.where("component_id = doc_id").select("doc_id").distinct()
     named = rows.join(keep, rows.id == keep.doc_id, "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    nameless = groups.where("component_id is null").select("fp").distinct()
+    nameless = groups.where("component_id is null").groupBy("label").agg(F.min("fp").alias("fp"))
     if nameless.isEmpty():
         return _unpack(named, docs.columns)
     with_fp = simhash.with_fingerprint_rows(docs.where("doc_id is null"), words=5).join(nameless, "fp", "left_semi")
