@@ -1,21 +1,25 @@
 """Cross-entropy difference of documents under two matched bigram models.
 
 The *target* model is counted on the documents labelled of good quality, the *background*
-model on all documents. Both share one vocabulary (the ``words`` most frequent words of
-all documents; others count as one unknown word), one order and one smoothing, so their
-losses are comparable token by token: a document's score is the mean over its tokens of
-background loss minus target loss, in bits; higher is more like the target.
-
-Every document is counted and every document is scored, whole. What is gathered grows with
-the corpus; what is broadcast doesn't: the vocabulary and two tables of ``2**bits`` hashed
-bigrams, both parameters. Counts are added up by block of the tables, each task sending the
-entries it has. Null and empty texts have no tokens and score 0; repeated rows count each
-time.
+model on all documents. Both share one vocabulary (all words of all documents), one order
+and one smoothing, so their losses are comparable token by token: a document's score is the
+mean over its tokens of background loss minus target loss, in bits; higher is more like the
+target.
+
+Every document is counted and every document is scored, whole; every word and every pair of
+words has its own count, however many there are. Words and pairs are named by 63-bit hashes
+(the lowest bit tells one from the other). Counts are a table over the range of the hashes,
+cut into as many parts as the text has groups of ``GROUP_BYTES``: nothing of it is gathered.
+A group of documents adds up its own keys before it sends them, asks each part once for the
+keys it has, and gets back counts in the order of its sorted keys; so a frequent pair is one
+entry of a group, not one of each place where it stands. Null and empty texts have no tokens
+and score 0; repeated rows count each time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,12 @@ from tessera.llm import textkern as K
 from tessera.llm.common import pick, prepare, slices, stash, unstash
 
 WORDS = 1 << 16
-BITS = 20
-BLOCK = 1 << 13
+#: Bytes of text of a group of documents, about.
+GROUP_BYTES = 8 << 20
+#: Frees a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What stands before the first word of a text.
+START = np.uint64(0x5851F42D4C957F2D)
 
 
 def _read(texts: list[str | None]) -> tuple[K.Words, np.ndarray]:
@@ -35,27 +43,6 @@ def _read(texts: list[str | None]) -> tuple[K.Words, np.ndarray]:
     return w, K.word_hashes(w, 5) if len(w.start) else np.empty(0, np.uint64)
 
 
-def _ids(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The number of each word, from 1; 0 for unknown ones."""
-    if not len(vocabulary):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at + 1, 0)
-
-
-def _before(w: K.Words, ids: np.ndarray, start: int) -> np.ndarray:
-    """The number of the word before each word; ``start`` at the beginning of a text."""
-    out = np.empty(len(ids), np.int64)
-    out[1:] = ids[:-1]
-    first = w.first[:-1][w.counts() > 0]
-    out[first] = start
-    return out
-
-
-def _bucket(prev: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
-    return (K.mix(prev.astype(np.uint64) * np.uint64(0x100000001) + ids.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def vocabulary(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """Sorted hashes of the most frequent words of all documents (ties: smaller hash, as a signed number)."""
 
@@ -85,91 +72,176 @@ def vocabulary(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     return known
 
 
+def _group_count(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length(docs["text"]).cast("long"))).first()[0] or 0
+    return max(1, -(-size // GROUP_BYTES))
+
+
+def _grouped(docs: DataFrame, groups: int) -> DataFrame:
+    """``g, doc_id, text``: rows by a hash of their id, so that labels find them; those without one by their text."""
+    g = F.when(docs["doc_id"].isNotNull(), F.xxhash64(docs["doc_id"].cast("long"))).otherwise(F.xxhash64(docs["text"]))
+    return docs.select(F.pmod(g, F.lit(groups)).alias("g"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+
+
+@dataclass
+class _Keys:
+    """The sorted different keys of a group's texts, and where each token's are among them."""
+
+    keys: np.ndarray
+    word: np.ndarray
+    pair: np.ndarray
+    before: np.ndarray
+    first: np.ndarray
+    text_of: np.ndarray
+    n: np.ndarray
+
+
+def _keys(rows: pa.Table) -> _Keys:
+    words, pairs, counts = [], [], []
+    for b in slices(rows.select(["text"]).to_batches()):
+        w, h = _read(b.column(0).to_pylist())
+        word, n = h | np.uint64(1), w.counts()
+        before = np.concatenate(([START], word[:-1])) if len(word) else word
+        before[w.first[:-1][n > 0]] = START
+        words.append(word)
+        pairs.append(K.mix(before * np.uint64(0x9E3779B185EBCA87) + word) & ~np.uint64(1))
+        counts.append(n)
+    word, pair, n = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((words, np.uint64), (pairs, np.uint64), (counts, np.int64)))
+    keys, at = np.unique(np.concatenate((word, pair, [START][: len(word)])).astype(np.uint64), return_inverse=True)
+    first = (np.cumsum(n) - n)[n > 0]
+    word, pair, start = at[: len(word)], at[len(word) : 2 * len(word)], at[2 * len(word) :]
+    before = np.empty(len(word), np.int64)
+    before[1:] = word[:-1]
+    before[first] = start[0] if len(start) else 0
+    return _Keys(keys, word, pair, before, first, np.repeat(np.arange(len(n)), n), n)
+
+
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of the parts begins among sorted keys; a part is a range of keys."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
+
+
+def _batch(schema: str, *columns: list) -> pa.Table:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers as their bytes of least weight first, then the next: what is zero in all is left out, what is in most compresses."""
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    used = max(1, 8 - int(np.argmax(planes.any(axis=1)[::-1]))) if planes.any() else 1
+    return bytes([used]) + planes[:used].tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _all_keys(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.cumsum(_unpack(x), dtype=np.uint64) for x in column.to_pylist()]
+
+
+def _all_counts(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [_unpack(x).astype(np.int64) for x in column.to_pylist()]
+
+
+@dataclass
 class Models:
-    """Two interpolated bigram models over one vocabulary."""
-
-    def __init__(self, known: np.ndarray, bits: int, unigrams: np.ndarray, bigrams: np.ndarray):
-        self.known, self.bits = known, bits
-        # rows: target, background. Words are smoothed by one, pairs fall back to words.
-        self.word = ((unigrams + 1) / (unigrams.sum(axis=1, keepdims=True) + unigrams.shape[1])).astype(np.float32)
-        self.pair = bigrams.astype(np.float32)
-        self.context = unigrams.astype(np.float32)
-
-    def losses(self, w: K.Words, h: np.ndarray, strength: float = 32.0) -> np.ndarray:
-        """Bits of every token under either model."""
-        ids = _ids(self.known, h)
-        prev = _before(w, ids, len(self.known) + 1)
-        at = _bucket(prev, ids, self.bits)
-        total = np.maximum(self.context[:, prev], self.pair[:, at])  # hashed pairs may be more
-        return -np.log2((self.pair[:, at] + strength * self.word[:, ids]) / (total + strength))
-
-
-def _gather(docs: DataFrame, labels: DataFrame, known: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts [target, background] of words and hashed pairs over all documents."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True))
-    # labels grow with the documents: one way to join them at every size, never a broadcast
-    rows = pick(docs, "doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    n_words, n_pairs = len(known) + 2, 1 << bits
+    """Both models' counts by part of the keys (``b, keys, good, every``), how many keys are
+    words (the start of a text is one), and the sums of their counts: target, background."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value
-        counts = np.zeros((2, n_words + n_pairs), np.int64)
-        for b in slices(batches):
-            w, h = _read(b.column(0).to_pylist())
-            good = np.array(b.column(1).to_pylist(), bool)[w.text_of()]
-            ids = _ids(vocab, h)
-            prev = _before(w, ids, len(vocab) + 1)
-            for values in (ids, n_words + _bucket(prev, ids, bits)):
-                counts[1] += np.bincount(values, minlength=n_words + n_pairs)
-                counts[0] += np.bincount(values[good], minlength=n_words + n_pairs)
-            starts = w.first[:-1][w.counts() > 0]
-            counts[1, len(vocab) + 1] += len(starts)
-            counts[0, len(vocab) + 1] += int(good[starts].sum()) if len(starts) else 0
-        for lo in range(0, n_words + n_pairs, BLOCK):
-            at = np.flatnonzero(counts[1, lo : lo + BLOCK])
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([at.astype("<u2").tobytes()]), pa.array([counts[1, lo + at].astype("<i8").tobytes()]), pa.array([counts[0, lo + at].astype("<i8").tobytes()])], ["lo", "at", "all", "good"])
-
-    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for lo, at, a, g in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                t = total.setdefault(lo, np.zeros((2, BLOCK), np.int64))
-                at = np.frombuffer(at, "<u2")
-                t[0, at] += np.frombuffer(g, "<i8")
-                t[1, at] += np.frombuffer(a, "<i8")
-        for lo, t in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([t.tobytes()])], ["lo", "total"])
-
-    sent = rows.mapInArrow(run, "lo long, at binary, all binary, good binary")
-    # a first sum of what some tasks sent, then of those sums
-    out = np.zeros((2, -(-(n_words + n_pairs) // BLOCK) * BLOCK), np.int64)
-    for r in sent.repartition("lo").mapInArrow(add, "lo long, total binary").collect():
-        out[:, r.lo : r.lo + BLOCK] = np.frombuffer(r.total, np.int64).reshape(2, BLOCK)
-    return out[:, :n_words], out[:, n_words : n_words + n_pairs]
-
-
-def fit(docs: DataFrame, labels: DataFrame, words: int = WORDS, bits: int = BITS) -> Models:
-    """Count both models over all documents."""
-    prepare(docs.sparkSession)
-    known = vocabulary(docs, words)
-    return Models(known, bits, *_gather(docs, labels, known, bits))
+    counts: DataFrame
+    parts: int
+    words: int
+    total: tuple[int, int]
 
 
-def score_documents(docs: DataFrame, models: Models) -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame) -> Models:
+    """Count both models over all documents."""
+    prepare(docs.sparkSession)
+    parts = _group_count(docs)
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
+    good = good.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("g"), "id")
+    sent, summed = "b long, keys binary, good binary, every binary", "b long, keys binary, good binary, every binary, words long, n_good long, n_every long"
+
+    def count(rows: pa.Table, own: pa.Table) -> pa.Table:
+        k = _keys(rows)
+        ids = set(own["id"].to_pylist())
+        target = np.array([d in ids for d in rows["doc_id"].to_pylist()], bool)[k.text_of]
+        both = []
+        for chosen in (target, np.ones(len(target), bool)):
+            n = np.bincount(k.word[chosen], minlength=len(k.keys)) + np.bincount(k.pair[chosen], minlength=len(k.keys))
+            both.append(n + np.bincount(k.before[k.first[chosen[k.first]]], minlength=len(k.keys)))
+        cut = _cuts(k.keys, parts)
+        b = np.flatnonzero(np.diff(cut)).tolist()
+        return _batch(sent, b, *[[f(x[cut[i] : cut[i + 1]]) for i in b] for f, x in ((_pack_keys, k.keys), *((_pack, n) for n in both))])
+
+    def add(blocks: pa.Table) -> pa.Table:
+        keys, at = np.unique(np.concatenate(_all_keys(blocks["keys"])), return_inverse=True)
+        both = []
+        for name in ("good", "every"):
+            n = np.zeros(len(keys), np.int64)
+            np.add.at(n, at, np.concatenate(_all_counts(blocks[name])))
+            both.append(n)
+        word = (keys & np.uint64(1)) == 1
+        return _batch(summed, [blocks["b"][0].as_py()], [_pack_keys(keys)], *[[_pack(n)] for n in both], [int(word.sum())], *[[int(n[word].sum())] for n in both])
+
+    blocks = _grouped(docs, parts).groupBy("g").cogroup(good.groupBy("g")).applyInArrow(count, sent)
+    spark = docs.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # once the counts are a table, what was sent for them isn't needed
+    try:
+        counts = stash(blocks.groupBy("b").applyInArrow(add, summed), "bigrams")
+    finally:
+        spark.conf.set(CLEANUP, before)
+    r = counts.agg(F.sum("words").alias("w"), F.sum("n_good").alias("g"), F.sum("n_every").alias("e")).first()
+    return Models(counts.select("b", "keys", "good", "every"), parts, r.w or 0, (r.g or 0, r.e or 0))
+
+
+def score_documents(docs: DataFrame, models: Models, strength: float = 32.0) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss`` (mean bits a token) and ``score``."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in slices(batches):
-            w, h = _read(b.column(1).to_pylist())
-            loss = m.losses(w, h)
-            doc, n = w.text_of(), w.counts()
-            mean = [np.bincount(doc, x, len(n)) / np.maximum(n, 1) for x in loss]
-            diff = np.bincount(doc, loss[1] - loss[0], len(n)) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(mean[0]), pa.array(mean[1]), pa.array(diff)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    parts, total, size = models.parts, models.total, models.words + 1
+    rows = _grouped(docs, _group_count(docs))
+    asked, told = "g long, b long, keys binary", "g long, b long, good binary, every binary"
+    out = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+
+    def ask(rows: pa.Table) -> pa.Table:
+        keys = _keys(rows).keys
+        cut = _cuts(keys, parts)
+        b = np.flatnonzero(np.diff(cut)).tolist()
+        return _batch(asked, [rows["g"][0].as_py()] * len(b), b, [_pack_keys(keys[cut[i] : cut[i + 1]]) for i in b])
+
+    def tell(blocks: pa.Table, counts: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.empty(0, np.uint64), *_all_keys(counts["keys"])])
+        both = [np.concatenate([np.empty(0, np.int64), *_all_counts(counts[c])]) for c in ("good", "every")]
+        answers = [[], []]
+        for own in _all_keys(blocks["keys"]):
+            at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+            known = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+            for n, to in zip(both, answers, strict=True):
+                to.append(_pack(np.where(known, n[at], 0) if len(keys) else np.zeros(len(own), np.int64)))
+        return _batch(told, blocks["g"].to_pylist(), blocks["b"].to_pylist(), *answers)
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        k, answers = _keys(rows), answers.sort_by("b")
+        loss = []
+        for name, every in zip(("good", "every"), total, strict=True):
+            n = np.concatenate([np.empty(0, np.int64), *_all_counts(answers[name])]).astype(float)
+            p = (n[k.word] + 1) / (every + size)
+            loss.append(-np.log2((n[k.pair] + strength * p) / (n[k.before] + strength)))
+        mean = [np.bincount(k.text_of, x, len(k.n)) / np.maximum(k.n, 1) for x in (*loss, loss[1] - loss[0])]
+        return _batch(out, rows["doc_id"].to_pylist(), k.n, *mean)
+
+    answers = rows.groupBy("g").applyInArrow(ask, asked).groupBy("b").cogroup(models.counts.groupBy("b")).applyInArrow(tell, told)
+    return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(score, out)

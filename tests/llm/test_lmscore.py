@@ -51,3 +51,19 @@ def test_vocabulary_is_the_most_frequent(spark):
     top = lmscore.vocabulary(docs, 2)
     _, h = lmscore._read(["a b c"])
     assert sorted(top.view(np.int64).tolist()) == sorted(int(x) for x in (h[2:].view(np.int64)[0], h[:2].view(np.int64).min()))
+
+
+def test_words_and_pairs_beyond_any_table_are_counted(spark, monkeypatch):
+    """90,000 words and as many pairs: none is unknown, none shares a count, over many parts."""
+    monkeypatch.setattr(lmscore, "GROUP_BYTES", 1 << 16)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 120_000, 1000))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int")
+    models = lmscore.fit(docs, labels)
+    assert models.parts > 20
+    assert models.words == len({w for _, t in rows for w in t.split()}) + 1 > 90_000
+    got = {r.doc_id: tuple(r)[1:] for r in lmscore.score_documents(docs, models).collect()}
+    assert len(got) == 300
+    for (i, _), w in zip(rows, brute(rows, {i for i in range(300) if i % 3 == 0}), strict=True):
+        assert got[i] == pytest.approx(w, abs=1e-9)
