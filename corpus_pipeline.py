@@ -21,8 +21,12 @@ def _unpack(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language is found: null, or without a letter."""
-    found = language.identify(docs, language.train(docs))
+    """Drop documents in which no language is found: null, or without a letter. Where no row
+    tells its language, there is no model, and all others stay."""
+    model = language.train(docs)
+    if model is None:
+        return _unpack(language.lettered(docs), docs.columns)
+    found = language.identify(docs, model)
     return _unpack(found.where("lang_pred <> 'und'"), docs.columns)
 
 

@@ -169,6 +169,21 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None
     return Hierarchy(np.stack([np.frombuffer(r.x, np.float32) for r in got]), [r.lang for r in got])
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (their columns in the struct ``row``) whose text has a letter."""
+    prepare(docs.sparkSession)
+    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            own = [i for i, t in enumerate(b.column(1).to_pylist()) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64()))], ["row"])
+
+    from pyspark.sql import types as T
+
+    return base.mapInArrow(run, T.StructType([base.schema["row"]]))
+
+
 def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     """``docs`` (its columns in the struct ``row``) with ``lang_pred`` and ``score``."""
     prepare(docs.sparkSession)

@@ -75,3 +75,13 @@ def test_run_and_empty_input(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stash(stage(spark, docs, SF), "t")
         assert docs.count() == 0
+
+
+def test_documents_stay_where_no_language_can_be_learnt(spark):
+    texts = ["the house and the cat", "der Hund", "É", "", None, "12 34 !!"]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    for ids, lang in ((range(6), None), ([None] * 6, "en")):
+        docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t in zip(ids, texts)], kinds)
+        step = corpus_pipeline.identify_language(spark, docs, SF)
+        assert step.columns == docs.columns
+        assert sorted(map(str, step.collect())) == sorted(map(str, docs.collect()[:3]))
