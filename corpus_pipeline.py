@@ -39,17 +39,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, by SimHash and by five-word shingle
     sets with a Jaccard similarity of 0.8 or more: that with the smallest ``doc_id``; of rows
-    that repeat it, one. A row without an id is kept only where its group has no other, one
+    of the group that repeat it, one: an id on unrelated texts is one row in each of their groups. A row without an id is kept only where its group has no other, one
     for each group."""
     groups = nearcopies.near_copy_groups(docs, words=5)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"))
-    keep = groups.where("component_id = doc_id").select("doc_id").distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"))
+    # an id whose rows have one fingerprint is in one group; that of others only the fingerprint tells
+    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.max("fp").alias("last"), F.min("component_id").alias("component_id"))
+    keep = ids.where("fp = last and component_id = doc_id").select("doc_id")
+    several = ids.where("fp <> last").select(F.col("doc_id").alias("id"))
     named = rows.join(keep, rows.id == keep.doc_id, "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    nameless = groups.where("component_id is null").groupBy("label").agg(F.min("fp").alias("fp"))
-    if nameless.isEmpty():
+    repeated = groups.join(several, groups.doc_id == several.id, "left_semi").where("component_id = doc_id")
+    heads = stash(repeated.unionByName(groups.where("component_id is null")).groupBy("label").agg(F.min("fp").alias("least_fp"), F.min("doc_id").alias("own")).select("least_fp", "own"), "heads")
+    if heads.isEmpty():
         return _unpack(named, docs.columns)
-    with_fp = simhash.with_fingerprint_rows(docs.where("doc_id is null"), words=5).join(nameless, "fp", "left_semi")
-    one = with_fp.groupBy("fp").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    rest = docs.where(docs["doc_id"].isNull()).union(docs.join(several, docs["doc_id"] == several.id, "left_semi"))
+    with_fp = simhash.with_fingerprint_rows(rest, words=5)
+    same = (with_fp.fp == heads.least_fp) & with_fp.row.getField("doc_id").eqNullSafe(heads.own)
+    one = with_fp.join(heads, same, "left_semi").groupBy("fp").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return _unpack(named.select("row").unionByName(one.select("row")), docs.columns)
 
 

@@ -85,3 +85,15 @@ def test_documents_stay_where_no_language_can_be_learnt(spark):
         step = corpus_pipeline.identify_language(spark, docs, SF)
         assert step.columns == docs.columns
         assert sorted(map(str, step.collect())) == sorted(map(str, docs.collect()[:3]))
+
+
+def test_an_id_on_unrelated_texts_stays_in_each_of_its_groups(spark):
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{j}" for j in rng.integers(0, 5000, 60))
+    x, y, z, u, v = (text() for _ in range(5))
+    # 5: two unrelated texts; 7: a copy of 3's text, and one of its own; 8: twice the same; and without an id
+    rows = [(5, x), (5, y), (3, z), (7, z + " more"), (7, u), (8, v), (8, v), (None, text()), (None, u)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    want = [rows[i] for i in (0, 1, 2, 4, 5, 7)]
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in want)
