@@ -43,8 +43,15 @@ def robust_area(curves: DataFrame, width: int = 33) -> DataFrame:
 
 def outliers(values: DataFrame) -> DataFrame:
     """``arm, seed, v``: over 2.5 times the median of the arm's others, and over 1.1 times the
-    largest of all values that differ from it."""
-    others = values.alias("a").join(values.alias("b"), F.expr("a.arm = b.arm and a.seed <> b.seed"), "left").groupBy("a.arm", "a.seed", "a.v").agg(F.expr("percentile(b.v, 0.5)").alias("median"))
+    largest of all values that differ from it. A seed is one row of its arm."""
+    own = values.where("arm is not null and seed is not null and v is not null")
+    # without one value, the middle of the others is that of the arm or the next one
+    order = Window.partitionBy("arm").orderBy("v")
+    ranked = own.select("arm", "v", (F.row_number().over(order) - 1).alias("r"), F.count("*").over(Window.partitionBy("arm")).alias("n")).withColumn("a", F.floor((F.col("n") - 2) / 2)).withColumn("b", F.floor((F.col("n") - 1) / 2))
+    at = {"a0": F.col("a"), "a1": F.col("a") + 1, "b0": F.col("b"), "b1": F.col("b") + 1}
+    middle = ranked.where("n > 1 and r between a and b + 1").groupBy("arm").agg(*[F.max(F.when(F.col("r") == x, F.col("v"))).alias(c) for c, x in at.items()])
+    pick = lambda x: F.when(F.col("v") <= F.col(f"{x}0"), F.col(f"{x}1")).otherwise(F.col(f"{x}0"))
+    others = values.join(F.broadcast(middle), "arm", "left").withColumn("median", F.when(F.col("seed").isNotNull(), (pick("a") + pick("b")) / 2))
     top = values.agg(F.max("v").alias("top"))
     second = values.join(F.broadcast(top), F.expr("v < top")).agg(F.max("v").alias("second"))
     both = others.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(second))

@@ -395,6 +395,13 @@ def leave_one_out_outlier(t):
     return curves.outliers(v)
 
 
+@query("arm:i seed:i v:d outlier:b", ORACLE_SQL["leave_one_out_outlier"].replace(" WHERE p_partkey < 300", ""))
+def leave_one_out_outlier_all(t):
+    """Over all parts."""
+    v = t("part").select((F.col("p_partkey") % 7).alias("arm"), F.col("p_partkey").alias("seed"), (F.when(F.col("p_partkey") % 97 == 5, 9).otherwise(1) * F.col("p_retailprice")).alias("v"))
+    return curves.outliers(v)
+
+
 # ---- programs and families
 
 #: Programs that are run: letters of the machine, with and without macros and terminator.
@@ -420,9 +427,10 @@ def vm_training_rows(t):
 _TAPES = "WITH f AS (SELECT p_partkey AS id, list_transform(range(400), lambda n: CASE p_partkey % 4 WHEN 0 THEN (p_size * n + 7) % 256 WHEN 1 THEN (2 * n * n + p_size * n + 1) % 256 WHEN 2 THEN (n * n * n + p_size * n + 5) % 256 ELSE (n * n * n * n + p_size) % 256 END) AS tape FROM part WHERE p_partkey < 200)"
 
 
-def tapes(t):
+def tapes(t, below: int | None = None):
     kind = F.expr("transform(sequence(0, 399), n -> cast(case p_partkey % 4 when 0 then (p_size * n + 7) % 256 when 1 then (2 * n * n + p_size * n + 1) % 256 when 2 then (cast(n as bigint) * n * n + p_size * n + 5) % 256 else (cast(n as bigint) * n * n * n + p_size) % 256 end as int))")
-    return t("part").where("p_partkey < 200").select(F.col("p_partkey").alias("id"), kind.alias("tape"))
+    parts = t("part") if below is None else t("part").where(F.col("p_partkey") < below)
+    return parts.select(F.col("p_partkey").alias("id"), kind.alias("tape"))
 
 
 _D = "list_transform(range(1, {n}), lambda i: (({x}[i + 1] - {x}[i]) % 256 + 256) % 256)"
@@ -431,6 +439,12 @@ _D = "list_transform(range(1, {n}), lambda i: (({x}[i + 1] - {x}[i]) % 256 + 256
 @query("id:i degree:i", f"""{_TAPES}, a AS (SELECT id, {_D.format(n=400, x="tape")} AS d1 FROM f), b AS (SELECT *, {_D.format(n=399, x="d1")} AS d2 FROM a), c AS (SELECT *, {_D.format(n=398, x="d2")} AS d3 FROM b)
 SELECT id, CASE WHEN len(list_distinct(d1)) = 1 THEN 1 WHEN len(list_distinct(d2)) = 1 THEN 2 WHEN len(list_distinct(d3)) = 1 THEN 3 END AS degree FROM c""")
 def finite_difference_orders(t):
+    return tapes(t, 200).select("id", detect.polynomial_order("tape").alias("degree"))
+
+
+@query("id:i degree:i", ORACLE_SQL["finite_difference_orders"].replace(" WHERE p_partkey < 200", ""))
+def finite_difference_orders_all(t):
+    """Over all parts."""
     return tapes(t).select("id", detect.polynomial_order("tape").alias("degree"))
 
 
@@ -466,23 +480,42 @@ l AS (SELECT piece, least(max(stop), 4095) AS n FROM nt WHERE stop > start GROUP
 k AS (SELECT g.piece, g.cell, CASE WHEN nid IS NULL THEN 129 WHEN nid = lag(nid) OVER (PARTITION BY g.piece ORDER BY g.cell) THEN 128 ELSE pitch END AS token FROM g LEFT JOIN c USING (piece, cell))"""
 
 
-def notes(t):
-    e = t("events").where("user_id < 40").selectExpr("user_id AS piece", "event_id AS nid", "cast(floor(value) as bigint) % 128 AS pitch", "event_id % 40000 AS raw", "event_id % 40000 + event_id % 1500 AS last")
+def notes(t, below: int | None = None):
+    rows = t("events") if below is None else t("events").where(F.col("user_id") < below)
+    e = rows.selectExpr("user_id AS piece", "event_id AS nid", "cast(floor(value) as bigint) % 128 AS pitch", "event_id % 40000 AS raw", "event_id % 40000 + event_id % 1500 AS last")
     return e.withColumn("start", melody.quantize(F.col("raw"), 480)).withColumn("stop", melody.quantize(F.col("last"), 480))
 
 
 @query("piece:i cell:i token:i", f"{_TOKENS} SELECT * FROM k")
 def skyline_melody(t):
+    return melody.skyline(notes(t, 40))
+
+
+@query("piece:i cell:i token:i", ORACLE_SQL["skyline_melody"].replace(" WHERE user_id < 40", ""))
+def skyline_melody_all(t):
+    """Over all users."""
     return melody.skyline(notes(t))
 
 
 @query("piece:i start:i stop:i pitch:i", f"{_TOKENS}, i AS (SELECT *, sum(CASE WHEN token <> 128 THEN 1 ELSE 0 END) OVER (PARTITION BY piece ORDER BY cell) AS g FROM k) SELECT piece, min(cell) AS start, max(cell) + 1 AS stop, arg_min(token, cell) AS pitch FROM i GROUP BY piece, g HAVING arg_min(token, cell) <= 127")
 def melody_to_notes(t):
+    return melody.to_notes(melody.skyline(notes(t, 40)))
+
+
+@query("piece:i start:i stop:i pitch:i", ORACLE_SQL["melody_to_notes"].replace(" WHERE user_id < 40", ""))
+def melody_to_notes_all(t):
+    """Over all users."""
     return melody.to_notes(melody.skyline(notes(t)))
 
 
 @query("piece:i onsets:i holds:i rests:i ends:i lowest:i highest:i", f"{_TOKENS} SELECT piece, count(*) FILTER (token <= 127) AS onsets, count(*) FILTER (token = 128) AS holds, count(*) FILTER (token = 129) AS rests, count(*) FILTER (token = 130) AS ends, min(token) FILTER (token <= 127) AS lowest, max(token) FILTER (token <= 127) AS highest FROM k GROUP BY piece")
 def melody_token_stats(t):
+    return melody.token_stats(melody.skyline(notes(t, 40)))
+
+
+@query("piece:i onsets:i holds:i rests:i ends:i lowest:i highest:i", ORACLE_SQL["melody_token_stats"].replace(" WHERE user_id < 40", ""))
+def melody_token_stats_all(t):
+    """Over all users."""
     return melody.token_stats(melody.skyline(notes(t)))
 
 
