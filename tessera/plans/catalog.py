@@ -91,6 +91,12 @@ def clip_spread_order(t):
     return windows.spread_order(plan)
 
 
+@query("name:s k:i chunk:i", ORACLE_SQL["clip_spread_order"].replace(" WHERE n <= 40", ""))
+def clip_spread_order_all(t):
+    """The order of every clip, however long."""
+    return windows.spread_order(windows.clip_plan(clips(t), W).withColumn("quota", F.least("n", F.lit(3))))
+
+
 @query("shard:i idx:i digest:s", f"""WITH d AS (SELECT CAST(substr(source, 4) AS INT) AS shard, doc_id, hex(encode(text)) AS h FROM documents),
 s AS (SELECT shard, string_agg(h, '' ORDER BY doc_id) AS h, 12 + CASE WHEN shard < 10 THEN 1 ELSE 0 END AS q FROM d GROUP BY shard)
 SELECT shard, i AS idx, md5(lower(substr(h, {2 * W} * i + 1, {2 * W}))) AS digest FROM (SELECT *, unnest(range(least(q, len(h) // {2 * W}))) AS i FROM s)""")

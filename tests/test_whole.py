@@ -13,7 +13,7 @@ from tessera.plans import catalog
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["finite_difference_orders_all", "leave_one_out_outlier_all", "melody_token_stats_all"])
+@pytest.mark.parametrize("name", ["finite_difference_orders_all", "leave_one_out_outlier_all", "melody_token_stats_all", "clip_spread_order_all"])
 def test_whole_table_equals_sql(spark, name):
     sql = catalog.ORACLE_SQL[name]
     db = duckdb.connect()
