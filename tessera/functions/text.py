@@ -20,8 +20,9 @@ def strip_comments(column: str, begin: str = "$(", end: str = "$)"):
 def byte_spans(column: str):
     """For each character its number, first byte and number of UTF-8 bytes."""
     chars = F.filter(F.split(F.col(column), ""), lambda c: c != "")
-    sizes = F.transform(chars, lambda c: F.octet_length(c))
-    return F.transform(chars, lambda c, i: F.struct(c.alias("ch"), F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x).alias("first"), F.octet_length(c).alias("size")))
+    places = F.transform(F.regexp_extract_all(F.hex(F.col(column)), F.lit("(..)"), 1), lambda h, i: F.when(~F.substring(h, 1, 1).isin("8", "9", "A", "B"), i))
+    starts = F.filter(places, lambda i: i.isNotNull())
+    return F.zip_with(chars, starts, lambda c, i: F.struct(c.alias("ch"), i.alias("first"), F.octet_length(c).alias("size")))
 
 
 def pins(column: str) -> dict:

@@ -147,6 +147,13 @@ def prefix_shift(t):
     return first.select("doc_id", F.md5(F.lower(F.hex(windows.add_tag("payload")))).alias("tagged"), F.element_at("x.input", -1).alias("input_last"), F.element_at("x.target", 1).alias("target_first"))
 
 
+@query("doc_id:i idx:i tagged:s input_last:i target_first:i", "SELECT doc_id, i AS idx, md5('4f' || lower(substr(h, 40 * i + 1, 40))) AS tagged, CAST(('0x' || substr(h, 40 * i + 37, 2)) AS INT) AS input_last, CAST(('0x' || substr(h, 40 * i + 3, 2)) AS INT) AS target_first FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(strlen(text) // 20)) AS i FROM documents)")
+def prefix_shift_all(t):
+    """The same of every window of every document."""
+    every = windows.chunk(raw_documents(t), 20).withColumn("values", windows.bytes_of("payload")).withColumn("x", windows.input_target("values"))
+    return every.select("doc_id", "idx", F.md5(F.lower(F.hex(windows.add_tag("payload")))).alias("tagged"), F.element_at("x.input", -1).alias("input_last"), F.element_at("x.target", 1).alias("target_first"))
+
+
 # ---- joins, sets, fingerprints
 
 
@@ -196,6 +203,13 @@ def utf8_byte_spans(t):
     return spans.select("item_id", "i", "s.ch", "s.first", "s.size")
 
 
+@query("item_id:i i:i ch:s first:i size:i", ORACLE_SQL["utf8_byte_spans"].replace("left(text, 120) AS text", "text"))
+def utf8_byte_spans_all(t):
+    """The spans of whole texts."""
+    spans = t("benchmark").select("item_id", F.posexplode(text.byte_spans("text")).alias("i", "s"))
+    return spans.select("item_id", "i", "s.ch", "s.first", "s.size")
+
+
 # ---- scores
 
 _PAIRS = f"""WITH w AS (SELECT doc_id, lang, substr(hex(encode(text)), {2 * W} * i + 1, {2 * W}) AS h FROM (SELECT doc_id, lang, text, unnest(range(strlen(text) // {W})) AS i FROM documents)),

@@ -7,13 +7,14 @@ import numpy as np
 import pytest
 from test_catalog import plain
 
+from tessera.functions import text
 from tessera.operators import curves
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["finite_difference_orders_all", "leave_one_out_outlier_all", "melody_token_stats_all", "clip_spread_order_all"])
+@pytest.mark.parametrize("name", ["finite_difference_orders_all", "leave_one_out_outlier_all", "melody_token_stats_all", "clip_spread_order_all", "prefix_shift_all", "utf8_byte_spans_all"])
 def test_whole_table_equals_sql(spark, name):
     sql = catalog.ORACLE_SQL[name]
     db = duckdb.connect()
@@ -37,3 +38,9 @@ def test_outliers_equal_brute_force(spark):
     for a, i, v in rows:
         others = [x for b, j, x in rows if b == a and j != i]
         assert got[i] == bool(others and v > 2.5 * median(others) and v > 1.1 * max(x for _, _, x in rows if x != v))
+
+
+def test_spans_of_wide_characters(spark):
+    s = "aä€😀b" * 3
+    got = spark.createDataFrame([(s,)], "s string").select(text.byte_spans("s").alias("x")).first().x
+    assert [(r.ch, r.first, r.size) for r in got] == [(c, len(s[:i].encode()), len(c.encode())) for i, c in enumerate(s)]
