@@ -5,6 +5,9 @@ The fact table is ``rung, N, round, corpus, K, bpb, n_seeds``.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,11 +87,16 @@ def power_fit(points: DataFrame, *by: str, c: str = "C", loss: str = "bpb") -> D
     return fit.where("n_points >= 3").select(*by, F.exp("at0").alias("amplitude"), (-F.col("slope")).alias("alpha"), "log_r2", F.sqrt(rest / F.col("n_points")).alias("log_rmse"), "n_points")
 
 
-def _grid_fit(points: DataFrame, by: tuple, alphas: list[float], scale: float, floor: bool) -> DataFrame:
-    """The best of a grid of exponents; for each the linear part has a closed form."""
-    grid = points.sparkSession.createDataFrame([(float(a),) for a in alphas], "alpha double")
+def _grid_fit(points: DataFrame, by: tuple, alphas: list[float] | DataFrame, scale: float, floor: bool) -> DataFrame:
+    """The best of a grid of exponents, one for all groups or (a DataFrame) one for each; for
+    each exponent the linear part has a closed form."""
     x = F.pow(F.col("C") / scale, -F.col("alpha"))
-    rows = points.crossJoin(F.broadcast(grid)).select(*by, "alpha", x.alias("x"), F.col("bpb").alias("y"))
+    if isinstance(alphas, DataFrame):
+        own = alphas.select("alpha", *[F.col(c).alias(f"_{i}") for i, c in enumerate(by)])
+        crossed = points.join(F.broadcast(own), reduce(and_, [points[c].eqNullSafe(own[f"_{i}"]) for i, c in enumerate(by)], F.lit(True)))
+    else:
+        crossed = points.crossJoin(F.broadcast(points.sparkSession.createDataFrame([(float(a),) for a in alphas], "alpha double")))
+    rows = crossed.select(*by, "alpha", x.alias("x"), F.col("bpb").alias("y"))
     if floor:
         fit = rows.groupBy(*by, "alpha").agg(F.regr_slope("y", "x").alias("amplitude"), F.regr_intercept("y", "x").alias("floor"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"), F.count("*").alias("n_points"))
         sse = F.greatest(F.col("syy") - F.col("amplitude") * F.col("sxy"), F.lit(0.0))
@@ -103,17 +111,14 @@ def _grid_fit(points: DataFrame, by: tuple, alphas: list[float], scale: float, f
 
 def floor_fit(points: DataFrame, *by: str, scale: float = 1e15, lo: float = 0.01, hi: float = 2.0, steps: int = 200, refine: int = 3) -> DataFrame:
     """``loss = floor + amplitude * (C / scale)^-alpha`` by variable projection: for an
-    exponent the rest is a line; a grid of exponents is refined around the best. With
-    groups, the refinement's grid covers the exponents of all of them."""
-    alphas = np.linspace(lo, hi, steps)
-    fit = _grid_fit(points, by, alphas.tolist(), scale, True)
-    for _ in range(refine if not by else 0):
-        r = fit.first()
-        if r is None:
-            break
-        step = alphas[1] - alphas[0]
-        alphas = np.linspace(max(1e-6, r.alpha - step), r.alpha + step, steps)
-        fit = _grid_fit(points, by, alphas.tolist(), scale, True)
+    exponent the rest is a line; a grid of exponents is refined around each group's best."""
+    fit = _grid_fit(points, by, np.linspace(lo, hi, steps).tolist(), scale, True)
+    step = (hi - lo) / (steps - 1)
+    for _ in range(refine):
+        low = F.greatest(F.lit(1e-6), F.col("alpha") - step)
+        at = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: low + (F.col("alpha") + step - low) * i / (steps - 1))
+        fit = _grid_fit(points, by, fit.select(*by, F.explode(at).alias("alpha")), scale, True)
+        step = 2 * step / (steps - 1)
     return fit
 
 

@@ -348,6 +348,12 @@ def floor_power_fit(t):
     return frontier._grid_fit(frontier.pareto(axis(t), "corpus"), ("corpus",), grid, 1e15, True)
 
 
+@query("corpus:s alpha:d amplitude:d floor:d n_points:i")
+def floor_power_fit_refined(t):
+    """The operator itself: exponents refined around each corpus's best."""
+    return frontier.floor_fit(frontier.pareto(axis(t), "corpus"), "corpus")
+
+
 _ARMS = "SELECT corpus, CASE WHEN rung IN ('r0', 'r1') THEN 'selfplay' WHEN rung IN ('r2', 'r3') THEN 'uniform' ELSE 'pcfg' END AS arm, C, bpb FROM ax"
 
 

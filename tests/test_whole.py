@@ -8,7 +8,7 @@ import pytest
 from test_catalog import plain
 
 from tessera.functions import text
-from tessera.operators import curves
+from tessera.operators import curves, frontier
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -44,3 +44,12 @@ def test_spans_of_wide_characters(spark):
     s = "aä€😀b" * 3
     got = spark.createDataFrame([(s,)], "s string").select(text.byte_spans("s").alias("x")).first().x
     assert [(r.ch, r.first, r.size) for r in got] == [(c, len(s[:i].encode()), len(c.encode())) for i, c in enumerate(s)]
+
+
+def test_each_group_has_its_own_exponent(spark):
+    laws = {"a": (0.3137, 2.0, 0.5), "b": (1.2345, 1.0, 0.2), None: (0.071, 3.0, 0.1)}
+    rows = [(g, 1e15 * c, e + k * c**-a) for g, (a, k, e) in laws.items() for c in np.geomspace(0.1, 50, 12).tolist()]
+    fit = frontier.floor_fit(spark.createDataFrame(rows, "g string, C double, bpb double"), "g").collect()
+    assert {r.g for r in fit} == set(laws)
+    for r in fit:
+        assert (r.alpha, r.amplitude, r.floor) == pytest.approx(laws[r.g], abs=2e-4)
