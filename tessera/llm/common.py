@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 512
 #: Bytes of text that a kernel works on at once.
 BATCH_BYTES = 2 << 20
+#: Frees a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,10 +44,16 @@ def prepare(spark: SparkSession) -> None:
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
-    This cuts the lineage: a lost executor costs the tasks it ran, not the plan above."""
+    This cuts the lineage: a lost executor costs the tasks it ran, not the plan above; and
+    once the table is written, nothing needs the shuffle files that led to it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
@@ -84,5 +93,35 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BA
         yield b.slice(begin)
 
 
+def arrow_rows(schema: str, *columns: list) -> pa.Table:
+    """A table with the columns of a simple schema string."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as their bytes of least weight first, then the next: what is zero in all is left out, what is in most compresses."""
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    used = max(1, 8 - int(np.argmax(planes.any(axis=1)[::-1]))) if planes.any() else 1
+    return bytes([used]) + planes[:used].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw), dtype=np.uint64)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkern as K
-from tessera.llm.common import pick, prepare, slices, stash, unstash
+from tessera.llm.common import arrow_rows, pack, pack_sorted, pick, prepare, slices, stash, unpack, unpack_sorted, unstash
 
 WORDS = 1 << 16
 #: Bytes of text of a group of documents, about.
 GROUP_BYTES = 8 << 20
-#: Frees a query's shuffle files when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What stands before the first word of a text.
 START = np.uint64(0x5851F42D4C957F2D)
 
@@ -122,37 +120,12 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
 
 
-def _batch(schema: str, *columns: list) -> pa.Table:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
-    fields = [f.split() for f in schema.split(", ")]
-    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
-
-
-def _pack(x: np.ndarray) -> bytes:
-    """Whole numbers as their bytes of least weight first, then the next: what is zero in all is left out, what is in most compresses."""
-    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8).T
-    used = max(1, 8 - int(np.argmax(planes.any(axis=1)[::-1]))) if planes.any() else 1
-    return bytes([used]) + planes[:used].tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : raw[0]] = planes.T
-    return out.reshape(-1).view("<u8")
-
-
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys by their differences."""
-    return _pack(np.diff(keys, prepend=np.uint64(0)))
-
-
 def _all_keys(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.cumsum(_unpack(x), dtype=np.uint64) for x in column.to_pylist()]
+    return [unpack_sorted(x) for x in column.to_pylist()]
 
 
 def _all_counts(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [_unpack(x).astype(np.int64) for x in column.to_pylist()]
+    return [unpack(x).astype(np.int64) for x in column.to_pylist()]
 
 
 @dataclass
@@ -184,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Models:
             both.append(n + np.bincount(k.before[k.first[chosen[k.first]]], minlength=len(k.keys)))
         cut = _cuts(k.keys, parts)
         b = np.flatnonzero(np.diff(cut)).tolist()
-        return _batch(sent, b, *[[f(x[cut[i] : cut[i + 1]]) for i in b] for f, x in ((_pack_keys, k.keys), *((_pack, n) for n in both))])
+        return arrow_rows(sent, b, *[[f(x[cut[i] : cut[i + 1]]) for i in b] for f, x in ((pack_sorted, k.keys), *((pack, n) for n in both))])
 
     def add(blocks: pa.Table) -> pa.Table:
         keys, at = np.unique(np.concatenate(_all_keys(blocks["keys"])), return_inverse=True)
@@ -194,16 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Models:
             np.add.at(n, at, np.concatenate(_all_counts(blocks[name])))
             both.append(n)
         word = (keys & np.uint64(1)) == 1
-        return _batch(summed, [blocks["b"][0].as_py()], [_pack_keys(keys)], *[[_pack(n)] for n in both], [int(word.sum())], *[[int(n[word].sum())] for n in both])
+        return arrow_rows(summed, [blocks["b"][0].as_py()], [pack_sorted(keys)], *[[pack(n)] for n in both], [int(word.sum())], *[[int(n[word].sum())] for n in both])
 
     blocks = _grouped(docs, parts).groupBy("g").cogroup(good.groupBy("g")).applyInArrow(count, sent)
-    spark = docs.sparkSession
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # once the counts are a table, what was sent for them isn't needed
-    try:
-        counts = stash(blocks.groupBy("b").applyInArrow(add, summed), "bigrams")
-    finally:
-        spark.conf.set(CLEANUP, before)
+    counts = stash(blocks.groupBy("b").applyInArrow(add, summed), "bigrams")
     r = counts.agg(F.sum("words").alias("w"), F.sum("n_good").alias("g"), F.sum("n_every").alias("e")).first()
     return Models(counts.select("b", "keys", "good", "every"), parts, r.w or 0, (r.g or 0, r.e or 0))
 
@@ -220,7 +187,7 @@ def score_documents(docs: DataFrame, models: Models, strength: float = 32.0) ->
         keys = _keys(rows).keys
         cut = _cuts(keys, parts)
         b = np.flatnonzero(np.diff(cut)).tolist()
-        return _batch(asked, [rows["g"][0].as_py()] * len(b), b, [_pack_keys(keys[cut[i] : cut[i + 1]]) for i in b])
+        return arrow_rows(asked, [rows["g"][0].as_py()] * len(b), b, [pack_sorted(keys[cut[i] : cut[i + 1]]) for i in b])
 
     def tell(blocks: pa.Table, counts: pa.Table) -> pa.Table:
         keys = np.concatenate([np.empty(0, np.uint64), *_all_keys(counts["keys"])])
@@ -230,8 +197,8 @@ def score_documents(docs: DataFrame, models: Models, strength: float = 32.0) ->
             at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
             known = keys[at] == own if len(keys) else np.zeros(len(own), bool)
             for n, to in zip(both, answers, strict=True):
-                to.append(_pack(np.where(known, n[at], 0) if len(keys) else np.zeros(len(own), np.int64)))
-        return _batch(told, blocks["g"].to_pylist(), blocks["b"].to_pylist(), *answers)
+                to.append(pack(np.where(known, n[at], 0) if len(keys) else np.zeros(len(own), np.int64)))
+        return arrow_rows(told, blocks["g"].to_pylist(), blocks["b"].to_pylist(), *answers)
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         k, answers = _keys(rows), answers.sort_by("b")
@@ -241,7 +208,7 @@ def score_documents(docs: DataFrame, models: Models, strength: float = 32.0) ->
             p = (n[k.word] + 1) / (every + size)
             loss.append(-np.log2((n[k.pair] + strength * p) / (n[k.before] + strength)))
         mean = [np.bincount(k.text_of, x, len(k.n)) / np.maximum(k.n, 1) for x in (*loss, loss[1] - loss[0])]
-        return _batch(out, rows["doc_id"].to_pylist(), k.n, *mean)
+        return arrow_rows(out, rows["doc_id"].to_pylist(), k.n, *mean)
 
     answers = rows.groupBy("g").applyInArrow(ask, asked).groupBy("b").cogroup(models.counts.groupBy("b")).applyInArrow(tell, told)
     return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(score, out)

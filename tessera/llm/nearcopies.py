@@ -1,22 +1,29 @@
 """Near-copy groups: SimHash links, and an exact join of shingle sets for what they miss.
 
 Two rows are linked if their SimHash fingerprints differ in 3 bits at most (``simhash``),
-or if the Jaccard similarity of their sets of shingles is ``least`` or more; equal sets
-are one class before any key is made.
-
-*Candidates.* All sets are put in one order of shingles, and only the first
-``n - ceil(least * n) + 1`` of each are indexed: similar sets share one of these. Any
-common order gives all links. Here shingles that many rows hold come last, by a table of
-``BUCKETS`` hashed counts over all rows, so a passage that many texts share is hardly ever
-indexed. Sets whose lengths differ too much are no candidates.
-
-*Groups.* A key's sets never become all their pairs: the first few are pivots, which meet
-all the others. What the links found joins meets no more; the sets that are left form the
-key's group in the next round, with more pivots, until no group has any left. A task holds
-the pivots alone, however large the group.
-
-*Verification.* The common part of the indexed shingles bounds the overlap from above;
-pairs that pass are compared on whole sets, made again from whole texts.
+or if the Jaccard similarity of their sets of shingles is ``least`` or more. Equal sets are
+one class, named by 128 bits, before any key is made.
+
+*Order.* All sets are put in one order of shingles: by the number of classes that hold
+them, then by hash. That number is exact but for a share of about 2**-8 of the shingles,
+whose shortened keys meet others and which then count as more frequent, in every set
+alike, so any link is found all the same. It comes from one exchange of packed keys: a
+group of texts sends each of its shingles once, a shard adds up what all groups sent, and
+the answers (the logarithm of the number, 4 bits) go back in the order sent.
+
+*Candidates.* Similar sets share one of the first ``n - ceil(least * n) + 1`` shingles of
+each. Shingles that one class alone holds make no candidate and are left out, though they
+keep their places: so texts that nothing resembles, most of them, send nothing further.
+
+*Groups.* First each class meets the leader, the smallest name, of the classes that share
+one of its ``LEADERS`` min-hashes: a few pairs for each class, which join most of a group
+of copies however large. After that only classes of different components can still add a
+link. Those that share an indexed shingle become a pair if their sizes and their places in
+both orders leave room for enough common shingles; keys whose classes are all of one
+component are left out before. A key of more than ``KEY_BLOCK`` classes is cut into blocks
+that meet in pairs, in separate tasks. Nothing is capped.
+
+*Verification.* Pairs are compared on their whole sets.
 
 Null and empty texts have no shingles: they link through their fingerprint 0 alone.
 Repeated rows are kept. A row without ``doc_id`` takes part like any other.
@@ -28,18 +35,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
 from tessera.llm import textkern as K
-from tessera.llm.common import prepare, slices, stash, unstash
+from tessera.llm.common import arrow_rows, pack_sorted, prepare, slices, stash, unpack_sorted, unstash
 from tessera.llm.components import components
 
 LEAST = 0.8
-#: Entries of the table of counts that orders shingles.
-BUCKETS = 1 << 20
-MAX_PIVOTS = 4096
+LEADERS = 4
+KEY_BLOCK = 4096
+#: Bytes of text of a group, and how many groups' shingles a shard adds up.
+GROUP_BYTES = 8 << 20
+SHARD_GROUPS = 4
 
 
 def distinct_hashes(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,157 +64,237 @@ def distinct_hashes(texts: list[str | None], words: int) -> tuple[np.ndarray, np
     return fp, h[first], np.bincount(doc[first], minlength=len(total))
 
 
+def set_names(h: np.ndarray, n: np.ndarray) -> pa.BinaryArray:
+    """16 bytes that name each set; those of empty sets are null."""
+    has, parts = np.flatnonzero(n), []
+    for key in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
+        name = K.mix(n.astype(np.uint64) * np.uint64(key))
+        if len(h):
+            name[has] += np.add.reduceat(K.mix(h * np.uint64(key)), (np.cumsum(n) - n)[has])
+        parts.append(name)
+    raw = np.stack(parts, axis=1).tobytes()
+    return pa.array([raw[16 * i : 16 * i + 16] if k else None for i, k in enumerate(n.tolist())], pa.binary())
+
+
 def prefix_length(n, least: float):
-    """How many shingles of a set of ``n`` are indexed."""
+    """How many shingles of a set of ``n`` are looked at."""
     return np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
 
 
 def _lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(values.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(values))
 
 
-def levels(docs: DataFrame, words: int) -> bytes:
-    """For every bucket of shingle hashes, how many times the mean count it holds (log 2, from 0)."""
+def with_names(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, fp, sk, n`` for every row: fingerprint, name and size of the shingle set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(BUCKETS, np.int64)
         for b in slices(batches):
-            _, h, _ = distinct_hashes(b.column(0).to_pylist(), words)
-            count += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(count)
-        for lo in range(0, len(at), 1 << 16):
-            part = at[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(count[part])], ["bucket", "n"])
-
-    counts = docs.select(docs["text"]).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    mean = F.greatest(F.lit(1.0), F.col("total") / BUCKETS)
-    counts = stash(counts, "counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = counts.withColumn("total", F.lit(float(total))).select("bucket", F.floor(F.log2(F.col("n") / mean)).cast("int").alias("level")).where("level > 0").toPandas()
-    unstash(counts)
-    out = np.zeros(BUCKETS, np.uint8)
-    out[heavy["bucket"].to_numpy(np.int64)] = heavy["level"].to_numpy(np.uint8)
-    return out.tobytes()
-
-
-def with_prefixes(docs: DataFrame, words: int, least: float, level: bytes) -> DataFrame:
-    """``doc_id, th, fp, sk, n, prefix`` for every row: hash of the text, fingerprint, name
-    and size of the shingle set, indexed shingles."""
+            fp, h, n = distinct_hashes(b.column(1).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), set_names(h, n), pa.array(n.astype(np.int32))], ["doc_id", "fp", "sk", "n"])
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, fp long, sk binary, n int")
+
+
+def _dealt_texts(docs: DataFrame, groups: int) -> DataFrame:
+    """``pid, text``: the texts' words, each different text once a task, in groups by their hash."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(level, np.uint8)
-        for b in slices(batches):
-            fp, h, n = distinct_hashes(b.column(2).to_pylist(), words)
-            doc = np.repeat(np.arange(len(n)), n)
-            sk = K.mix(n.astype(np.uint64))
-            if len(h):
-                has = np.flatnonzero(n)
-                sk[has] += np.add.reduceat(K.mix(h * np.uint64(0x9E3779B97F4A7C15)), (np.cumsum(n) - n)[has])
-            order = np.lexsort((K.mix(h), rank[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], doc))
-            size = prefix_length(n, least)
-            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            prefix = h[order][place < np.repeat(size, n)]
-            arrays = [b.column(0), b.column(1), pa.array(fp.view(np.int64)), pa.array(sk.view(np.int64)), pa.array(n.astype(np.int32)), _lists(prefix, size)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "fp", "sk", "n", "prefix"])
-
-    return docs.select(docs["doc_id"], F.xxhash64(docs["text"]).alias("th"), docs["text"]).mapInArrow(run, "doc_id long, th long, fp long, sk long, n int, prefix array<long>")
-
-
-def _pairer(pivots: int, least: float):
-    """Rows ``s, sk, n, label`` sorted by ``s`` to ``a, b, n``: pairs (n null) of a pivot and
-    another set of its key, and the key and name of the sets that were no pivots."""
+        seen: set[int] = set()
+        for b in slices(batches, "text"):
+            pids, texts = [], []
+            for t in K.encode(b.column(0).to_pylist(), lower=True):
+                words = b" ".join(t.split())
+                name = xxhash.xxh3_128_intdigest(words)
+                if words and name not in seen:
+                    seen.add(name)
+                    pids.append(name % groups)
+                    texts.append(words.decode("utf-8", "surrogatepass"))
+            if pids:
+                yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int32()), pa.array(texts, pa.string())], ["pid", "text"])
+
+    return docs.select(docs["text"].alias("text")).mapInArrow(run, "pid int, text string")
+
+
+def candidates(docs: DataFrame, words: int, least: float, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``sk, n, keys, places, leaders, hashes`` of every class with an indexed shingle that
+    another class holds: those shingles and their places in the order, min-hashes, whole set."""
+    total = docs.agg(F.sum(F.octet_length(docs["text"]).cast("long"))).first()[0] or 0
+    groups = max(1, -(-total // group_bytes))
+    shards = max(1, groups // SHARD_GROUPS)
+    cut = np.uint64(64 - min(60, max(32, (total // 6 + 1).bit_length() + 8)))
+    base = _dealt_texts(docs, groups)
+    sent, said = "shard int, pid int, keys binary, many binary", "pid int, shard int, levels binary"
+    out = "sk binary, n int, keys array<long>, places array<int>, leaders array<long>, hashes array<long>"
+
+    def sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        parts = [distinct_hashes(b.column(0).to_pylist(), words)[1:] for b in slices(pa.table({"text": sorted(set(table["text"].to_pylist()))}).to_batches())]
+        return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def bounds(keys: np.ndarray) -> np.ndarray:
+        """Where each shard's part of the sorted keys begins."""
+        part = ((keys << cut) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        return np.searchsorted(part, np.arange(shards + 1).astype(np.uint64))
+
+    def send(table: pa.Table) -> pa.Table:
+        keys, n = np.unique(sets(table)[0] >> cut, return_counts=True)
+        at = bounds(keys)
+        some = np.flatnonzero(np.diff(at)).tolist()
+        pid = table["pid"][0].as_py()
+        return arrow_rows(sent, some, [pid] * len(some), [pack_sorted(keys[at[s] : at[s + 1]]) for s in some], [np.packbits(n[at[s] : at[s + 1]] > 1).tobytes() for s in some])
+
+    def count(table: pa.Table) -> pa.Table:
+        parts = [unpack_sorted(x) for x in table["keys"].to_pylist()]
+        more = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for k, x in zip(parts, table["many"].to_pylist(), strict=True)]
+        key, inv = np.unique(np.concatenate(parts), return_inverse=True)
+        df = np.bincount(inv, 1.0 + np.concatenate(more), len(key))
+        level = np.minimum(np.log2(df).astype(np.uint8), 15)[inv]
+        stops, levels = np.cumsum([0, *map(len, parts)]), []
+        for a, b in zip(stops[:-1], stops[1:], strict=True):
+            own = np.concatenate((level[a:b], np.zeros((b - a) % 2, np.uint8)))
+            levels.append((own[::2] << 4 | own[1::2]).tobytes())
+        return arrow_rows(said, table["pid"].to_pylist(), table["shard"].to_pylist(), levels)
+
+    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+        h, n = sets(table) if table.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        keys, inv = np.unique(h >> cut, return_inverse=True)
+        at, level = bounds(keys), np.zeros(len(keys), np.uint8)
+        for s, x in zip(answers["shard"].to_pylist(), answers["levels"].to_pylist(), strict=True):
+            both = np.frombuffer(x, np.uint8)
+            level[at[s] : at[s + 1]] = np.stack((both >> 4, both & 15), axis=1).reshape(-1)[: at[s + 1] - at[s]]
+        level = level[inv]
+        doc, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+        order = np.lexsort((K.mix(h), level, doc))
+        place = np.arange(len(h)) - np.repeat(begin, n)
+        held = (place < np.repeat(prefix_length(n, least), n)) & (level[order] > 0)
+        kept = np.bincount(doc[held], minlength=len(n))
+        own = np.flatnonzero(kept)
+        if not len(own):
+            return arrow_rows(out, *[[]] * 6)
+        inside = np.repeat(kept > 0, n)
+        whole, size = h[inside], n[own]
+        low = [np.minimum.reduceat(K.mix(whole ^ K.mix(np.array([i + 1], np.uint64))), np.cumsum(size) - size) for i in range(LEADERS)]
+        leaders = np.stack(low, axis=1).reshape(-1) if LEADERS else np.empty(0, np.uint64)
+        columns = set_names(whole, size), size.astype(np.int32), _lists(h[order][held].view(np.int64), kept[own]), _lists(place[held].astype(np.int32), kept[own]), _lists(leaders.view(np.int64), np.full(len(own), LEADERS)), _lists(whole.view(np.int64), size)
+        return arrow_rows(out, *columns)
+
+    answers = base.groupBy("pid").applyInArrow(send, sent).groupBy("shard").applyInArrow(count, said)
+    # texts of equal sets can be in several groups
+    return base.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(finish, out).dropDuplicates(["sk"])
+
+
+def _pairer(least: float):
+    """Rows ``key, n, place, label, sk, one, two`` sorted by key and pair of blocks to pairs
+    ``a, b`` of different labels that may be similar."""
+
+    def find(key: np.ndarray, n: np.ndarray, place: np.ndarray, label: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of both rows of each pair, in runs of equal keys."""
+        left, right = [], []
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
+        room, need = n - place, least / (1 + least)
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            for a in range(lo, hi, 512):
+                i = np.arange(a, min(a + 512, hi))[:, None]
+                j = np.arange(a, hi)[None, :]
+                fit = (i < j) & (label[i] != label[j]) & (other[i] != other[j])
+                fit &= np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
+                # the first common shingle is followed by no more than the rest of one of the two
+                fit &= np.minimum(room[i], room[j]) >= need * (n[i] + n[j]) - 1e-9
+                x, y = np.nonzero(fit)
+                left.append(x + a)
+                right.append(y + a)
+        return np.concatenate(left), np.concatenate(right)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(a: np.ndarray, b: np.ndarray, n: np.ndarray | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()) if n is None else pa.array(n)], ["a", "b", "n"])
+        held = None
 
-        held = [np.empty(0, np.int64)] * 2 + [np.empty(0, np.int32), np.empty(0, np.int64)]
-        for got in batches:
-            if not got.num_rows:
-                continue
-            carried = len(held[0])
-            s, sk, n, label = cols = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, got.columns, strict=True)]
-            at = np.arange(len(s))
-            new = np.ones(len(s), bool)
-            new[1:] = s[1:] != s[:-1]
-            start = np.maximum.accumulate(np.where(new, at, 0))
-            rank = at - start
-            held = [c[start[-1] :][:pivots] for c in cols]
-            fresh = at >= carried
-            for j in range(pivots):
-                i = np.flatnonzero(fresh & (rank > j))
-                if not len(i):
-                    break
-                p = start[i] + j
-                ok = (label[i] != label[p]) & (np.minimum(n[i], n[p]) >= least * np.maximum(n[i], n[p]) - 1e-9)
-                if ok.any():
-                    yield batch(np.minimum(sk[i[ok]], sk[p[ok]]), np.maximum(sk[i[ok]], sk[p[ok]]), None)
-            i = np.flatnonzero(fresh & (rank >= pivots))
+        def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            g, n, place, label, side = (rows[c].to_numpy() for c in ("g", "n", "place", "label", "side"))
+            i, j = find(g, n.astype(np.int64), place.astype(np.int64), label, side)
             if len(i):
-                yield batch(s[i], sk[i], n[i])
-
-    return run
+                names, at = np.unique(np.array(rows["sk"].to_pylist(), "S16"), return_inverse=True)
+                a, b = np.divmod(np.unique(np.minimum(at[i], at[j]) * len(names) + np.maximum(at[i], at[j])), len(names))
+                whole = [x.ljust(16, b"\0") for x in names.tolist()]  # NumPy takes off the last zeros
+                yield pa.RecordBatch.from_arrays([pa.array([whole[k] for k in c.tolist()], pa.binary()) for c in (a, b)], ["a", "b"])
 
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            g = rows["g"].to_numpy()
+            done = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
+            if done:
+                yield from out(rows.slice(0, done).combine_chunks())
+            held = rows.slice(done)
+        if held is not None:
+            yield from out(held.combine_chunks())
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``sk, hashes`` of the classes ``wanted`` (``sk, th``); equal texts are one row before they move."""
+    return run
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            _, h, n = distinct_hashes(b.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(h, n)], ["sk", "hashes"])
 
-    texts = docs.select(F.xxhash64(docs["text"]).alias("th"), docs["text"].alias("text")).groupBy("th").agg(F.min("text").alias("text"))
-    return texts.join(wanted, "th").select("sk", "text").mapInArrow(run, "sk long, hashes array<long>")
+def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """``a, b``: nodes of the pairs of classes whose whole sets are similar."""
+    a = classes.select(F.col("sk").alias("a"), F.col("node").alias("x"), F.col("hashes").alias("ha"))
+    b = classes.select(F.col("sk").alias("b"), F.col("node").alias("y"), F.col("hashes").alias("hb"))
+    both = pairs.join(a, "a").join(b, "b").withColumn("k", F.size(F.array_intersect("ha", "hb")))
+    return both.where(F.col("k") >= least * (F.size("ha") + F.size("hb") - F.col("k")) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _leader_pairs(classes: DataFrame) -> DataFrame:
+    each = classes.select("sk", F.explode("leaders").alias("key"))
+    first = each.groupBy("key").agg(F.min("sk").alias("a"))
+    return each.join(first, "key").where("a <> sk").select("a", F.col("sk").alias("b")).distinct()
+
+
+def _indexed_pairs(classes: DataFrame, label: DataFrame, least: float) -> DataFrame:
+    """Pairs of classes of different components that share an indexed shingle and may be similar."""
+    spark = classes.sparkSession
+    named = classes.join(label, classes.node == label.label_of, "left").select("sk", "n", "keys", "places", F.coalesce("label", "node").alias("label"))
+    each = named.select("sk", "n", "label", F.explode(F.arrays_zip("keys", "places")).alias("e")).select("sk", "n", "label", F.col("e.keys").alias("key"), F.col("e.places").alias("place"))
+    several = each.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / KEY_BLOCK).cast("int").alias("blocks"))
+    met = each.join(several, "key").withColumn("own", F.pmod(F.xxhash64("sk"), F.col("blocks")).cast("int"))
+    # pairs of blocks (smaller, larger); a block meets itself too, and side tells the two apart where they differ
+    whole = met.where("blocks = 1").select(F.xxhash64("key").alias("g"), "n", "place", "label", "sk", F.monotonically_increasing_id().alias("side"))
+    split = met.where("blocks > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    side = F.when(F.col("own") == F.col("with"), F.monotonically_increasing_id()).otherwise(-1 - F.col("own").cast("long"))
+    split = split.select(F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("g"), "n", "place", "label", "sk", side.alias("side"))
+    dealt = whole.unionByName(split).repartition("g").sortWithinPartitions("g")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    try:
+        return stash(dealt.mapInArrow(_pairer(least), "a binary, b binary").distinct(), "met")
+    finally:
+        prepare(spark)
 
 
 def near_copy_groups(docs: DataFrame, words: int = 5, least: float = LEAST) -> DataFrame:
     """``doc_id, fp, component_id, label`` for every row: the smallest ``doc_id`` that links
     lead to (null if none has one), and a number for the component."""
-    spark = docs.sparkSession
-    prepare(spark)
-    rows = stash(with_prefixes(docs, words, least, levels(docs, words)), "prefixes")
+    prepare(docs.sparkSession)
+    rows = stash(with_names(docs, words), "names")
     own = rows.groupBy("fp").agg(F.min("doc_id").alias("own"))
-    sets = rows.where("n > 0")
-    classes = stash(sets.groupBy("sk").agg(F.min("fp").alias("fp"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    first = classes.select("sk", F.col("fp").alias("b"))
-    same = sets.select("sk", F.col("fp").alias("a")).distinct().join(first, "sk").where("a <> b").select("a", "b")
-    edges = simhash.links(own.select("fp")).unionByName(same)
-    label = components(edges)
-
-    def side(name: str) -> DataFrame:
-        return classes.select(F.col("sk").alias(name), F.col("n").alias(f"n{name}"), F.col("prefix").alias(f"p{name}"))
-
-    members, pivots = classes.select("n", "sk", F.explode("prefix").alias("s")), 1
-    while True:
-        current = classes.select("sk", "fp").join(label, F.col("fp") == F.col("node"), "left").select("sk", F.coalesce("label", "fp").alias("label"))
-        grouped = members.join(current, "sk").select("s", "sk", "n", "label").repartition("s").sortWithinPartitions("s", "sk")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-        try:
-            met = stash(grouped.mapInArrow(_pairer(pivots, least), "a long, b long, n int"), "met")
-        finally:
-            prepare(spark)
-        pairs = met.where("n is null").select("a", "b").distinct()
-        bounded = pairs.join(side("a"), "a").join(side("b"), "b")
-        # beyond the shared prefix, no more than the rest of one of the two can be common
-        need = F.ceil(least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9)
-        most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
-        likely = stash(bounded.where(most >= need).select("a", "b"), "likely")
-        names = likely.select(F.col("a").alias("sk")).unionByName(likely.select(F.col("b").alias("sk"))).distinct()
-        if not likely.isEmpty():
-            whole = stash(_whole_sets(docs, classes.select("sk", "th", "fp").join(names, "sk").select("sk", "th"), words), "whole")
-            ends = whole.join(classes.select("sk", "fp"), "sk")
-            a = ends.select(F.col("sk").alias("a"), F.col("fp").alias("fa"), F.col("hashes").alias("ha"))
-            b = ends.select(F.col("sk").alias("b"), F.col("fp").alias("fb"), F.col("hashes").alias("hb"))
-            both = likely.join(b, "b").join(a, "a").withColumn("k", F.size(F.array_intersect("ha", "hb")))
-            alike = both.where(F.col("k") >= least * (F.size("ha") + F.size("hb") - F.col("k")) - 1e-9).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-            label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(alike))
-            unstash(whole)
-        unstash(likely)
-        members = met.where("n is not null").select("n", F.col("b").alias("sk"), F.col("a").alias("s"))
-        if members.isEmpty():
-            break
-        pivots = min(16 * pivots, MAX_PIVOTS)
+    # a class stands for its smallest fingerprint, and equal sets of other fingerprints link to it
+    every = rows.where("n > 0").select("sk", "fp").distinct()
+    node = every.groupBy("sk").agg(F.min("fp").alias("node"))
+    same = every.join(node, "sk").where("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
+    found = stash(candidates(docs, words, least), "candidates")
+    classes = stash(found.join(node, "sk"), "classes")
+    unstash(found)
+    near = simhash.links(own.select("fp"))
+    label = components(near.unionByName(same).unionByName(_alike(_leader_pairs(classes), classes, least)))
+    of = label.withColumnRenamed("node", "label_of")
+    met = _indexed_pairs(classes, of, least)
+    if not met.isEmpty():
+        more = stash(_alike(met, classes, least), "alike")
+        if not more.isEmpty():
+            name = lambda c: F.coalesce(F.col("label"), F.col(c))
+            lifted = more.join(of, more.a == of.label_of, "left").select(name("a").alias("a"), "b").join(of, F.col("b") == of.label_of, "left").select("a", name("b").alias("b"))
+            higher = components(lifted)
+            every = label.unionByName(higher.select("node", F.col("node").alias("label"))).distinct()  # a single node is its own label
+            moved = higher.select(F.col("node").alias("label"), F.col("label").alias("top"))
+            label = every.join(moved, "label", "left").groupBy("node").agg(F.min(F.coalesce("top", "label")).alias("label"))
     named = own.join(label, own.fp == label.node, "left").select("fp", "own", F.coalesce("label", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("own").alias("component_id"))
-    return rows.join(named.select("fp", "label").join(smallest, "label"), "fp").select("doc_id", "fp", "component_id", "label")
+    out = stash(rows.join(named.select("fp", "label").join(smallest, "label"), "fp").select("doc_id", "fp", "component_id", "label"), "groups")
+    for x in (rows, classes, met):
+        unstash(x)
+    return out

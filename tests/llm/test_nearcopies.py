@@ -81,9 +81,23 @@ def test_groups_equal_all_pairs(spark):
     assert len(set(want)) < len(set(alone.values()))  # what SimHash by itself misses
 
 
-def test_few_pivots_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(N, "MAX_PIVOTS", 2)
-    check(spark, corpus(bases=6, cluster=8))
+def test_small_blocks_and_no_leaders_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(N, "KEY_BLOCK", 3)
+    monkeypatch.setattr(N, "SHARD_GROUPS", 1)
+    monkeypatch.setattr(N, "GROUP_BYTES", 4000)
+    monkeypatch.setattr(N, "LEADERS", 0)
+    monkeypatch.setattr(N.candidates, "__defaults__", (4000,))
+    check(spark, corpus(bases=10, cluster=25))
+
+
+def test_shared_passages_make_no_links(spark):
+    """Texts of several common passages, similar only to those with most of the same."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+    passages = [" ".join(rng.choice(words, 30)) for _ in range(8)]
+    rows = [(i, " ".join(passages[k] for k in sorted(rng.choice(8, rng.integers(1, 8), replace=False)))) for i in range(120)]
+    want = check(spark, rows)
+    assert 1 < len(set(want)) < 120
 
 
 def test_real_rows_and_empty_table(spark):
