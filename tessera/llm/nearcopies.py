@@ -15,9 +15,10 @@ the answers (the logarithm of the number, 4 bits) go back in the order sent.
 each. Shingles that one class alone holds make no candidate and are left out, though they
 keep their places: so texts that nothing resembles, most of them, send nothing further.
 
-*Groups.* First each class meets the leader, the smallest name, of the classes that share
-one of its ``LEADERS`` min-hashes: a few pairs for each class, which join most of a group
-of copies however large. After that only classes of different components can still add a
+*Groups.* First each class meets the leader of the classes that share one of its
+``LEADERS`` min-hashes: the one with the most common shingles on average, for that is the
+original of many copies or the least changed of them. These few pairs for each class join
+most of a group of copies however large. After that only classes of different components can still add a
 link. Those that share an indexed shingle become a pair if their sizes and their places in
 both orders leave room for enough common shingles; keys whose classes are all of one
 component are left out before. A key of more than ``KEY_BLOCK`` classes is cut into blocks
@@ -117,15 +118,16 @@ def _dealt_texts(docs: DataFrame, groups: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, words: int, least: float, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """``sk, n, keys, places, leaders, hashes`` of every class with an indexed shingle that
-    another class holds: those shingles and their places in the order, min-hashes, whole set."""
+    """``sk, n, score, keys, places, leaders, hashes`` of every class with an indexed shingle
+    that another class holds: the mean level of its shingles, the indexed ones and their
+    places in the order, min-hashes, whole set."""
     total = docs.agg(F.sum(F.octet_length(docs["text"]).cast("long"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     shards = max(1, groups // SHARD_GROUPS)
     cut = np.uint64(64 - min(60, max(32, (total // 6 + 1).bit_length() + 8)))
     base = _dealt_texts(docs, groups)
     sent, said = "shard int, pid int, keys binary, many binary", "pid int, shard int, levels binary"
-    out = "sk binary, n int, keys array<long>, places array<int>, leaders array<long>, hashes array<long>"
+    out = "sk binary, n int, score double, keys array<long>, places array<int>, leaders array<long>, hashes array<long>"
 
     def sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         parts = [distinct_hashes(b.column(0).to_pylist(), words)[1:] for b in slices(pa.table({"text": sorted(set(table["text"].to_pylist()))}).to_batches())]
@@ -170,12 +172,13 @@ def candidates(docs: DataFrame, words: int, least: float, group_bytes: int = GRO
         kept = np.bincount(doc[held], minlength=len(n))
         own = np.flatnonzero(kept)
         if not len(own):
-            return arrow_rows(out, *[[]] * 6)
+            return arrow_rows(out, *[[]] * 7)
         inside = np.repeat(kept > 0, n)
         whole, size = h[inside], n[own]
         low = [np.minimum.reduceat(K.mix(whole ^ K.mix(np.array([i + 1], np.uint64))), np.cumsum(size) - size) for i in range(LEADERS)]
         leaders = np.stack(low, axis=1).reshape(-1) if LEADERS else np.empty(0, np.uint64)
-        columns = set_names(whole, size), size.astype(np.int32), _lists(h[order][held].view(np.int64), kept[own]), _lists(place[held].astype(np.int32), kept[own]), _lists(leaders.view(np.int64), np.full(len(own), LEADERS)), _lists(whole.view(np.int64), size)
+        score = np.add.reduceat(level[inside].astype(np.float64), np.cumsum(size) - size) / size
+        columns = set_names(whole, size), size.astype(np.int32), score, _lists(h[order][held].view(np.int64), kept[own]), _lists(place[held].astype(np.int32), kept[own]), _lists(leaders.view(np.int64), np.full(len(own), LEADERS)), _lists(whole.view(np.int64), size)
         return arrow_rows(out, *columns)
 
     answers = base.groupBy("pid").applyInArrow(send, sent).groupBy("shard").applyInArrow(count, said)
@@ -241,8 +244,8 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 
 def _leader_pairs(classes: DataFrame) -> DataFrame:
-    each = classes.select("sk", F.explode("leaders").alias("key"))
-    first = each.groupBy("key").agg(F.min("sk").alias("a"))
+    each = classes.select("sk", "score", F.explode("leaders").alias("key"))
+    first = each.groupBy("key").agg(F.max(F.struct("score", "sk")).alias("first")).select("key", F.col("first.sk").alias("a"))
     return each.join(first, "key").where("a <> sk").select("a", F.col("sk").alias("b")).distinct()
 
 
