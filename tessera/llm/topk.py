@@ -1,23 +1,26 @@
 """Exact top-k by integer inner product, with no random access to the lists (NRA).
 
-Components become floor(scale * x). The candidates are dealt into blocks; a block keeps,
-for every dimension, its candidates sorted by that component. A query reads these lists in
-turn, from the end that its own component favours, and keeps for each candidate a lower
-and an upper bound: what has been read, plus the least or the most that unread lists can
-add. It stops as soon as no candidate outside the k best lower bounds has an upper bound
-that reaches the k-th, or goes on a step deeper; then the final scores of whoever still
-qualifies are resolved. Bounds are sums of integers in doubles, so they are exact.
-
-Reading a list to depth d is the same for all queries with one sign in that dimension, so
-the bounds of a whole block of queries are a few matrix products.
-
-The stated queries meet all blocks of candidates: queries travel in blocks, once to each
-block of candidates, and only k rows for each query and block come back.
+Components become floor(scale * x). The candidates are dealt into blocks; a block is kept
+as its sorted lists alone, one for each dimension, of (component, candidate). A query reads
+these lists in turn, from the end that its own component favours, a step at a time, and
+keeps for each candidate a lower and an upper bound: the sum of what has been read, plus
+the least or the most that unread entries can add. A candidate whose upper bound is under
+the k-th lower bound is out for good; reading stops when nobody else can qualify and the
+bounds of all who do have met, which are then their scores. Nothing is ever looked up by
+candidate: at full depth the sum of what has been read is the score.
+
+All queries of a group read one step of a list together, so a step is a few matrix products
+over the entries just read. How early reading stops depends on the data: sparse or skewed
+vectors end after a small part of the lists, dense ones of many even components are read
+whole (see the README).
+
+The stated queries meet all blocks of candidates: a block meets ``query_group`` queries in
+one task, and only k rows for each query and block come back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,126 +28,145 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, stash
+from tessera.llm.common import arrow_rows, prepare, stash
 
 BLOCK = 8192
 QUERIES = 512
+#: Queries that a block of candidates meets in one task.
+QUERY_GROUP = 1 << 14
 SCALE = 256
-#: Parts of the lists that are read before bounds are compared again.
-DEPTHS = (0.25, 0.6)
+#: Parts of the lists after which bounds are compared.
+STEPS = (1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4)
+
+
+def _exact(x: np.ndarray, q: np.ndarray) -> type:
+    """Doubles hold every sum of products exactly, or else Python's integers do."""
+    most = [max(abs(int(v.max())), abs(int(v.min()))) if v.size else 0 for v in (x, q)]
+    return np.float64 if most[0] * most[1] * max(1, x.shape[1]) < 1 << 52 else object
 
 
 class SortedLists:
-    """The candidates of a block, ranked in each dimension."""
+    """The candidates of a block as one ascending list for each dimension."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
-        n = len(x)
-        order = np.argsort(x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(x, order, axis=0)
-        self.rank = np.empty_like(order, dtype=np.int32)
-        np.put_along_axis(self.rank, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
-
-    def bounds(self, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds [queries, candidates] after ``depth`` reads of every list."""
-        n = len(self.x)
-        lower = np.zeros((len(q), n))
-        upper = np.zeros((len(q), n))
-        # positive components read lists from the top, negative ones from the bottom
-        for part, seen, worst, edge in (
-            (np.maximum(q, 0), self.rank >= n - depth, self.sorted[0], self.sorted[n - depth]),
-            (np.minimum(q, 0), self.rank < depth, self.sorted[-1], self.sorted[depth - 1]),
-        ):
-            read = part @ np.where(seen, self.x, 0).T
-            unread = (~seen).astype(np.float64).T
-            lower += read + (part * worst) @ unread
-            upper += read + (part * edge) @ unread
-        return lower, upper
+        self.ids, self.n = ids, len(x)
+        self.who = np.argsort(x, axis=0, kind="stable")
+        self.value = np.take_along_axis(x, self.who, axis=0)
+        #: Entries that the last call of :meth:`top` read.
+        self.reads = 0
+
+    def _read(self, begin: int, end: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """The entries ``begin:end`` of every list, by candidate, and which these are."""
+        value, seen = np.zeros(self.value.shape, kind), np.zeros(self.value.shape, bool)
+        dim = np.arange(self.value.shape[1])
+        value[self.who[begin:end], dim] = self.value[begin:end]
+        seen[self.who[begin:end], dim] = True
+        return value, seen
 
     def top(self, qids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query the ids and scores of its k best in this block, other than itself."""
-        n = len(self.x)
-        own = self.ids[None, :] == qids[:, None]
-        open_ = np.arange(len(q))
-        qualify = np.ones((len(q), n), bool)
-        for share in DEPTHS:
-            depth = max(1, int(share * n))
-            if n <= 4 * k or not len(open_):
+        """For each query the numbers and scores of its k best in this block, other than rows of its own id."""
+        n, kind = self.n, _exact(self.value, q)
+        q = q.astype(kind)
+        # positive components read lists from the top, negative ones from the bottom
+        high, low = np.where(q > 0, q, 0).astype(kind), np.where(q < 0, q, 0).astype(kind)
+        unseen = [np.ones(self.value.shape, bool), np.ones(self.value.shape, bool)]
+        alive = self.ids[None, :] != qids[:, None]
+        cols, total = np.arange(n), np.zeros((len(q), n), kind)
+        lower = upper = total
+        self.reads = depth = 0
+        for to in sorted({*(max(1, int(s * n)) for s in STEPS), n} if n else ()):
+            for part, side, (begin, end) in ((high, 0, (n - to, n - depth)), (low, 1, (depth, to))):
+                if part.any():
+                    value, seen = self._read(begin, end, kind)
+                    unseen[side] &= ~seen
+                    total += part @ value[cols].T
+                    self.reads += (end - begin) * int(part.any(axis=0).sum())
+            lower, upper = total.copy(), total.copy()
+            if to < n:
+                for part, side, worst, edge in ((high, 0, self.value[0], self.value[n - to - 1]), (low, 1, self.value[-1], self.value[to])):
+                    if part.any():
+                        rest = unseen[side][cols].T.astype(kind)
+                        lower += (part * worst.astype(kind)) @ rest
+                        upper += (part * edge.astype(kind)) @ rest
+                if k < len(cols):
+                    known = np.where(alive, lower, -np.inf if kind is np.float64 else -(1 << 200))
+                    alive &= upper >= np.partition(known, len(cols) - k, axis=1)[:, len(cols) - k, None]
+            depth = to
+            if (lower == upper)[alive].all():
                 break
-            lower, upper = self.bounds(q[open_], depth)
-            lower[own[open_]] = -np.inf
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-            qualify[open_] = upper >= kth[:, None]
-            open_ = open_[qualify[open_].sum(axis=1) > 4 * k]
-        qualify &= ~own
+            keep = np.flatnonzero(alive.any(axis=0))  # nobody reads the entries of the others any more
+            if len(keep) < len(cols):
+                cols, total, alive = cols[keep], total[:, keep], alive[:, keep]
+                lower, upper = lower[:, keep], upper[:, keep]
         for i in range(len(q)):
-            at = np.flatnonzero(qualify[i])
-            score = self.x[at] @ q[i]
-            best = np.lexsort((self.ids[at], -score))[:k]
-            yield self.ids[at[best]], score[best].astype(np.int64)
+            own = np.flatnonzero(alive[i])
+            best = np.lexsort((self.ids[cols[own]], -lower[i, own]))[:k]
+            yield cols[own[best]], lower[i, own[best]].astype(np.int64)
 
 
-def _pack(df: DataFrame, block: str, scale: int) -> DataFrame:
+def _pack(df: DataFrame, block: str, scale: int, *more: str) -> DataFrame:
     """A row for each block: ids and integer components."""
-    rows = df.select("vec_id", block, F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("x"))
-    return rows.groupBy(block).agg(F.collect_list(F.struct("vec_id", "x")).alias("rows"))
+    rows = df.select("vec_id", block, *more, F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("x"))
+    return rows.groupBy(block).agg(F.collect_list(F.struct("vec_id", "x", *more)).alias("rows"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's ``k`` highest scores among
-    ``vectors`` other than its own row; ties go to the smaller ``vec_id``.
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE, block: int = BLOCK, query_block: int = QUERIES, query_group: int = QUERY_GROUP) -> DataFrame:
+    """``query_id, rank, vec_id, score``: each query's ``k`` highest scores among the rows of
+    ``vectors`` other than its own; ties go to the smaller ``vec_id``.
 
-    Both tables have ``vec_id`` and ``embedding``. Rows with a null id, and vectors that
-    are null or hold null or non-finite components, take no part; rows that repeat a
-    ``vec_id`` count once, with the smallest vector; shorter vectors count as padded with
-    zeros. Blocks hold at most about twice ``block`` rows: their number follows the count."""
+    Both tables have ``vec_id`` and ``embedding``. Vectors that are null or hold null or
+    non-finite components take no part; shorter ones count as padded with zeros. Every other
+    row is a candidate, those that repeat a ``vec_id`` each by itself, those without one too
+    (null in the result, last among ties). Rows that share a query's id count as its own. A
+    query without an id is none; rows that repeat a query's id are each a query with ranks of
+    its own, where their vectors differ. Sums are exact; a score beyond a long is an error.
+    Blocks hold about ``block`` rows: their number follows the count."""
     spark = vectors.sparkSession
     prepare(spark)
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
-
-    def clean(df: DataFrame) -> DataFrame:
-        return df.where(df.vec_id.isNotNull() & df.embedding.isNotNull() & finite).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-
-    have, ask = stash(clean(vectors), "vectors"), stash(clean(queries), "queries")
+    clean = lambda df: df.select(df["vec_id"].cast("long").alias("vec_id"), df["embedding"].alias("embedding")).where(F.col("embedding").isNotNull() & finite)
+    ask = stash(clean(queries).where("vec_id is not null").distinct().withColumn("number", F.monotonically_increasing_id()), "queries")
+    have = clean(vectors)
     n_have, n_ask = have.count(), ask.count()
     blocks, query_blocks = max(1, -(-n_have // block)), max(1, -(-n_ask // query_block))
-    have = _pack(have.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "block", scale)
-    ask = _pack(ask.withColumn("asked", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks))), "asked", scale)
-    ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumnRenamed("rows", "asks")
-    pairs = have.hint("shuffle_merge").join(ask, "block").select("block", "rows", "asks")
-
-    def matrix(rows: pa.ListScalar, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        part = rows.values
-        ids, x = part.field("vec_id").to_numpy(zero_copy_only=False), part.field("x")
+    groups = max(1, -(-n_ask // query_group))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    have = _pack(have.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks))), "block", scale).withColumn("group", numbers(groups))
+    ask = _pack(ask.withColumn("asked", F.pmod(F.xxhash64("number"), F.lit(query_blocks))), "asked", scale, "number")
+    ask = ask.withColumn("group", F.pmod("asked", F.lit(groups))).withColumn("block", numbers(blocks))
+
+    def matrix(part: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        ids, x = part.field("vec_id"), part.field("x")
         sizes = pc.list_value_length(x).to_numpy(zero_copy_only=False)
-        flat = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        out = np.zeros((len(ids), max(int(sizes.max(initial=0)), width)))
-        out[np.repeat(np.arange(len(ids)), sizes), np.concatenate([np.arange(s) for s in sizes])] = flat
-        return ids, out
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lists = None, None
-        for b in batches:
-            for i in range(b.num_rows):
-                qids, q = matrix(b.column(2)[i])
-                if lists is None or b.column(0)[i].as_py() != last:
-                    ids, x = matrix(b.column(1)[i])
-                    last, lists = b.column(0)[i].as_py(), SortedLists(ids, x)
-                width = max(lists.x.shape[1], q.shape[1])
-                if width > lists.x.shape[1]:
-                    lists = SortedLists(lists.ids, np.pad(lists.x, ((0, 0), (0, width - lists.x.shape[1]))))
+        out = np.zeros((len(ids), int(sizes.max(initial=0))), np.int64)
+        out[np.repeat(np.arange(len(ids)), sizes), np.concatenate([np.arange(s) for s in sizes])] = x.flatten().to_numpy(zero_copy_only=False)
+        return pc.fill_null(ids, np.iinfo(np.int64).max).to_numpy(zero_copy_only=False), out
+
+    schema = "query_id long, number long, vec_id long, score long"
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[list] = [[], [], [], []]
+        if left.num_rows and right.num_rows:
+            rows = left["rows"].combine_chunks().flatten()
+            ids, x = matrix(rows)
+            named, lists = rows.field("vec_id"), None
+            for chunk in right["rows"]:
+                part = chunk.values
+                qids, q = matrix(part)
+                number = part.field("number").to_numpy(zero_copy_only=False)
+                width = max(x.shape[1], q.shape[1])
+                if lists is None or width > x.shape[1]:
+                    x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+                    lists = SortedLists(ids, x)
                 q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
                 for lo in range(0, len(q), 128):
-                    found = list(lists.top(qids[lo : lo + 128], q[lo : lo + 128], k))
-                    sizes = [len(f[0]) for f in found]
-                    if sum(sizes):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[lo : lo + 128], sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
-
-    conf = spark.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    near = stash(pairs.mapInArrow(run, "query_id long, vec_id long, score long"), "near")
-    prepare(spark)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                    for i, (at, score) in enumerate(lists.top(qids[lo : lo + 128], q[lo : lo + 128], k), lo):
+                        for column, values in zip(found, ([qids[i]] * len(at), [number[i]] * len(at), named.take(pa.array(at)).to_pylist(), score.tolist()), strict=True):
+                            column.extend(values)
+        return arrow_rows(schema, *found)
+
+    near = stash(have.groupBy("block", "group").cogroup(ask.groupBy("block", "group")).applyInArrow(best, schema), "near")
+    order = Window.partitionBy("query_id", "number").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
