@@ -7,8 +7,9 @@ mean over its tokens of background loss minus target loss, in bits; higher is mo
 target.
 
 Every document is counted and every document is scored, whole; every word and every pair of
-words has its own count, however many there are. Words and pairs are named by 63-bit hashes
-(the lowest bit tells one from the other). Counts are a table over the range of the hashes,
+words has its own count, however many there are. Words and pairs are named by hashes (the
+lowest bit tells one from the other) of so many bits that of all keys a share of about
+2**-20 meets another, whatever the size of the corpus (63 bits at most). Counts are a table over the range of the hashes,
 cut into as many parts as the text has groups of ``GROUP_BYTES``: nothing of it is gathered.
 A group of documents adds up its own keys before it sends them, asks each part once for the
 keys it has, and gets back counts in the order of its sorted keys; so a frequent pair is one
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from tessera.llm import textkern as K
 from tessera.llm.common import arrow_rows, pack, pack_sorted, pick, prepare, slices, stash, unpack, unpack_sorted, unstash
 
-WORDS = 1 << 16
-#: Bytes of text of a group of documents, about.
+#: Bytes of text of a group of documents, about; groups for each part of the counts.
 GROUP_BYTES = 8 << 20
+PART_GROUPS = 4
 #: What stands before the first word of a text.
 START = np.uint64(0x5851F42D4C957F2D)
 
@@ -41,38 +42,17 @@ def _read(texts: list[str | None]) -> tuple[K.Words, np.ndarray]:
     return w, K.word_hashes(w, 5) if len(w.start) else np.empty(0, np.uint64)
 
 
-def vocabulary(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the most frequent words of all documents (ties: smaller hash, as a signed number)."""
+def _text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length(docs["text"]).cast("long"))).first()[0] or 0
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            u, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["h", "n"])
-            held.clear()
-
-        for b in slices(batches):
-            _, h = _read(b.column(0).to_pylist())
-            if len(h):
-                held.append(np.unique(h, return_counts=True))
-            if sum(len(x) for x, _ in held) > 1 << 20:
-                yield from flush()
-        if held:
-            yield from flush()
-
-    counts = pick(docs, "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    # as a table, so that the tasks' own top words meet in a task and not in the driver
-    top = stash(counts.orderBy(F.desc("n"), "h").limit(words).select("h"), "vocabulary")
-    known = np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
-    unstash(top)
-    return known
+def _group_count(size: int) -> int:
+    return max(1, -(-size // GROUP_BYTES))
 
 
-def _group_count(docs: DataFrame) -> int:
-    size = docs.agg(F.sum(F.octet_length(docs["text"]).cast("long"))).first()[0] or 0
-    return max(1, -(-size // GROUP_BYTES))
+def _key_bits(size: int) -> int:
+    """For about ``size / 6`` words, and pairs of them, and the lowest bit."""
+    return min(64, max(32, (size // 6 + 1).bit_length() + 22))
 
 
 def _grouped(docs: DataFrame, groups: int) -> DataFrame:
@@ -94,18 +74,20 @@ class _Keys:
     n: np.ndarray
 
 
-def _keys(rows: pa.Table) -> _Keys:
+def _keys(rows: pa.Table, bits: int) -> _Keys:
+    short, one = np.uint64(64 - bits), np.uint64(1)
     words, pairs, counts = [], [], []
     for b in slices(rows.select(["text"]).to_batches()):
         w, h = _read(b.column(0).to_pylist())
-        word, n = h | np.uint64(1), w.counts()
-        before = np.concatenate(([START], word[:-1])) if len(word) else word
+        n = w.counts()
+        before = np.concatenate(([START], h[:-1])) if len(h) else h
         before[w.first[:-1][n > 0]] = START
-        words.append(word)
-        pairs.append(K.mix(before * np.uint64(0x9E3779B185EBCA87) + word) & ~np.uint64(1))
+        words.append((h >> short) | one)
+        pairs.append((K.mix(before * np.uint64(0x9E3779B185EBCA87) + h) >> short) & ~one)
         counts.append(n)
     word, pair, n = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((words, np.uint64), (pairs, np.uint64), (counts, np.int64)))
-    keys, at = np.unique(np.concatenate((word, pair, [START][: len(word)])).astype(np.uint64), return_inverse=True)
+    start = np.array([START >> short | one][: len(word)], np.uint64)
+    keys, at = np.unique(np.concatenate((word, pair, start)), return_inverse=True)
     first = (np.cumsum(n) - n)[n > 0]
     word, pair, start = at[: len(word)], at[len(word) : 2 * len(word)], at[2 * len(word) :]
     before = np.empty(len(word), np.int64)
@@ -114,9 +96,9 @@ def _keys(rows: pa.Table) -> _Keys:
     return _Keys(keys, word, pair, before, first, np.repeat(np.arange(len(n)), n), n)
 
 
-def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+def _cuts(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
     """Where each of the parts begins among sorted keys; a part is a range of keys."""
-    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    part = ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
     return np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
 
 
@@ -135,6 +117,7 @@ class Models:
 
     counts: DataFrame
     parts: int
+    bits: int
     words: int
     total: tuple[int, int]
 
@@ -142,20 +125,22 @@ class Models:
 def fit(docs: DataFrame, labels: DataFrame) -> Models:
     """Count both models over all documents."""
     prepare(docs.sparkSession)
-    parts = _group_count(docs)
+    size = _text_bytes(docs)
+    groups, bits = _group_count(size), _key_bits(size)
+    parts = -(-groups // PART_GROUPS)
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    good = good.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("g"), "id")
+    good = good.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"), "id")
     sent, summed = "b long, keys binary, good binary, every binary", "b long, keys binary, good binary, every binary, words long, n_good long, n_every long"
 
     def count(rows: pa.Table, own: pa.Table) -> pa.Table:
-        k = _keys(rows)
+        k = _keys(rows, bits)
         ids = set(own["id"].to_pylist())
         target = np.array([d in ids for d in rows["doc_id"].to_pylist()], bool)[k.text_of]
         both = []
         for chosen in (target, np.ones(len(target), bool)):
             n = np.bincount(k.word[chosen], minlength=len(k.keys)) + np.bincount(k.pair[chosen], minlength=len(k.keys))
             both.append(n + np.bincount(k.before[k.first[chosen[k.first]]], minlength=len(k.keys)))
-        cut = _cuts(k.keys, parts)
+        cut = _cuts(k.keys, parts, bits)
         b = np.flatnonzero(np.diff(cut)).tolist()
         return arrow_rows(sent, b, *[[f(x[cut[i] : cut[i + 1]]) for i in b] for f, x in ((pack_sorted, k.keys), *((pack, n) for n in both))])
 
@@ -169,23 +154,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Models:
         word = (keys & np.uint64(1)) == 1
         return arrow_rows(summed, [blocks["b"][0].as_py()], [pack_sorted(keys)], *[[pack(n)] for n in both], [int(word.sum())], *[[int(n[word].sum())] for n in both])
 
-    blocks = _grouped(docs, parts).groupBy("g").cogroup(good.groupBy("g")).applyInArrow(count, sent)
+    blocks = _grouped(docs, groups).groupBy("g").cogroup(good.groupBy("g")).applyInArrow(count, sent)
     counts = stash(blocks.groupBy("b").applyInArrow(add, summed), "bigrams")
     r = counts.agg(F.sum("words").alias("w"), F.sum("n_good").alias("g"), F.sum("n_every").alias("e")).first()
-    return Models(counts.select("b", "keys", "good", "every"), parts, r.w or 0, (r.g or 0, r.e or 0))
+    return Models(counts.select("b", "keys", "good", "every"), parts, bits, r.w or 0, (r.g or 0, r.e or 0))
 
 
 def score_documents(docs: DataFrame, models: Models, strength: float = 32.0) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss`` (mean bits a token) and ``score``."""
     prepare(docs.sparkSession)
-    parts, total, size = models.parts, models.total, models.words + 1
-    rows = _grouped(docs, _group_count(docs))
+    parts, bits, total, size = models.parts, models.bits, models.total, models.words + 1
+    rows = _grouped(docs, _group_count(_text_bytes(docs)))
     asked, told = "g long, b long, keys binary", "g long, b long, good binary, every binary"
     out = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
     def ask(rows: pa.Table) -> pa.Table:
-        keys = _keys(rows).keys
-        cut = _cuts(keys, parts)
+        keys = _keys(rows, bits).keys
+        cut = _cuts(keys, parts, bits)
         b = np.flatnonzero(np.diff(cut)).tolist()
         return arrow_rows(asked, [rows["g"][0].as_py()] * len(b), b, [pack_sorted(keys[cut[i] : cut[i + 1]]) for i in b])
 
@@ -201,7 +186,7 @@ def score_documents(docs: DataFrame, models: Models, strength: float = 32.0) ->
         return arrow_rows(told, blocks["g"].to_pylist(), blocks["b"].to_pylist(), *answers)
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        k, answers = _keys(rows), answers.sort_by("b")
+        k, answers = _keys(rows, bits), answers.sort_by("b")
         loss = []
         for name, every in zip(("good", "every"), total, strict=True):
             n = np.concatenate([np.empty(0, np.int64), *_all_counts(answers[name])]).astype(float)

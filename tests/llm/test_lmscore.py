@@ -46,13 +46,6 @@ def test_scores_equal_brute_force(spark):
     assert lmscore.score_documents(docs.limit(0), lmscore.fit(docs.limit(0), labels)).count() == 0
 
 
-def test_vocabulary_is_the_most_frequent(spark):
-    docs = spark.createDataFrame([(1, "a a a b b c"), (2, "B c c c")], "doc_id long, text string")
-    top = lmscore.vocabulary(docs, 2)
-    _, h = lmscore._read(["a b c"])
-    assert sorted(top.view(np.int64).tolist()) == sorted(int(x) for x in (h[2:].view(np.int64)[0], h[:2].view(np.int64).min()))
-
-
 def test_words_and_pairs_beyond_any_table_are_counted(spark, monkeypatch):
     """90,000 words and as many pairs: none is unknown, none shares a count, over many parts."""
     monkeypatch.setattr(lmscore, "GROUP_BYTES", 1 << 16)
