@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 from tessera.llm import textkern as K
 from tessera.llm.common import arrow_rows, pack, pack_sorted, pick, prepare, slices, stash, unpack, unpack_sorted, unstash
 
-#: Bytes of text of a group of documents, about; groups for each part of the counts.
-GROUP_BYTES = 8 << 20
-PART_GROUPS = 4
+#: Bytes of text of a group of documents, about; the counts have as many parts as there are groups.
+GROUP_BYTES = 6 << 20
 #: What stands before the first word of a text.
 START = np.uint64(0x5851F42D4C957F2D)
 
@@ -126,10 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Models:
     """Count both models over all documents."""
     prepare(docs.sparkSession)
     size = _text_bytes(docs)
-    groups, bits = _group_count(size), _key_bits(size)
-    parts = -(-groups // PART_GROUPS)
+    parts, bits = _group_count(size), _key_bits(size)
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    good = good.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"), "id")
+    good = good.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("g"), "id")
     sent, summed = "b long, keys binary, good binary, every binary", "b long, keys binary, good binary, every binary, words long, n_good long, n_every long"
 
     def count(rows: pa.Table, own: pa.Table) -> pa.Table:
@@ -145,16 +143,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Models:
         return arrow_rows(sent, b, *[[f(x[cut[i] : cut[i + 1]]) for i in b] for f, x in ((pack_sorted, k.keys), *((pack, n) for n in both))])
 
     def add(blocks: pa.Table) -> pa.Table:
-        keys, at = np.unique(np.concatenate(_all_keys(blocks["keys"])), return_inverse=True)
-        both = []
-        for name in ("good", "every"):
-            n = np.zeros(len(keys), np.int64)
-            np.add.at(n, at, np.concatenate(_all_counts(blocks[name])))
-            both.append(n)
+        keys = np.concatenate(_all_keys(blocks["keys"]))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        keys = keys[first]
+        both = [np.add.reduceat(np.concatenate(_all_counts(blocks[name]))[order], first) for name in ("good", "every")]
         word = (keys & np.uint64(1)) == 1
         return arrow_rows(summed, [blocks["b"][0].as_py()], [pack_sorted(keys)], *[[pack(n)] for n in both], [int(word.sum())], *[[int(n[word].sum())] for n in both])
 
-    blocks = _grouped(docs, groups).groupBy("g").cogroup(good.groupBy("g")).applyInArrow(count, sent)
+    blocks = _grouped(docs, parts).groupBy("g").cogroup(good.groupBy("g")).applyInArrow(count, sent)
     counts = stash(blocks.groupBy("b").applyInArrow(add, summed), "bigrams")
     r = counts.agg(F.sum("words").alias("w"), F.sum("n_good").alias("g"), F.sum("n_every").alias("e")).first()
     return Models(counts.select("b", "keys", "good", "every"), parts, bits, r.w or 0, (r.g or 0, r.e or 0))

@@ -49,7 +49,7 @@ LEAST = 0.8
 LEADERS = 4
 KEY_BLOCK = 4096
 #: Bytes of text of a group, and how many groups' shingles a shard adds up.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 SHARD_GROUPS = 4
 
 
