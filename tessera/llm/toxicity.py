@@ -1,19 +1,27 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Four small transducers read the tokens of a clause: *negation* (a negator holds for three
-tokens), *target* (a person addressed holds for four), *reported speech* (a verb of saying
-or a quotation mark holds to the end of the clause) and *threat* (an intention holds for
-four). They are composed into one machine, whose state is the tuple of their states; a
-token of the insult lexicon, or a verb of violence under an intention, makes it write a
-match: how the clause holds it (plain, targeted, reported, negated) and the entry's
-weight. A document's score is a logistic function of its matches by kind; a match under
-negation or in reported speech, or one that targets nobody, has weights of its own.
-
-*Learning.* Insult entries are whole words and word beginnings, with weights from a
-bounded sample of labelled rows (``MOST_TOXIC`` and ``MOST_CLEAN``, smallest hashes first):
-log odds of documents that have them. The weights of match kinds are fitted on the same
-rows, around prior values in which negation and report weaken a match. Scores read the
-text alone. Null and empty texts, and texts without a match, get the base score.
+*Transducers.* Each has states, reads symbols and writes them on, with a weight. The first,
+*insult*, reads words: a trie of entries (whole words, beginnings of words, and phrases of
+two words) that writes classes of tokens. The others read classes and add a mark to what
+they hold: *threat* (an intention, then a verb of violence), *target* (a person addressed
+holds for four tokens), *negation* (a negator holds for three), *reported speech* (a verb of
+saying holds to the end of its clause, a colon after it included; a quotation holds from its
+opening mark to its closing one, across sentences, within a line). :func:`compose` makes one
+machine of any two: the second reads what the first writes, weights add up.
+
+*Clauses.* A clause ends at a sentence end, semicolon, line end, or a colon that follows no
+verb of saying. The target machine also reads the clause from its end ("idiots like you").
+A match's weight is its entry's, plus what the path through the machine adds or takes; a
+clause's weight is the sum of its matches', and its kind that of the strongest (negated,
+reported, targeted or plain). A document's score is a logistic function of its clauses: by
+kind, the strongest and the sum, and the number of clauses with a threat.
+
+*Learning.* Entries and their weights come from a bounded sample of labelled rows
+(``MOST_TOXIC`` and ``MOST_CLEAN``, smallest hashes of the id first, ties by id): log odds of
+documents that have them. The weights of the score are fitted on the same rows, around prior
+values. Scores read the text alone. Null and empty texts, and texts without a match, get the
+base score. Rows that repeat are scored each; a repeated ``doc_id`` in the sample brings all
+its rows, and equal texts have equal scores.
 """
 
 from __future__ import annotations
@@ -21,6 +29,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +42,13 @@ MOST_TOXIC = 3000
 MOST_CLEAN = 6000
 SHORTEST, LONGEST = 3, 9
 
-_TOKEN = re.compile(r"\w+|[.!?;:\n\"«»“”]")
-OTHER, INSULT, VIOLENCE, TARGET, NEGATION, SAYING, INTENT, QUOTE, STOP = range(9)
+_TOKEN = re.compile(r"\w+n['’]t\b|\w+|[.!?;:\n\"«»“”„]")
+CLASSES = OTHER, TARGET, NEGATION, SAYING, INTENT, QUOTE, OPENING, CLOSING, COLON, STOP, LINE, VIOLENCE, INSULT = range(13)
 PLAIN, TARGETED, REPORTED, NEGATED = range(4)
+#: Marks that transducers add to a symbol.
+MATCH, THREAT_MARK, TARGET_MARK, NEGATION_MARK, REPORT_MARK = 1, 2, 4, 8, 16
+#: What a mark adds to the weight of a match that has it.
+WEIGHTS = {THREAT_MARK: 1.0, TARGET_MARK: 0.5, NEGATION_MARK: -1.0, REPORT_MARK: -1.0}
 #: Words of each class in English, German, French and Spanish.
 GRAMMAR = {
     VIOLENCE: "kill hurt destroy beat stab shoot strangle murder töten umbringen schlagen erschießen tuer frapper détruire poignarder matar golpear destruir apuñalar",
@@ -47,36 +60,94 @@ GRAMMAR = {
 #: Insults known from the start; what the labels show is added to them.
 SEEDS = "idiot moron stupid loser scum trash dumbass retard imbecile pathetic worthless disgusting dummkopf trottel abschaum arschloch imbécile crétin connard ordure idiota estúpido imbécil basura escoria"
 _SEED_WEIGHT = 2.0
-#: Prior weights of the score: the constant, then for each kind of match the strongest
-#: entry and the number of matches, then the number of threats.
+#: Prior weights of the score: the constant, then for each kind the strongest clause and the
+#: sum of clauses, then the number of clauses with a threat.
 PRIOR = np.array([-3.0, 0.9, 1.2, 0.5, 0.3, 0.3, 0.4, 0.2, 0.1, 1.0])
 
 
-def _compose() -> tuple[dict, tuple]:
-    """The transition table of the composed machine: (state, class) -> (state, match)."""
-    start = (0, 0, 0, 0)
-    table, todo = {}, [start]
+class Transducer:
+    """States from 0, and ``arcs``: (state, symbol) to (state, symbol, weight); a symbol is a
+    class of tokens and the marks it has so far."""
+
+    def __init__(self, arcs: dict[tuple[int, tuple[int, int]], tuple[int, tuple[int, int], float]]):
+        self.arcs = arcs
+
+    def run(self, symbols: list[tuple[int, int]]) -> list[tuple[tuple[int, int], float]]:
+        state, out = 0, []
+        for x in symbols:
+            state, y, weight = self.arcs[state, x]
+            out.append((y, weight))
+        return out
+
+
+def transducer(step, mark: int, start: tuple = (0,)) -> Transducer:
+    """The machine of a rule ``step(state, class) -> (state, holds)``, which marks the matches it
+    holds (the threat machine makes matches of its own)."""
+    number, arcs, todo = {start: 0}, {}, [start]
     while todo:
         s = todo.pop()
-        for c in range(9):
-            if (s, c) in table:
-                continue
-            neg, target, said, intent = s
-            match = None
-            if c == INSULT or (c == VIOLENCE and intent):
-                match = NEGATED if neg else REPORTED if said else TARGETED if target else PLAIN
-            if c == STOP:
-                new = start
-            else:
-                step = lambda now, on, length: length if on else max(0, now - 1)
-                new = (step(neg, c == NEGATION, 3), step(target, c == TARGET, 4), 1 if c == SAYING else 1 - said if c == QUOTE else said, step(intent, c == INTENT, 4))
-            table[s, c] = new, match
-            todo.append(new)
-    return table, start
-
-
-MACHINE, START = _compose()
-_CLASSES = {w: c for c, words in GRAMMAR.items() for w in words.split()} | {x: STOP for x in ".!?;:\n"} | {x: QUOTE for x in '"«»“”'}
+        for c in CLASSES:
+            to, holds = step(s, c)
+            if to not in number:
+                number[to] = len(number)
+                todo.append(to)
+            for marks in range(32):
+                own = holds and (marks & MATCH or mark == THREAT_MARK)
+                new = marks | (mark | (MATCH if mark == THREAT_MARK else 0) if own else 0)
+                arcs[number[s], (c, marks)] = number[to], (c, new), WEIGHTS[mark] if own else 0.0
+    return Transducer(arcs)
+
+
+def compose(first: Transducer, second: Transducer, symbols: list[tuple[int, int]]) -> Transducer:
+    """One machine that writes what ``second`` writes on reading what ``first`` writes."""
+    number, arcs, todo = {(0, 0): 0}, {}, [(0, 0)]
+    while todo:
+        a, b = todo.pop()
+        for x in symbols:
+            to_a, y, wa = first.arcs[a, x]
+            to_b, z, wb = second.arcs[b, y]
+            if (to_a, to_b) not in number:
+                number[to_a, to_b] = len(number)
+                todo.append((to_a, to_b))
+            arcs[number[a, b], x] = number[to_a, to_b], z, wa + wb
+    return Transducer(arcs)
+
+
+def _hold(cause: int, length: int):
+    """Holds for ``length`` tokens after each token of the class ``cause``, within the clause."""
+
+    def step(state: tuple, c: int) -> tuple[tuple, bool]:
+        if c in (STOP, LINE):
+            return (0,), False
+        return (length if c == cause else max(0, state[0] - 1),), state[0] > 0
+
+    return step
+
+
+def _threat(state: tuple, c: int) -> tuple[tuple, bool]:
+    to, armed = _hold(INTENT, 4)(state, c)
+    return to, armed and c == VIOLENCE
+
+
+def _reported(state: tuple, c: int) -> tuple[tuple, bool]:
+    said, quoted = state
+    if c in (QUOTE, OPENING, CLOSING):
+        quoted = 1 if c == OPENING else 0 if c == CLOSING else 1 - quoted
+    elif c == LINE:
+        said = quoted = 0
+    elif c == STOP:
+        said = 0
+    elif c == SAYING:
+        said = 1
+    return (said, quoted), bool(state[0] or state[1])
+
+
+THREAT, TARGETING, NEGATING, REPORTING = transducer(_threat, THREAT_MARK), transducer(_hold(TARGET, 4), TARGET_MARK), transducer(_hold(NEGATION, 3), NEGATION_MARK), transducer(_reported, REPORT_MARK, (0, 0))
+#: What the insult transducer writes: an entry is a match.
+SYMBOLS = [(c, MATCH if c == INSULT else 0) for c in CLASSES]
+MACHINE = compose(compose(compose(THREAT, TARGETING, SYMBOLS), NEGATING, SYMBOLS), REPORTING, SYMBOLS)
+_MARKS = {"\n": LINE, ":": COLON, '"': QUOTE, "«": OPENING, "»": CLOSING, "“": QUOTE, "”": CLOSING, "„": OPENING}
+_CLASSES = {w: c for c, words in GRAMMAR.items() for w in words.split()} | {x: STOP for x in ".!?;"} | _MARKS
 
 
 def tokens(text: str | None) -> list[str]:
@@ -88,47 +159,86 @@ def beginnings(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1))]
 
 
+class _Known(dict):
+    """The class of each word met, and the weight of an entry above it; made when first met."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> tuple[int, float]:
+        weight = max((self.lexicon.get(b, 0.0) for b in beginnings(word)), default=0.0)
+        negates = word.endswith(("n't", "n’t"))
+        got = (INSULT, weight) if weight > 0 else (NEGATION if negates else _CLASSES.get(word, OTHER), _SEED_WEIGHT)
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = got
+        return got
+
+
 class Grammar:
     """Lexicon and weights; scores whole texts."""
 
     def __init__(self, lexicon: dict[str, float], weights: np.ndarray = PRIOR):
         self.lexicon, self.weights = lexicon, weights
-        self._known: dict[str, tuple[int, float]] = {}
+        self._known = _Known(lexicon)
+        self._phrases: dict[str, dict[str, float]] = {}
+        for x, weight in lexicon.items():
+            if " " in x:
+                first, second = x.split(" ")
+                self._phrases.setdefault(first, {})[second] = weight
 
     def __getstate__(self):
-        return {"lexicon": self.lexicon, "weights": self.weights, "_known": {}}
-
-    def classify(self, token: str) -> tuple[int, float]:
-        got = self._known.get(token)
-        if got is None:
-            weight = max((self.lexicon.get(b, 0.0) for b in beginnings(token)), default=0.0)
-            got = (INSULT, weight) if weight > 0 else (_CLASSES.get(token, OTHER), _SEED_WEIGHT)
-            if len(self._known) > 200_000:
-                self._known.clear()
-            self._known[token] = got
-        return got
+        return {"lexicon": self.lexicon, "weights": self.weights}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
+
+    def read(self, words: list[str]) -> list[tuple[int, float]]:
+        """The insult transducer: the class of each token, and an entry's weight where one ends."""
+        out = list(map(self._known.__getitem__, words))
+        if self._phrases and not self._phrases.keys().isdisjoint(words):
+            for i, second in enumerate(words[1:]):
+                weight = self._phrases.get(words[i], {}).get(second, 0.0)
+                if weight and (out[i + 1][0] != INSULT or out[i + 1][1] < weight):
+                    out[i + 1] = INSULT, weight
+        return out
 
-    def matches(self, text: str | None) -> list[tuple[int, float, bool]]:
-        """(kind, weight, is a threat) of every match, clause by clause."""
-        words = tokens(text)
-        read = [self._known.get(w) or self.classify(w) for w in words]
-        if not any(c == INSULT or c == VIOLENCE for c, _ in read):
+    def clauses(self, text: str | None) -> list[tuple[int, float, bool]]:
+        """(kind, weight, holds a threat) of every clause with a match."""
+        read = self.read(tokens(text))
+        if max(read, default=(0, 0.0))[0] < VIOLENCE:
             return []
-        state, out = START, []
-        for i, (c, weight) in enumerate(read):
-            state, kind = MACHINE[state, c]
-            if kind is not None:
-                if kind == PLAIN and any(k == TARGET for k, _ in read[i + 1 : i + 5]):
-                    kind = TARGETED  # "idiots like you"
-                out.append((kind, weight, c == VIOLENCE))
+        # a colon after a verb of saying joins what follows to its clause
+        said, classes = False, []
+        for c, _ in read:
+            if c == COLON:
+                c = OTHER if said else STOP
+            said = c == SAYING or (said and c not in (STOP, LINE))
+            classes.append(c)
+        marked = MACHINE.run([(c, MATCH if c == INSULT else 0) for c in classes])
+        out, begin = [], 0
+        for end in [*(i for i, c in enumerate(classes) if c in (STOP, LINE)), len(classes)]:
+            if max(classes[begin:end], default=0) >= VIOLENCE:
+                behind = TARGETING.run([x for x, _ in reversed(marked[begin:end])])[::-1]
+                found = []
+                for i in range(begin, end):
+                    (_, marks), path = marked[i]
+                    if marks & MATCH:
+                        if not marks & TARGET_MARK and behind[i - begin][0][1] & TARGET_MARK:
+                            marks, path = marks | TARGET_MARK, path + WEIGHTS[TARGET_MARK]
+                        kind = NEGATED if marks & NEGATION_MARK else REPORTED if marks & REPORT_MARK else TARGETED if marks & TARGET_MARK else PLAIN
+                        found.append((max(0.1, read[i][1] + path), -kind, bool(marks & THREAT_MARK)))
+                if found:
+                    out.append((-max(found)[1], sum(f[0] for f in found), any(f[2] for f in found)))
+            begin = end + 1
         return out
 
     def features(self, text: str | None) -> np.ndarray:
         x = np.zeros(len(PRIOR))
         x[0] = 1
-        for kind, weight, threat in self.matches(text):
+        for kind, weight, threat in self.clauses(text):
             x[1 + kind] = max(x[1 + kind], weight)
-            x[5 + kind] += 1
+            x[5 + kind] += weight
             x[9] += threat
         x[5:] = np.log1p(x[5:])
         return x
@@ -164,13 +274,15 @@ def held_out(column: str = "doc_id"):
 
 
 def _count(batches_of: DataFrame, wanted: dict | None, least: int) -> dict[str, int]:
-    """In how many of the sample's texts each word and beginning is; ``wanted`` restricts them."""
+    """In how many of the sample's texts each word, beginning and phrase is; ``wanted`` restricts them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for b in slices(batches):
             for t in b.column(0).to_pylist():
-                seen = {x for w in set(tokens(t)) if w not in _CLASSES for x in beginnings(w)}
+                words = tokens(t)
+                seen = {x for w in set(words) if w not in _CLASSES for x in beginnings(w)}
+                seen |= {f"{a} {b}" for a, b in pairwise(words) if a not in _CLASSES and b not in _CLASSES}
                 n.update(seen if wanted is None else seen & wanted.keys())
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["x", "n"])
@@ -198,7 +310,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     have = _count(sample.where("toxic = 1"), None, least)
     lack = _count(sample.where("toxic = 0"), have, 1)
     # a beginning stands for many words; one that is nearly always the same word isn't one
-    alone = {x[:k] for x, n in have.items() if x[-1] == "$" for k in range(SHORTEST, len(x)) if n >= 0.8 * have.get(x[:k], n)}
+    alone = {x[:k] for x, n in have.items() if x[-1] == "$" and " " not in x for k in range(SHORTEST, len(x)) if n >= 0.8 * have.get(x[:k], n)}
     base, sure = toxic / (toxic + clean), np.log(len(have) + 1) + 3
     lexicon = dict(seeds)
     for x, n in have.items():
@@ -210,8 +322,12 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
         if weight > np.log(4) and evidence > sure and x not in alone:
             lexicon[x] = max(float(weight), lexicon.get(x, 0.0))
     # a longer beginning that says no more than a shorter one is no entry of its own
-    short = {x for x in lexicon if any(lexicon.get(x[:k], -1.0) >= lexicon[x] - 0.3 and have.get(x[:k], 0) >= have.get(x, 0) for k in range(SHORTEST, len(x)))}
+    short = {x for x in lexicon if " " not in x and any(lexicon.get(x[:k], -1.0) >= lexicon[x] - 0.3 and have.get(x[:k], 0) >= have.get(x, 0) for k in range(SHORTEST, len(x)))}
     lexicon = {x: w for x, w in lexicon.items() if x not in short or x in seeds}
+    # a phrase says more than its words, or it is no entry
+    entry = _Known({x: w for x, w in lexicon.items() if " " not in x})
+    word_alone = lambda x, w: all(entry[part][0] != INSULT or entry[part][1] < w - 0.3 for part in x.split(" "))
+    lexicon = {x: w for x, w in lexicon.items() if " " not in x or word_alone(x, w)}
     grammar = Grammar(lexicon)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

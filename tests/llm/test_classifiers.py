@@ -10,31 +10,89 @@ from tessera.llm.common import read_table
 SF = "/root/testdata/sf0.1"
 
 
+def kinds(text, lexicon=None):
+    return [k for k, _, _ in toxicity.Grammar(lexicon or {"idiot$": 2.0, "lowe": 1.0, "waste space": 3.0}).clauses(text)]
+
+
 def test_machine_accepts_what_the_grammar_says():
-    kinds = lambda text: [k for k, _, _ in toxicity.Grammar({"idiot$": 2.0, "lowe": 1.0}).matches(text)]
-    assert kinds("an idiot") == [toxicity.PLAIN]
-    assert kinds("you are an idiot") == kinds("idiots no. idiot like you") == [toxicity.TARGETED]
-    assert kinds("you are not an idiot") == [toxicity.NEGATED]
-    assert kinds("they said: idiot") == [toxicity.TARGETED] or kinds("the paper said idiot") == [toxicity.REPORTED]
-    assert kinds("not here. an idiot") == [toxicity.PLAIN]
-    assert kinds("loweiä und") == [toxicity.PLAIN]
-    assert kinds("i will kill you") == [toxicity.TARGETED] and kinds("kill the process") == []
+    P, T, R, N = toxicity.PLAIN, toxicity.TARGETED, toxicity.REPORTED, toxicity.NEGATED
+    for text, want in {
+        "an idiot": [P],
+        "you are an idiot": [T],
+        "idiots no. idiot like you": [T],
+        "you are not an idiot": [N],
+        "they said: idiot": [R],
+        "the paper said idiot": [R],
+        'the paper said "idiot"': [R],
+        'the report quoted "idiot"': [R],
+        "the paper said: idiot": [R],
+        'a "quote. more" idiot here': [P],
+        'he said "one. two idiot here" then. an idiot': [R, P],
+        "note: idiot": [P],
+        "he isn't an idiot": [N],
+        "don\u2019t be an idiot": [N],
+        "don't be an idiot": [N],
+        "not here. an idiot": [P],
+        'an open "quote\nan idiot': [P],
+        "loweiä und": [P],
+        "a waste space, he": [T],
+        "waste of space": [],
+        "i will kill you": [T],
+        "kill the process": [],
+        "an idiot; you idiot idiot": [P, T],
+    }.items():
+        assert kinds(text) == want, text
     assert kinds("") == kinds(None) == kinds("\n..") == []
+    [(kind, weight, threat)] = toxicity.Grammar({}).clauses("we will kill them")
+    assert kind == T and threat and weight == pytest.approx(2.0 + 1.0 + 0.5)
+
+
+def by_definition(classes):
+    """Marks and weight of each token, from what stands before it."""
+    X, out = toxicity, []
+    for i, c in enumerate(classes):
+        clause = max([k for k in range(i) if classes[k] in (X.STOP, X.LINE)], default=-1) + 1
+        line = max([k for k in range(i) if classes[k] == X.LINE], default=-1) + 1
+        near = lambda cause, n: cause in classes[max(clause, i - n) : i]
+        said, quoted = X.SAYING in classes[clause:i], 0
+        for k in classes[line:i]:
+            quoted = 1 if k == X.OPENING else 0 if k == X.CLOSING else 1 - quoted if k == X.QUOTE else quoted
+        threat = c == X.VIOLENCE and near(X.INTENT, 4)
+        marks, weight = X.MATCH if c == X.INSULT or threat else 0, 0.0
+        if marks:
+            for mark, holds in ((X.THREAT_MARK, threat), (X.TARGET_MARK, near(X.TARGET, 4)), (X.NEGATION_MARK, near(X.NEGATION, 3)), (X.REPORT_MARK, said or quoted)):
+                if holds:
+                    marks, weight = marks | mark, weight + X.WEIGHTS[mark]
+        out.append((marks, weight))
+    return out
 
 
 def test_composed_machine_equals_its_parts():
-    """The table against the four transducers run side by side over random tokens."""
+    """The composed machine against its parts in a row, and both against the definition."""
     rng = np.random.default_rng(8)
-    for _ in range(200):
-        state, neg, target, said, intent = toxicity.START, 0, 0, 0, 0
-        for c in rng.integers(0, 9, 30).tolist():
-            state, kind = toxicity.MACHINE[state, c]
-            hit = c == toxicity.INSULT or (c == toxicity.VIOLENCE and intent > 0)
-            assert kind == ((toxicity.NEGATED if neg else toxicity.REPORTED if said else toxicity.TARGETED if target else toxicity.PLAIN) if hit else None)
-            neg, target, intent = (n if c == k else max(0, v - 1) for v, k, n in ((neg, toxicity.NEGATION, 3), (target, toxicity.TARGET, 4), (intent, toxicity.INTENT, 4)))
-            said = 1 if c == toxicity.SAYING else 1 - said if c == toxicity.QUOTE else said
-            if c == toxicity.STOP:
-                neg = target = said = intent = 0
+    X = toxicity
+    for _ in range(300):
+        classes = rng.integers(0, len(X.CLASSES), 25).tolist()
+        symbols = [(c, X.MATCH if c == X.INSULT else 0) for c in classes]
+        got = X.MACHINE.run(symbols)
+        weight = np.zeros(len(symbols))
+        for part in (X.THREAT, X.TARGETING, X.NEGATING, X.REPORTING):
+            out = part.run(symbols)
+            symbols, weight = [x for x, _ in out], weight + [w for _, w in out]
+        assert [x for x, _ in got] == symbols and [w for _, w in got] == pytest.approx(weight)
+        assert [(m, pytest.approx(w)) for (_, m), w in got] == by_definition(classes)
+
+
+def test_composition_over_all_short_inputs():
+    """Every path of two small machines: what the second writes on what the first writes."""
+    from itertools import product
+
+    a, b, symbols = toxicity.NEGATING, toxicity.TARGETING, [(c, m) for c in (toxicity.NEGATION, toxicity.TARGET, toxicity.STOP, toxicity.INSULT) for m in (0, 1)]
+    both = toxicity.compose(a, b, symbols)
+    for path in product(symbols, repeat=4):
+        first = a.run(list(path))
+        second = b.run([x for x, _ in first])
+        assert both.run(list(path)) == [(y, v + w) for (_, v), (y, w) in zip(first, second)]
 
 
 def test_toxicity_on_held_out_rows(spark):
