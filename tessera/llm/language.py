@@ -3,9 +3,13 @@
 Features are hashed byte 2- and 3-grams of the lower-cased letters of a whole text: square
 roots of counts, scaled to length 1. A first level separates language families (one
 machine for each pair of families); within the family chosen, one machine for each pair of
-its languages votes. Machines are trained by dual coordinate descent on a bounded sample
-(``per_language`` documents of each of at most ``MOST_LANGUAGES`` languages, smallest
-hashes of ``doc_id`` first); everything is scored whole.
+its languages votes. Machines are trained by dual coordinate descent on a bounded sample of
+labelled rows: ``PER_LANGUAGE`` documents of each language, smallest hashes of ``doc_id``
+first, and ``SAMPLE_ROWS`` in all, dealt to the languages in turn; so every language is
+learnt while there are no more languages than that. Rows that repeat an id and its text
+count once there. Features of the sample stay sparse, the driver makes those of one pair of
+languages dense at a time. Everything is scored whole, repeated rows each by itself; where
+votes are equal the larger sum of margins decides, then the name that comes first.
 
 A text that is null or has no letter is ``und`` with score 0. The score is the product of
 both levels' probabilities, from logistic functions of the margins.
@@ -26,7 +30,7 @@ from tessera.llm.common import pick, prepare, slices
 
 DIMS = 1 << 13
 PER_LANGUAGE = 250
-MOST_LANGUAGES = 64
+SAMPLE_ROWS = 16_000
 #: Families of ISO 639-1 codes; a language that is in none is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -88,19 +92,36 @@ def train_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 25) ->
     return w
 
 
+class SparseRows:
+    """Rows of features by their columns and values; an index of rows gives them dense."""
+
+    def __init__(self, columns: list[np.ndarray], values: list[np.ndarray], dims: int = DIMS):
+        self.columns, self.values, self.shape = columns, values, (len(columns), dims)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(rows) if getattr(rows, "dtype", None) == bool else rows
+        out = np.zeros((len(at), self.shape[1]), np.float32)
+        for i, r in enumerate(at):
+            out[i, self.columns[r]] = self.values[r]
+        return out
+
+    def part(self, rows: list[int]) -> SparseRows:
+        return SparseRows([self.columns[r] for r in rows], [self.values[r] for r in rows], self.shape[1])
+
+
 class Hierarchy:
     """The trained machines: between families, and between the languages of each."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: SparseRows, langs: list[str]):
         self.langs = sorted(set(langs))
         families = [family_of(lang) for lang in langs]
         self.levels = {"": self._pairs(x, families)}
         for f in sorted(set(families)):
             own = [i for i, g in enumerate(families) if g == f]
-            self.levels[f] = self._pairs(x[own], [langs[i] for i in own])
+            self.levels[f] = self._pairs(x.part(own), [langs[i] for i in own])
 
     @staticmethod
-    def _pairs(x: np.ndarray, labels: list[str]) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
+    def _pairs(x: SparseRows, labels: list[str]) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
         names = sorted(set(labels))
         at = np.array([names.index(k) for k in labels])
         pairs = list(combinations(range(len(names)), 2))
@@ -143,16 +164,16 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Hierarchy | None:
     """Learn from ``text`` and non-null ``lang`` of rows that aren't held out; None if no
     row can be learnt from. Texts without a letter and null ids aren't learnt from."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = pick(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
-    chosen = rows.select("doc_id", "lang").join(F.broadcast(langs), "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    sample = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "lang", "text")
+    rows = pick(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).withColumn("th", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "th")
+    first = rows.select("doc_id", "lang", "th").withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= per_language).distinct()
+    chosen = first.orderBy("n", F.xxhash64("doc_id"), "lang", "th").limit(sample_rows).select("doc_id", "lang", "th")
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang", "th"], "left_semi").dropDuplicates(["doc_id", "lang", "th"]).select("doc_id", "lang", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -160,13 +181,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None
             own = [i for i, t in enumerate(texts) if has_letter(t)]
             if own:
                 x = features([texts[i] for i in own])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), b.column(1).take(pa.array(own)), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
+                some = [np.flatnonzero(r).astype(np.uint16) for r in x]
+                raw = [c.tobytes() + r[c].tobytes() for r, c in zip(x, some, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), b.column(1).take(pa.array(own)), pa.array(raw, pa.binary())], ["doc_id", "lang", "x"])
 
     got = sample.mapInArrow(run, "doc_id long, lang string, x binary").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.x)))
-    return Hierarchy(np.stack([np.frombuffer(r.x, np.float32) for r in got]), [r.lang for r in got])
+    size = [len(r.x) // 6 for r in got]  # two bytes for a column, four for its value
+    columns = [np.frombuffer(r.x, np.uint16, n) for r, n in zip(got, size, strict=True)]
+    values = [np.frombuffer(r.x, np.float32, n, 2 * n) for r, n in zip(got, size, strict=True)]
+    return Hierarchy(SparseRows(columns, values), [r.lang for r in got])
 
 
 def lettered(docs: DataFrame) -> DataFrame:

@@ -140,3 +140,21 @@ def test_dual_coordinate_descent_separates():
     y = np.where(x @ [1, -2, 0.5, 0, 1] + 0.3 > 0, 1.0, -1.0)
     w = language.train_svm(x, y, c=10.0, epochs=200)
     assert np.mean(np.sign(x @ w[:-1] + w[-1]) == y) > 0.97
+
+
+def test_every_language_is_learnt_and_repeats_count_once(spark):
+    """80 languages, more than a fixed number of classes would hold, and an id repeated many times."""
+    rng = np.random.default_rng(4)
+    alphabet = [chr(0x4E00 + i) for i in range(400)]
+    rows, i = [], 0
+    for k in range(80):
+        for _ in range(8):
+            rows.append((i, " ".join("".join(rng.choice(alphabet[5 * k : 5 * k + 5], 4)) for _ in range(20)), f"l{k:02}"))
+            i += 1
+    rows += [rows[0]] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, per_language=3)
+    assert len(model.langs) == 80
+    got = language.identify(docs, model).selectExpr("row.lang = lang_pred AS ok").collect()
+    assert len(got) == len(rows) and np.mean([r.ok for r in got]) > 0.95
+    assert len(language.train(docs, per_language=3, sample_rows=100).langs) == 80
