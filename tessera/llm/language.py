@@ -55,17 +55,24 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for m in _LETTER.finditer(text) for c in m[0])
 
 
-def features(texts: list[str | None], dims: int = DIMS) -> np.ndarray:
-    """A row of hashed n-gram weights for each text."""
-    raw = [b" " + (t or "").lower().encode("utf-8", "surrogatepass") + b" " for t in texts]
-    buf = _CLASS[np.frombuffer(b"".join(raw), np.uint8)].astype(np.uint32)
+def _grams(raw: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of the 2-grams and the 3-grams that start at each byte."""
+    shift = np.uint32(32 - dims.bit_length() + 1)
+    buf = _CLASS[np.frombuffer(raw, np.uint8)].astype(np.uint32)
     two = buf[:-1] * np.uint32(257) + buf[1:]
-    h2 = (two * np.uint32(2654435761)) >> np.uint32(32 - dims.bit_length() + 1)
-    h3 = ((two[:-1] * np.uint32(263) + buf[2:] + np.uint32(7)) * np.uint32(2246822519)) >> np.uint32(32 - dims.bit_length() + 1)
+    three = two[:-1] * np.uint32(263) + buf[2:] + np.uint32(7)
+    return (two * np.uint32(2654435761)) >> shift, (three * np.uint32(2246822519)) >> shift
+
+
+def features(texts: list[str | None], dims: int = DIMS, piece: int = 1 << 20) -> np.ndarray:
+    """A row of hashed n-gram weights for each text; long texts are counted a piece at a time."""
     out = np.zeros((len(texts), dims), np.float32)
-    stops = np.cumsum([0, *map(len, raw)])
-    for i, (a, b) in enumerate(zip(stops[:-1], stops[1:], strict=True)):
-        out[i] = np.bincount(h2[a : b - 1], minlength=dims) + np.bincount(h3[a : max(a, b - 2)], minlength=dims)
+    for i, t in enumerate(texts):
+        raw = b" " + (t or "").lower().encode("utf-8", "surrogatepass") + b" "
+        for lo in range(0, max(1, len(raw) - 2), piece):
+            two, three = _grams(raw[lo : lo + piece + 2], dims)
+            last = lo + piece + 2 >= len(raw)
+            out[i] += np.bincount(two if last else two[:piece], minlength=dims) + np.bincount(three[:piece], minlength=dims)
     np.sqrt(out, out=out)
     return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-9)
 

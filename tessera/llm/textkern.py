@@ -133,26 +133,47 @@ def xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 42) -
 
 
 _R = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
-_powers: dict[str, np.ndarray] = {}
+#: Values that are summed at once; a longer span is a piece of its own.
+_PIECE = 1 << 20
+_powers: list[np.ndarray] = []
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``_R**i`` and ``_R**-i`` modulo 2**64 for i up to n; kept for the next batch."""
-    if len(_powers.get("up", ())) <= n:
-        size = 1 << (n + 1).bit_length()
-        for name, base in (("up", _R), ("down", pow(_R, -1, 1 << 64))):
-            x = np.full(size, base, U)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
+def _power_tables(n: int) -> list[np.ndarray]:
+    out = []
+    for base in (_R, pow(_R, -1, 1 << 64)):
+        x = np.full(n + 1, base, U)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out
+
+
+def _pow(n: int) -> list[np.ndarray]:
+    """``_R**i`` and ``_R**-i`` modulo 2**64 for i up to n; tables of a piece's length are kept."""
+    if n > _PIECE:
+        return _power_tables(n)
+    if not _powers:
+        _powers.extend(_power_tables(_PIECE))
+    return _powers
 
 
-def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Mixed polynomial hashes of ``values[start:end]``, by differences of prefix sums."""
-    up, down = _pow(len(values))
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Mixed polynomial hashes of ``values[start:end]`` (or of what ``table`` holds for them), by
+    differences of prefix sums, a piece at a time; starts and ends ascend."""
+    out = np.empty(len(start), U)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + _PIECE, "right")))
+        base = start[lo]
+        part = values[base : end[hi - 1]]
+        if table is not None:
+            part = table[part]
+        up, down = _pow(len(part))
+        total = np.zeros(len(part) + 1, U)
+        np.cumsum(part * up[: len(part)], out=total[1:])
+        a, b = start[lo:hi] - base, end[lo:hi] - base
+        out[lo:hi] = mix((total[b] - total[a]) * down[a])
+        lo = hi
+    return out
 
 
 def _table(key: int) -> np.ndarray:
@@ -161,7 +182,7 @@ def _table(key: int) -> np.ndarray:
 
 def word_hashes(w: Words, key: int = 1) -> np.ndarray:
     """A 64-bit hash of every word, the same in every batch."""
-    return _spans(_table(key)[w.buf], w.start, w.end)
+    return _spans(w.buf, w.start, w.end, _table(key))
 
 
 def window_starts(w: Words, n: int) -> np.ndarray:
