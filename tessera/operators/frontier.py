@@ -128,21 +128,47 @@ def raw_power_fit(points: DataFrame, *by: str, scale: float = 1e15, lo: float =
 
 
 def robust_floor_fit(c: np.ndarray, loss: np.ndarray, delta: float = 1e-3) -> dict:
-    """Floor fit of log losses under Huber's loss, by Nelder–Mead from nine starts; six points
-    over 1.5 decades at least."""
-    c, y = np.asarray(c, float), np.log(np.asarray(loss, float))
-    if len(c) < 6 or np.log10(c.max() / c.min()) < 1.5:
+    """``loss = floor + amplitude * C^-alpha`` under Huber's loss on the residuals, in the units
+    of the loss, by Nelder–Mead from three amplitudes by three exponents; six points over 1.5
+    decades at least. The floor is searched for as its ratio to the amplitude, in decades."""
+    c, loss = np.asarray(c, float), np.asarray(loss, float)
+    if not (np.isfinite(c) & np.isfinite(loss) & (c > 0) & (loss > 0)).all():
+        raise ValueError("compute and loss are positive numbers")
+    x = np.log10(c)
+    if len(c) < 6 or x.max() - x.min() < 1.5:
         raise ValueError("too few points or too narrow a range")
-    x = np.log(c / np.exp(np.log(c).mean()))
+    ten = np.log(10.0)
+
+    def curve(t: np.ndarray) -> np.ndarray:
+        return np.exp(ten * t[0] + np.logaddexp(-ten * t[1] * x, ten * t[2]))
 
     def cost(t: np.ndarray) -> float:
-        a, e, alpha = t
-        r = np.abs(np.logaddexp(a - alpha * x, e) - y)
-        return float(np.where(r <= delta, r * r / 2, delta * (r - delta / 2)).sum())
+        r = np.abs(curve(t) - loss)
+        return float(np.where(r > delta, delta * (r - delta / 2), r * r / 2).sum())
+
+    low = np.log10(max(loss.min() / 2, 1e-3))
+    starts = [np.array([a, alpha, low - a]) for a in (np.log10(3 * loss.max()), 1.0, 2.0) for alpha in (0.03, 0.1, 0.3)]
+    best = min((nelder_mead(cost, s, 20_000) for s in starts), key=cost)
+    rmse = float(np.sqrt(np.mean((curve(best) - loss) ** 2)))
+    return {"amplitude": float(10 ** best[0]), "floor": float(10 ** (best[0] + best[2])), "alpha": float(best[1]), "cost": cost(best), "rmse": rmse, "n_points": len(c)}
+
+
+def robust_floor_fits(points: DataFrame, *by: str, delta: float = 1e-3) -> DataFrame:
+    """The same for each group of ``C, bpb``, a task a group; groups with too few points or too
+    narrow a range have no row. A group is a frontier: tens to thousands of points."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema if f.name in by), "amplitude double, floor double, alpha double, rmse double, n_points long"])
+
+    def fit(pdf):
+        import pandas as pd
+
+        names = [*by, "amplitude", "floor", "alpha", "rmse", "n_points"]
+        try:
+            r = robust_floor_fit(pdf["C"], pdf["bpb"], delta)
+        except ValueError:
+            return pd.DataFrame([], columns=names)
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), *(r[c] for c in names[len(by) :])]], columns=names)
 
-    best = min((nelder_mead(cost, np.array([y.mean() + da, y.min() + de, alpha])) for da, de, alpha in ((0, -1, 0.1), (0, -1, 0.3), (0, -1, 0.6), (-1, -0.3, 0.1), (-1, -0.3, 0.3), (-1, -0.3, 0.6), (-2, -0.05, 0.1), (-2, -0.05, 0.3), (-2, -0.05, 0.6))), key=cost)
-    a, e, alpha = best
-    return {"amplitude": float(np.exp(a + alpha * np.log(c).mean())), "floor": float(np.exp(e)), "alpha": float(alpha), "cost": cost(best)}
+    return points.groupBy(*by).applyInPandas(fit, schema)
 
 
 def nelder_mead(f, start: np.ndarray, steps: int = 2000, tolerance: float = 1e-12) -> np.ndarray:

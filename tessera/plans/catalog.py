@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import signal, text
-from tessera.operators import curves, detect, frontier, melody, probes, programs, scoring, windows
+from tessera.operators import bake, curves, detect, frontier, melody, probes, programs, results, scoring, windows
 from tessera.sources.tables import arithmetic_values, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,22 +81,16 @@ def clip_spread_cap(t):
     return windows.spread_cap(clips(t), W, 1000)
 
 
-@query("name:s k:i chunk:i", f"""{_PLAN}, q AS (SELECT *, least(n, 3) AS quota FROM p WHERE n <= 40),
+@query("name:s k:i chunk:i", f"""{_PLAN}, q AS (SELECT *, least(n, 3) AS quota FROM p),
 a AS (SELECT name, quota, k, (start + (k * n) // quota) % n AS chunk FROM (SELECT *, unnest(range(quota)) AS k FROM q)),
 e AS (SELECT name, quota, j, (start + j) % n AS chunk FROM (SELECT *, unnest(range(n)) AS j FROM q)),
 r AS (SELECT e.name, e.quota + row_number() OVER (PARTITION BY e.name ORDER BY j) - 1 AS k, e.chunk FROM e ANTI JOIN a ON e.name = a.name AND e.chunk = a.chunk)
 SELECT name, k, chunk FROM a UNION ALL SELECT name, k, chunk FROM r""")
 def clip_spread_order(t):
-    plan = windows.clip_plan(clips(t), W).where("n <= 40").withColumn("quota", F.least("n", F.lit(3)))
+    plan = windows.clip_plan(clips(t), W).withColumn("quota", F.least("n", F.lit(3)))
     return windows.spread_order(plan)
 
 
-@query("name:s k:i chunk:i", ORACLE_SQL["clip_spread_order"].replace(" WHERE n <= 40", ""))
-def clip_spread_order_all(t):
-    """The order of every clip, however long."""
-    return windows.spread_order(windows.clip_plan(clips(t), W).withColumn("quota", F.least("n", F.lit(3))))
-
-
 @query("shard:i idx:i digest:s", f"""WITH d AS (SELECT CAST(substr(source, 4) AS INT) AS shard, doc_id, hex(encode(text)) AS h FROM documents),
 s AS (SELECT shard, string_agg(h, '' ORDER BY doc_id) AS h, 12 + CASE WHEN shard < 10 THEN 1 ELSE 0 END AS q FROM d GROUP BY shard)
 SELECT shard, i AS idx, md5(lower(substr(h, {2 * W} * i + 1, {2 * W}))) AS digest FROM (SELECT *, unnest(range(least(q, len(h) // {2 * W}))) AS i FROM s)""")
@@ -140,16 +134,9 @@ def token_chunks(t):
     return cut.withColumn("total", F.expr("aggregate(sequence, 0, (a, v) -> a + v)"))
 
 
-@query("doc_id:i tagged:s input_last:i target_first:i", "SELECT doc_id, md5('4f' || lower(substr(hex(encode(text)), 1, 40))) AS tagged, CAST(('0x' || substr(hex(encode(text)), 37, 2)) AS INT) AS input_last, CAST(('0x' || substr(hex(encode(text)), 3, 2)) AS INT) AS target_first FROM documents WHERE strlen(text) >= 20")
-def prefix_shift(t):
-    """The tag byte before a window, and the shift to inputs and targets."""
-    first = windows.first_n(windows.chunk(raw_documents(t), 20), 1).withColumn("values", windows.bytes_of("payload")).withColumn("x", windows.input_target("values"))
-    return first.select("doc_id", F.md5(F.lower(F.hex(windows.add_tag("payload")))).alias("tagged"), F.element_at("x.input", -1).alias("input_last"), F.element_at("x.target", 1).alias("target_first"))
-
-
 @query("doc_id:i idx:i tagged:s input_last:i target_first:i", "SELECT doc_id, i AS idx, md5('4f' || lower(substr(h, 40 * i + 1, 40))) AS tagged, CAST(('0x' || substr(h, 40 * i + 37, 2)) AS INT) AS input_last, CAST(('0x' || substr(h, 40 * i + 3, 2)) AS INT) AS target_first FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(strlen(text) // 20)) AS i FROM documents)")
-def prefix_shift_all(t):
-    """The same of every window of every document."""
+def prefix_shift(t):
+    """The tag byte before each window of each document, and the shift to inputs and targets."""
     every = windows.chunk(raw_documents(t), 20).withColumn("values", windows.bytes_of("payload")).withColumn("x", windows.input_target("values"))
     return every.select("doc_id", "idx", F.md5(F.lower(F.hex(windows.add_tag("payload")))).alias("tagged"), F.element_at("x.input", -1).alias("input_last"), F.element_at("x.target", 1).alias("target_first"))
 
@@ -197,15 +184,8 @@ def comment_strip_normalize(t):
     return t("pages").where(closed).select("page_id", F.md5(text.strip_comments("html", "<!--", "-->").cast("binary")).alias("digest"))
 
 
-@query("item_id:i i:i ch:s first:i size:i", "SELECT item_id, i - 1 AS i, text[i] AS ch, strlen(text[1:i - 1]) AS first, strlen(text[i]) AS size FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM (SELECT item_id, left(text, 120) AS text FROM benchmark))")
+@query("item_id:i i:i ch:s first:i size:i", "SELECT item_id, i - 1 AS i, text[i] AS ch, strlen(text[1:i - 1]) AS first, strlen(text[i]) AS size FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark)")
 def utf8_byte_spans(t):
-    spans = t("benchmark").select("item_id", F.expr("left(text, 120)").alias("text")).select("item_id", F.posexplode(text.byte_spans("text")).alias("i", "s"))
-    return spans.select("item_id", "i", "s.ch", "s.first", "s.size")
-
-
-@query("item_id:i i:i ch:s first:i size:i", ORACLE_SQL["utf8_byte_spans"].replace("left(text, 120) AS text", "text"))
-def utf8_byte_spans_all(t):
-    """The spans of whole texts."""
     spans = t("benchmark").select("item_id", F.posexplode(text.byte_spans("text")).alias("i", "s"))
     return spans.select("item_id", "i", "s.ch", "s.first", "s.size")
 
@@ -413,17 +393,10 @@ def interp_hold_last(t):
     return curves.band(curves.interpolate(points, [7.5 * i for i in range(60)]))
 
 
-@query("arm:i seed:i v:d outlier:b", """WITH v AS (SELECT p_partkey % 7 AS arm, p_partkey AS seed, CASE WHEN p_partkey % 97 = 5 THEN 9 ELSE 1 END * p_retailprice AS v FROM part WHERE p_partkey < 300),
+@query("arm:i seed:i v:d outlier:b", """WITH v AS (SELECT p_partkey % 7 AS arm, p_partkey AS seed, CASE WHEN p_partkey % 97 = 5 THEN 9 ELSE 1 END * p_retailprice AS v FROM part),
 o AS (SELECT a.arm, a.seed, a.v, median(b.v) AS m FROM v a JOIN v b ON a.arm = b.arm AND a.seed <> b.seed GROUP BY ALL)
 SELECT arm, seed, v, v > 2.5 * m AND v > 1.1 * (SELECT max(x.v) FROM v x WHERE x.v <> o.v) AS outlier FROM o""")
 def leave_one_out_outlier(t):
-    v = t("part").where("p_partkey < 300").select((F.col("p_partkey") % 7).alias("arm"), F.col("p_partkey").alias("seed"), (F.when(F.col("p_partkey") % 97 == 5, 9).otherwise(1) * F.col("p_retailprice")).alias("v"))
-    return curves.outliers(v)
-
-
-@query("arm:i seed:i v:d outlier:b", ORACLE_SQL["leave_one_out_outlier"].replace(" WHERE p_partkey < 300", ""))
-def leave_one_out_outlier_all(t):
-    """Over all parts."""
     v = t("part").select((F.col("p_partkey") % 7).alias("arm"), F.col("p_partkey").alias("seed"), (F.when(F.col("p_partkey") % 97 == 5, 9).otherwise(1) * F.col("p_retailprice")).alias("v"))
     return curves.outliers(v)
 
@@ -450,13 +423,12 @@ def vm_training_rows(t):
     return rows.select("id", F.octet_length("row").alias("size"), F.lower(F.hex(F.expr("substring(row, 1, 16)"))).alias("head"), "n_written")
 
 
-_TAPES = "WITH f AS (SELECT p_partkey AS id, list_transform(range(400), lambda n: CASE p_partkey % 4 WHEN 0 THEN (p_size * n + 7) % 256 WHEN 1 THEN (2 * n * n + p_size * n + 1) % 256 WHEN 2 THEN (n * n * n + p_size * n + 5) % 256 ELSE (n * n * n * n + p_size) % 256 END) AS tape FROM part WHERE p_partkey < 200)"
+_TAPES = "WITH f AS (SELECT p_partkey AS id, list_transform(range(400), lambda n: CASE p_partkey % 4 WHEN 0 THEN (p_size * n + 7) % 256 WHEN 1 THEN (2 * n * n + p_size * n + 1) % 256 WHEN 2 THEN (n * n * n + p_size * n + 5) % 256 ELSE (n * n * n * n + p_size) % 256 END) AS tape FROM part)"
 
 
-def tapes(t, below: int | None = None):
+def tapes(t):
     kind = F.expr("transform(sequence(0, 399), n -> cast(case p_partkey % 4 when 0 then (p_size * n + 7) % 256 when 1 then (2 * n * n + p_size * n + 1) % 256 when 2 then (cast(n as bigint) * n * n + p_size * n + 5) % 256 else (cast(n as bigint) * n * n * n + p_size) % 256 end as int))")
-    parts = t("part") if below is None else t("part").where(F.col("p_partkey") < below)
-    return parts.select(F.col("p_partkey").alias("id"), kind.alias("tape"))
+    return t("part").select(F.col("p_partkey").alias("id"), kind.alias("tape"))
 
 
 _D = "list_transform(range(1, {n}), lambda i: (({x}[i + 1] - {x}[i]) % 256 + 256) % 256)"
@@ -465,12 +437,6 @@ _D = "list_transform(range(1, {n}), lambda i: (({x}[i + 1] - {x}[i]) % 256 + 256
 @query("id:i degree:i", f"""{_TAPES}, a AS (SELECT id, {_D.format(n=400, x="tape")} AS d1 FROM f), b AS (SELECT *, {_D.format(n=399, x="d1")} AS d2 FROM a), c AS (SELECT *, {_D.format(n=398, x="d2")} AS d3 FROM b)
 SELECT id, CASE WHEN len(list_distinct(d1)) = 1 THEN 1 WHEN len(list_distinct(d2)) = 1 THEN 2 WHEN len(list_distinct(d3)) = 1 THEN 3 END AS degree FROM c""")
 def finite_difference_orders(t):
-    return tapes(t, 200).select("id", detect.polynomial_order("tape").alias("degree"))
-
-
-@query("id:i degree:i", ORACLE_SQL["finite_difference_orders"].replace(" WHERE p_partkey < 200", ""))
-def finite_difference_orders_all(t):
-    """Over all parts."""
     return tapes(t).select("id", detect.polynomial_order("tape").alias("degree"))
 
 
@@ -500,48 +466,29 @@ def rule_of_three(t):
 
 # ---- melodies (events as notes)
 
-_NOTES = "WITH nt AS (SELECT user_id AS piece, event_id AS nid, CAST(floor(value) AS BIGINT) % 128 AS pitch, event_id % 40000 AS raw, (2 * (event_id % 40000) * 4 + 480) // 960 AS start, (2 * (event_id % 40000 + event_id % 1500) * 4 + 480) // 960 AS stop FROM events WHERE user_id < 40)"
+_NOTES = "WITH nt AS (SELECT user_id AS piece, event_id AS nid, CAST(floor(value) AS BIGINT) % 128 AS pitch, event_id % 40000 AS raw, (2 * (event_id % 40000) * 4 + 480) // 960 AS start, (2 * (event_id % 40000 + event_id % 1500) * 4 + 480) // 960 AS stop FROM events)"
 _TOKENS = f"""{_NOTES}, c AS (SELECT piece, cell, arg_max(pitch, r) AS pitch, arg_max(nid, r) AS nid FROM (SELECT *, unnest(range(start, least(stop, 4095))) AS cell, pitch * 1000000000000 + raw * 1000000 + nid AS r FROM nt WHERE stop > start) GROUP BY ALL),
 l AS (SELECT piece, least(max(stop), 4095) AS n FROM nt WHERE stop > start GROUP BY piece), g AS (SELECT piece, unnest(range(n)) AS cell FROM l),
 k AS (SELECT g.piece, g.cell, CASE WHEN nid IS NULL THEN 129 WHEN nid = lag(nid) OVER (PARTITION BY g.piece ORDER BY g.cell) THEN 128 ELSE pitch END AS token FROM g LEFT JOIN c USING (piece, cell))"""
 
 
-def notes(t, below: int | None = None):
-    rows = t("events") if below is None else t("events").where(F.col("user_id") < below)
-    e = rows.selectExpr("user_id AS piece", "event_id AS nid", "cast(floor(value) as bigint) % 128 AS pitch", "event_id % 40000 AS raw", "event_id % 40000 + event_id % 1500 AS last")
+def notes(t):
+    e = t("events").selectExpr("user_id AS piece", "event_id AS nid", "cast(floor(value) as bigint) % 128 AS pitch", "event_id % 40000 AS raw", "event_id % 40000 + event_id % 1500 AS last")
     return e.withColumn("start", melody.quantize(F.col("raw"), 480)).withColumn("stop", melody.quantize(F.col("last"), 480))
 
 
 @query("piece:i cell:i token:i", f"{_TOKENS} SELECT * FROM k")
 def skyline_melody(t):
-    return melody.skyline(notes(t, 40))
-
-
-@query("piece:i cell:i token:i", ORACLE_SQL["skyline_melody"].replace(" WHERE user_id < 40", ""))
-def skyline_melody_all(t):
-    """Over all users."""
     return melody.skyline(notes(t))
 
 
 @query("piece:i start:i stop:i pitch:i", f"{_TOKENS}, i AS (SELECT *, sum(CASE WHEN token <> 128 THEN 1 ELSE 0 END) OVER (PARTITION BY piece ORDER BY cell) AS g FROM k) SELECT piece, min(cell) AS start, max(cell) + 1 AS stop, arg_min(token, cell) AS pitch FROM i GROUP BY piece, g HAVING arg_min(token, cell) <= 127")
 def melody_to_notes(t):
-    return melody.to_notes(melody.skyline(notes(t, 40)))
-
-
-@query("piece:i start:i stop:i pitch:i", ORACLE_SQL["melody_to_notes"].replace(" WHERE user_id < 40", ""))
-def melody_to_notes_all(t):
-    """Over all users."""
     return melody.to_notes(melody.skyline(notes(t)))
 
 
 @query("piece:i onsets:i holds:i rests:i ends:i lowest:i highest:i", f"{_TOKENS} SELECT piece, count(*) FILTER (token <= 127) AS onsets, count(*) FILTER (token = 128) AS holds, count(*) FILTER (token = 129) AS rests, count(*) FILTER (token = 130) AS ends, min(token) FILTER (token <= 127) AS lowest, max(token) FILTER (token <= 127) AS highest FROM k GROUP BY piece")
 def melody_token_stats(t):
-    return melody.token_stats(melody.skyline(notes(t, 40)))
-
-
-@query("piece:i onsets:i holds:i rests:i ends:i lowest:i highest:i", ORACLE_SQL["melody_token_stats"].replace(" WHERE user_id < 40", ""))
-def melody_token_stats_all(t):
-    """Over all users."""
     return melody.token_stats(melody.skyline(notes(t)))
 
 
@@ -624,3 +571,120 @@ def top_k_mask(t):
 def ensemble_probe(t):
     mean = probes.average_seeds(distributions(t).select(F.expr("vec_id div 4").alias("item"), (F.col("vec_id") % 4).alias("seed"), "p"), "item")
     return mean.select("item", F.posexplode("p").alias("byte", "v"))
+
+
+# ---- bakes: every family of corpora, from source bytes to chosen windows
+
+
+def _baked(source: DataFrame, stem: str) -> DataFrame:
+    return bake.choose(source, bake.CORPORA[stem], W + 1).withColumn("digest", F.md5(F.lower(F.hex("payload"))))
+
+
+_CUT = f"md5(lower(substr(h, {2 * W} * {{i}} + 1, {2 * W}))) AS digest"
+
+
+@query("number:i name:s chunk:i digest:s", f"""WITH d AS (SELECT doc_id % 10 AS shard, string_agg(hex(encode(text)), '' ORDER BY doc_id) AS h FROM documents GROUP BY 1),
+q AS (SELECT *, 819 + CASE WHEN shard < 2 THEN 1 ELSE 0 END AS q, 819 * shard + least(shard, 2) AS before FROM d)
+SELECT before + i AS number, shard AS name, i AS chunk, {_CUT.format(i="i")} FROM (SELECT *, unnest(range(least(q, len(h) // {2 * W}))) AS i FROM q)""")
+def bake_shards(t):
+    return _baked(raw_documents(t).withColumn("shard", F.col("doc_id") % 10), "dclm")
+
+
+@query("number:i name:s chunk:i digest:s", f"""WITH d AS (SELECT 'doc' || doc_id AS name, hex(encode(text)) AS h, strlen(text) // {W} AS n FROM documents), b AS (SELECT *, sum(n) OVER (ORDER BY name) - n AS before FROM d)
+SELECT before + i AS number, name, i AS chunk, {_CUT.format(i="i")} FROM (SELECT *, unnest(range(n)) AS i FROM b)""")
+def bake_stream(t):
+    return _baked(clips(t), "kolmogorov_text")
+
+
+_CLIPS = _DRAWS.replace("number < 1000", f"number < {bake.CAP}")
+
+
+@query("number:i name:s chunk:i digest:s", f"{_CLIPS}, x AS (SELECT 'doc' || doc_id AS name, hex(encode(text)) AS h FROM documents) SELECT number, name, (start + rnd) % n AS chunk, {_CUT.format(i='((start + rnd) % n)')} FROM f JOIN x USING (name)")
+def bake_clips(t):
+    return _baked(clips(t), "llm_compression_python")
+
+
+@query("number:i name:s chunk:i digest:s", f"{_CLIPS}, q AS (SELECT name, count(*) AS quota FROM f GROUP BY name), x AS (SELECT 'doc' || doc_id AS name, hex(encode(text)) AS h FROM documents) SELECT number, name, (start + (rnd * n) // quota) % n AS chunk, {_CUT.format(i='((start + (rnd * n) // quota) % n)')} FROM f JOIN q USING (name) JOIN x USING (name)")
+def bake_spread(t):
+    return _baked(clips(t), "mutopia")
+
+
+# ---- result tables
+
+
+@query("doc_id:i fold:i clip:i take:s target:i", """WITH n AS (SELECT doc_id, concat(doc_id % 7, '-', n_chars, '-', chr(65 + CAST(doc_id % 3 AS INT)), '-', doc_id % 50, CASE WHEN doc_id % 11 = 0 THEN '.mp3' ELSE '.wav' END) AS name FROM documents), p AS (SELECT doc_id, regexp_matches(name, '^[1-5]-[0-9]+-[A-Z]-[0-9]+[.]wav$') AS ok, string_split(replace(name, '.wav', ''), '-') AS x FROM n)
+SELECT doc_id, CASE WHEN ok THEN x[1] END AS fold, CASE WHEN ok THEN x[2] END AS clip, CASE WHEN ok THEN x[3] END AS take, CASE WHEN ok THEN x[4] END AS target FROM p""")
+def clip_file_names(t):
+    name = F.concat_ws("", F.col("doc_id") % 7, F.lit("-"), F.col("n_chars"), F.lit("-"), F.expr("chr(65 + doc_id % 3)"), F.lit("-"), F.col("doc_id") % 50, F.when(F.col("doc_id") % 11 == 0, ".mp3").otherwise(".wav"))
+    return t("documents").select("doc_id", name.alias("name")).select("doc_id", results.clip_name("name").alias("p")).select("doc_id", "p.*")
+
+
+@query("rung:i seed:i round:i", "SELECT DISTINCT user_id % 6 AS rung, user_id AS seed, event_id % 4096 AS round FROM events WHERE (event_id % 4096) % 256 = 0 AND (event_id % 4096) // 256 >= user_id % 6")
+def requested_rounds(t):
+    have = t("events").select((F.col("user_id") % 6).alias("rung"), F.col("user_id").alias("seed"), (F.col("event_id") % 4096).alias("round")).distinct()
+    wanted = t("region").sparkSession.createDataFrame([(g, 256 * r) for g in range(6) for r in range(g, 16)], "rung long, round long")
+    return results.rounds_of(have, wanted, "rung")
+
+
+@query("curve:s k:i v:d", "SELECT 'discount' AS curve, l_linenumber AS k, avg(l_discount) AS v FROM lineitem WHERE l_linenumber <> 3 GROUP BY 2 UNION ALL SELECT 'price', p_size, avg(p_retailprice) FROM part WHERE p_size < 20 GROUP BY 2")
+def curve_assembly(t):
+    a = t("lineitem").groupBy(F.col("l_linenumber").cast("long").alias("k")).agg(F.avg("l_discount").alias("v"))
+    b = t("part").groupBy(F.col("p_size").cast("long").alias("k")).agg(F.avg("p_retailprice").alias("v"))
+    return results.assemble_curves(("discount", a, F.col("k") != 3), ("price", b, F.col("k") < 20))
+
+
+@query("k:i left_value:d right_value:d", """WITH a AS (SELECT p_size AS k, round(avg(p_retailprice), 1) AS v FROM part WHERE p_size <> 7 GROUP BY 1), b AS (SELECT p_size AS k, round(avg(p_retailprice) + CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END, 1) AS v FROM part WHERE p_size <> 9 GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, a.v AS left_value, b.v AS right_value FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
+def rendered_table_check(t):
+    mean = t("part").groupBy(F.col("p_size").alias("k")).agg(F.avg("p_retailprice").alias("v"))
+    other = mean.where("k <> 9").withColumn("v", F.col("v") + F.when(F.col("k") % 5 == 0, 1).otherwise(0))
+    return results.table_differences(mean.where("k <> 7"), other, ["k"], "v", 1)
+
+
+@query("m:i k1:d k2:d k9:d", "SELECT l_linenumber AS m, avg(l_tax) FILTER (l_suppkey % 10 = 1) AS k1, avg(l_tax) FILTER (l_suppkey % 10 = 2 AND l_linenumber < 4) AS k2, CAST(NULL AS DOUBLE) AS k9 FROM lineitem WHERE l_suppkey % 10 = 1 OR (l_suppkey % 10 = 2 AND l_linenumber < 4) GROUP BY 1")
+def accuracy_matrix(t):
+    cells = t("lineitem").groupBy(F.col("l_linenumber").alias("m"), (F.col("l_suppkey") % 10).alias("k")).agg(F.avg("l_tax").alias("accuracy"))
+    wide = results.accuracy_matrix(cells.where("k = 1 or (k = 2 and m < 4)"), "m", "k", [1, 2, 9])
+    return wide.select("m", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in wide.columns[1:]])  # no NaN in the result, for comparisons
+
+
+_SLOTS = "WITH w AS (SELECT item_id % 5 AS k, string_split(text, ' ')[1:6] AS a FROM benchmark), s AS (SELECT k, i - 1 AS slot, a[i] = a[7 - i] OR strlen(a[i]) = 3 AS ok FROM (SELECT *, unnest(range(1, 7)) AS i FROM w WHERE len(a) = 6)), p AS (SELECT k, slot, avg(ok::INT) AS accuracy, count(*) AS n FROM s GROUP BY ALL)"
+
+
+def _slots(t) -> DataFrame:
+    words = t("benchmark").select((F.col("item_id") % 5).alias("k"), F.slice(F.split("text", " "), 1, 6).alias("answer")).where("size(answer) = 6")
+    return words.withColumn("pred", F.expr("transform(answer, (w, i) -> if(octet_length(w) = 3, w, answer[5 - i]))"))
+
+
+@query("k:i slot:i accuracy:d n:i mean:d", f"{_SLOTS} SELECT *, avg(accuracy) OVER (PARTITION BY k) AS mean FROM p")
+def accuracy_by_position(t):
+    return results.accuracy_by_position(_slots(t), "k")
+
+
+@query("k:i m:i slot:i lag:i accuracy:d", f"{_SLOTS}, r AS (SELECT k % 2 AS k, k AS m, slot, accuracy FROM p) SELECT k, m, slot, 2 * slot + 1 AS lag, accuracy FROM r WHERE m = (SELECT max(m) FROM r x WHERE x.k = r.k)")
+def copy_lag_curve(t):
+    slots = results.accuracy_by_position(_slots(t), "k")
+    arrays = slots.groupBy("k").agg(F.expr("transform(array_sort(collect_list(struct(slot, accuracy))), x -> x.accuracy)").alias("acc_by_position"))
+    return results.copy_lag_curve(arrays.select((F.col("k") % 2).alias("k"), F.col("k").alias("m"), "acc_by_position"))
+
+
+_SHARES = "WITH s AS (SELECT user_id % 9 AS m, avg((event_type = 'click')::INT) AS a, avg((event_type = 'view')::INT) AS b, avg((event_type NOT IN ('click', 'view'))::INT) AS c FROM events GROUP BY 1)"
+
+
+@query("m:i rank:i part:s low:d high:d", f"{_SHARES} SELECT m, 0 AS rank, 'a' AS part, 0 AS low, a AS high FROM s UNION ALL SELECT m, 1, 'b', a, a + b FROM s UNION ALL SELECT m, 2, 'c', a + b, a + b + c FROM s")
+def cumulative_composition(t):
+    is_ = lambda c: F.avg(c.cast("int"))
+    e = F.col("event_type")
+    shares = t("events").groupBy((F.col("user_id") % 9).alias("m")).agg(is_(e == "click").alias("a"), is_(e == "view").alias("b"), is_(~e.isin("click", "view")).alias("c"))
+    return results.cumulative_composition(shares, ["a", "b", "c"], "m")
+
+
+@query("name:s found:i wanted:i ok:b", "SELECT 'rows' AS name, (SELECT count(*) FROM nation) AS found, 25 AS wanted, (SELECT count(*) FROM nation) = 25 AS ok UNION ALL SELECT 'regions', (SELECT count(DISTINCT n_regionkey) FROM nation), 6, (SELECT count(DISTINCT n_regionkey) FROM nation) = 6")
+def stats_reconciliation(t):
+    stats = t("nation").agg(F.count("*").alias("rows"), F.count_distinct("n_regionkey").alias("regions"))
+    return results.reconcile(stats, {"rows": 25, "regions": 6})
+
+
+@query("length:i batch:i item_id:i", "SELECT length, (row_number() OVER (PARTITION BY length ORDER BY item_id % 64, item_id) - 1) // 8 AS batch, item_id FROM (SELECT item_id, len(string_split(text, ' ')) AS length FROM benchmark)")
+def length_batches(t):
+    return results.length_batches(t("benchmark").select("item_id", F.split("text", " ").alias("prompt")), "item_id", 8)

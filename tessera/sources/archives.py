@@ -106,32 +106,38 @@ def pcm16_wav(raw: bytes, rate: int | None = None) -> np.ndarray:
     return np.frombuffer(frames, "<i2")
 
 
-def float32_wav(raw: bytes) -> np.ndarray:
-    """Samples of a mono 32-bit float WAV file, read chunk by chunk."""
-    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
+def riff_chunks(raw: bytes):
+    """(tag, body) of each chunk of a RIFF file; one that says it is longer than the file is an error."""
+    view, at = memoryview(raw), 12
+    if bytes(view[:4]) != b"RIFF" or bytes(view[8:12]) != b"WAVE":
         raise ValueError("not a WAV file")
-    at, kind, data = 12, None, None
-    while at + 8 <= len(raw):
-        tag, size = raw[at : at + 4], struct.unpack("<I", raw[at + 4 : at + 8])[0]
-        body = raw[at + 8 : at + 8 + size]
-        if tag == b"fmt ":
-            kind = struct.unpack("<HHIIHH", body[:16])
-        elif tag == b"data":
-            data = body
-        at += 8 + size + (size & 1)
-    if kind is None or data is None or kind[0] != 3 or kind[1] != 1 or kind[5] != 32:
-        raise ValueError("not mono 32-bit float")
-    x = np.frombuffer(data, "<f4")
+    while len(raw) - at >= 8:
+        tag, size = struct.unpack_from("<4sI", raw, at)
+        if at + 8 + size > len(raw):
+            raise ValueError(f"truncated in the chunk {tag!r}")
+        yield tag, view[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+
+
+def float32_wav(raw: bytes, rate: int | None = None) -> np.ndarray:
+    """Samples of a mono 32-bit float WAV file; anything else is an error."""
+    parts = dict(riff_chunks(raw))
+    if not {b"fmt ", b"data"} <= parts.keys() or len(parts[b"fmt "]) < 16:
+        raise ValueError("no format or no data")
+    code, channels, hertz, _, _, bits = struct.unpack_from("<HHIIHH", parts[b"fmt "])
+    if (code, channels, bits) != (3, 1, 32) or rate not in (None, hertz) or len(parts[b"data"]) % 4:
+        raise ValueError("not whole mono 32-bit float samples at the rate asked for")
+    x = np.frombuffer(parts[b"data"], "<f4")
     if not np.isfinite(x).all():
         raise ValueError("samples that aren't finite")
     return x
 
 
 def cifar_records(df: DataFrame, pixels: int = 3072) -> DataFrame:
-    """Label and planar pixels of fixed-width image records."""
-    n = F.expr(f"octet_length(content) div {pixels + 1}")
-    whole = df.where((F.octet_length("content") % (pixels + 1)) == 0)
-    rows = whole.where(n > 0).select("path", "content", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("record"))
+    """Label and planar pixels of fixed-width image records; a file of another size is an error."""
+    odd = F.raise_error(F.concat(F.lit("no whole records: "), F.col("path")))
+    n = F.when(F.octet_length("content") % (pixels + 1) == 0, F.expr(f"octet_length(content) div {pixels + 1}")).otherwise(odd.cast("int"))
+    rows = df.where(n > 0).select("path", "content", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("record"))
     return rows.select("path", "record", F.expr(f"cast(conv(hex(substring(content, record * {pixels + 1} + 1, 1)), 16, 10) as int)").alias("label"), F.expr(f"substring(content, record * {pixels + 1} + 2, {pixels})").alias("pixels"))
 
 

@@ -69,3 +69,16 @@ def arithmetic_sequences(spark: SparkSession, n: int, width: int, seed: int = 0)
 
 def arithmetic_values(rows: DataFrame, width: int) -> DataFrame:
     return rows.withColumn("sequence", F.expr(f"transform(sequence(0, {width - 1}), j -> cast((start + step * j) % 256 as int))"))
+
+
+def csv_dimension(spark: SparkSession, path: str, required: list[str], key: str) -> DataFrame:
+    """A CSV file with a header as a dimension table; a missing column, no rows, or a key that
+    repeats or is null is an error."""
+    df = spark.read.option("header", True).csv(path)
+    lacking = sorted(set(required) - set(df.columns))
+    if lacking:
+        raise ValueError(f"{path}: missing columns {lacking}")
+    r = df.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys")).first()
+    if not r.rows or r["keys"] != r.rows:
+        raise ValueError(f"{path}: {r.rows} rows and {r['keys']} different values of {key}")
+    return df

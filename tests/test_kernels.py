@@ -26,6 +26,9 @@ def test_machine(spark):
     assert code(b"+[.++]") == (bytes([1, 3, 5, 7, 9, 11, 13, 15]), 2 + 8 * 4 - 3)
     assert code(b"<-.") == (b"\xff", 3) and code(b"]][.") == (b"\0", 4) and code(b"xyz") == (b"", 3)
     assert code(b"+[]", max_steps=50)[1] == 50
+    wide = code(b"-.", modulus=1000)
+    assert wide == ((999).to_bytes(8, "little"), 2)
+    assert code(b"++++++", max_steps=4)[1] == 4 and code(b"+>+<[->]<.", max_steps=100) == (b"\0", 13)
     draws = np.random.default_rng(0)
     assert code(b",.,.")[0] == bytes(int(draws.integers(0, 1 << 32, dtype=np.uint32)) % 256 for _ in range(2))
     got = programs.run(spark.createDataFrame([(0, bytearray(b"SX.F+.")), (1, bytearray(b"S\xff+.")), (2, bytearray(b""))], "id long, program binary")).collect()
@@ -34,20 +37,41 @@ def test_machine(spark):
     assert bytes(row.row) == b"O\x01" + bytes(4094)
 
 
-def test_families():
-    n = np.arange(4095)
-    fib, geo = [7, 7], [3]
-    for _ in range(4093):
+def names_of(x):
+    return [(h["family"], h["start_offset"]) for h in detect.classify(np.array(x))]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 255), st.integers(0, 127), st.integers(1, 255))
+def test_polynomial_families(start, odd, lead):
+    """Tapes of each degree, their coefficients drawn; a polynomial of a lower degree isn't one of a higher."""
+    n = np.arange(600)
+    step = 2 * odd + 1
+    assert names_of((start + step * n) % 256) == [("arithmetic", 0)]
+    assert names_of((start + step * n + (2 * lead + 1) * n * (n - 1) // 2) % 256)[0][0] == "quadratic"
+    cubic = names_of((start + step * n + (2 * lead + 1) * n * (n - 1) * (n - 2) // 6) % 256)
+    assert cubic and cubic[0][0] == "cubic"
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.integers(0, 255), st.integers(0, 127), st.integers(1, 24))
+def test_recurrences_and_noise_before_a_tape(first, odd, noise):
+    fib, geo = [first, 2 * odd + 1], [2 * odd + 1]
+    for _ in range(998):
         fib.append((fib[-1] + fib[-2]) % 256)
-    for _ in range(4094):
-        geo.append(geo[-1] * 3 % 256)
-    ar = (n * 10 + 7) % 256
-    names = lambda x: [(h["family"], h["start_offset"]) for h in detect.classify(np.array(x))]
-    assert names(ar) == [("arithmetic", 0)] and names(fib) == [("fibonacci", 0)] and ("geometric", 0) in names(geo)
-    assert names((2 * n * n + 3 * n + 1) % 256) == [("quadratic", 0)] and names((n**3 + n + 5) % 256) == [("cubic", 0)]
-    assert names(np.concatenate(([9, 88, 3, 250, 17] * 4, ar[:4075]))) == [("arithmetic", 20)]
-    for x in (np.zeros(4095, int), np.random.RandomState(0).randint(0, 256, 4095), n * 128 % 256, ar[:150]):
-        assert names(x) == []
+        geo.append(geo[-1] * 11 % 256)
+    assert ("fibonacci", 0) in names_of(fib) and "geometric" in {f for f, _ in names_of(geo)}
+    rng = np.random.default_rng(noise)
+    tape = (23 * np.arange(900) + first) % 256
+    before = rng.integers(0, 256, noise)
+    before[-1] = (tape[0] - 23 + 1 + odd) % 256  # breaks the progression where it begins
+    assert names_of(np.concatenate((before, tape))) == [("arithmetic", noise)]
+
+
+def test_tapes_without_a_family():
+    n = np.arange(4095)
+    for x in (np.zeros(4095, int), np.random.default_rng(5).integers(0, 256, 4095), n * 128 % 256, (23 * n[:150] + 4) % 256):
+        assert names_of(x) == []
 
 
 @settings(max_examples=100, deadline=None)
@@ -78,7 +102,13 @@ def test_fits_recover_known_exponents(spark):
     q = frontier.raw_power_fit(pts.select("C", (pts.pure * 1.0).alias("bpb")), lo=0.01, hi=0.2, steps=191).first()
     assert abs(q.alpha - 0.07) < 1e-3
     r = frontier.robust_floor_fit(c, 0.2 + 3 * (c / 1e15) ** -0.3)
-    assert abs(r["alpha"] - 0.3) < 5e-3 and abs(r["floor"] - 0.2) < 1e-2
+    assert abs(r["alpha"] - 0.3) < 5e-3 and abs(r["floor"] - 0.2) < 1e-2 and r["rmse"] < 1e-3 and r["n_points"] == 24
+    # a few points far off weigh little under Huber's loss on the losses themselves
+    noisy = 0.2 + 3 * (c / 1e15) ** -0.3 + np.where(np.arange(24) % 11 == 5, 0.4, 0.0)
+    assert abs(frontier.robust_floor_fit(c, noisy)["alpha"] - 0.3) < 0.03
+    both = spark.createDataFrame([(g, float(x), float(0.2 * g + 3 * (x / 1e15) ** -0.3)) for g in (1, 2) for x in c] + [(3, 1e15, 1.0)], "g int, C double, bpb double")
+    fits = {x.g: x for x in frontier.robust_floor_fits(both, "g").collect()}
+    assert sorted(fits) == [1, 2] and abs(fits[2].floor - 0.4) < 1e-2 and fits[1].n_points == 24
     with pytest.raises(ValueError):
         frontier.robust_floor_fit(c[:4], c[:4])
     with pytest.raises(Exception, match="finite and positive"):
@@ -164,11 +194,19 @@ def test_archives(spark, tmp_path):
     body = np.array([0.5, -1], "<f4").tobytes()
     riff = b"WAVE" + b"fmt " + struct.pack("<IHHIIHH", 16, 3, 1, 8000, 32000, 4, 32) + b"data" + struct.pack("<I", len(body)) + body
     assert archives.float32_wav(b"RIFF" + struct.pack("<I", len(riff)) + riff).tolist() == [0.5, -1.0]
+    whole = b"RIFF" + struct.pack("<I", len(riff)) + riff
+    for raw, rate in ((whole[:-3], None), (whole, 16_000), (b"RIFX" + whole[4:], None)):
+        with pytest.raises(ValueError):
+            archives.float32_wav(raw, rate)
+    assert archives.float32_wav(whole, 8000).tolist() == [0.5, -1.0]
     (tmp_path / "d.jsonl.gz").write_bytes(gzip.compress(b'{"text": "\xc3\xa9"}\n\n{"text": "b"}\n'))
     assert [bytes(r.raw) for r in archives.jsonl_documents(archives.binary_files(spark, str(tmp_path / "d.jsonl.gz"))).collect()] == ["é".encode(), b"b"]
     (tmp_path / "c.bin").write_bytes(bytes([7, *range(6), 9, *range(6, 12)]))
     got = archives.cifar_records(archives.binary_files(spark, str(tmp_path / "c.bin")), 6).orderBy("record").collect()
     assert [(r.label, list(r.pixels)) for r in got] == [(7, list(range(6))), (9, list(range(6, 12)))]
+    (tmp_path / "e.bin").write_bytes(bytes(13))
+    with pytest.raises(Exception, match="no whole records"):
+        archives.cifar_records(archives.binary_files(spark, str(tmp_path / "e.bin")), 6).collect()
     track = bytes([0, 0x90, 60, 64, 10, 62, 64, 10, 0x80, 60, 0, 0, 62, 0, 0, 62, 0, 0, 0xFF, 0x2F, 0])
     midi = b"MThd" + struct.pack(">IHHH", 6, 0, 1, 480) + b"MTrk" + struct.pack(">I", len(track)) + track
     assert archives.midi_notes(midi, 0) == ([(60, 0, 20, 0), (62, 10, 20, 1)], 1)
