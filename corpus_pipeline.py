@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language, nearcopies, simhash, substrings, tokens, toxicity
-from tessera.llm.common import read_table, stash
+from tessera.llm.common import read_table, stash, unstash
 
 
 def _unpack(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -95,5 +95,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stash(stage(spark, docs, sf_dir), f"stage{i}")
+        done = stash(stage(spark, docs, sf_dir), f"stage{i}")
+        unstash(docs)
+        docs = done
     return docs

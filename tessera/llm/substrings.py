@@ -37,6 +37,10 @@ from tessera.llm.common import prepare
 
 WINDOW = 20
 GROUP_BYTES = 3 << 19
+#: Text beyond which groups grow with the square root of it, up to ``MOST_GROUP_BYTES``: so
+#: messages between groups and shards are more in proportion to the text.
+GROWTH_BYTES = 1 << 30
+MOST_GROUP_BYTES = 6 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -117,6 +121,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, group_bytes: int = GRO
     words, first and past the last) and ``kept_text`` (kept words joined by one space)."""
     prepare(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    group_bytes = max(group_bytes, min(MOST_GROUP_BYTES, int(group_bytes * (total / GROWTH_BYTES) ** 0.5)))
     groups = max(1, -(-total // group_bytes))
     shards = max(1, groups // 4)
     rest = F.struct(*[docs[c] for c in docs.columns if c != "text"])
