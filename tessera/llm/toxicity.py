@@ -72,8 +72,8 @@ class Transducer:
     def __init__(self, arcs: dict[tuple[int, tuple[int, int]], tuple[int, tuple[int, int], float]]):
         self.arcs = arcs
 
-    def run(self, symbols: list[tuple[int, int]]) -> list[tuple[tuple[int, int], float]]:
-        state, out = 0, []
+    def run(self, symbols: list[tuple[int, int]], state: int = 0) -> list[tuple[tuple[int, int], float]]:
+        out = []
         for x in symbols:
             state, y, weight = self.arcs[state, x]
             out.append((y, weight))
@@ -146,6 +146,8 @@ THREAT, TARGETING, NEGATING, REPORTING = transducer(_threat, THREAT_MARK), trans
 #: What the insult transducer writes: an entry is a match.
 SYMBOLS = [(c, MATCH if c == INSULT else 0) for c in CLASSES]
 MACHINE = compose(compose(compose(THREAT, TARGETING, SYMBOLS), NEGATING, SYMBOLS), REPORTING, SYMBOLS)
+#: The state of the machine where a clause begins, outside and inside a quotation.
+BEGIN = (0, MACHINE.arcs[0, (OPENING, 0)][0])
 _MARKS = {"\n": LINE, ":": COLON, '"': QUOTE, "«": OPENING, "»": CLOSING, "“": QUOTE, "”": CLOSING, "„": OPENING}
 _CLASSES = {w: c for c, words in GRAMMAR.items() for w in words.split()} | {x: STOP for x in ".!?;"} | _MARKS
 
@@ -204,35 +206,45 @@ class Grammar:
         return out
 
     def clauses(self, text: str | None) -> list[tuple[int, float, bool]]:
-        """(kind, weight, holds a threat) of every clause with a match."""
+        """(kind, weight, holds a threat) of every clause with a match. Of the others only the
+        quotation marks are read, which may hold over several clauses."""
         read = self.read(tokens(text))
-        if max(read, default=(0, 0.0))[0] < VIOLENCE:
+        classes = [c for c, _ in read]
+        hits = [i for i, c in enumerate(classes) if c >= VIOLENCE]
+        if not hits:
             return []
-        # a colon after a verb of saying joins what follows to its clause
-        said, classes = False, []
-        for c, _ in read:
-            if c == COLON:
-                c = OTHER if said else STOP
-            said = c == SAYING or (said and c not in (STOP, LINE))
-            classes.append(c)
-        marked = MACHINE.run([(c, MATCH if c == INSULT else 0) for c in classes])
-        out, begin = [], 0
-        for end in [*(i for i, c in enumerate(classes) if c in (STOP, LINE)), len(classes)]:
-            if max(classes[begin:end], default=0) >= VIOLENCE:
-                behind = TARGETING.run([x for x, _ in reversed(marked[begin:end])])[::-1]
-                found = []
-                for i in range(begin, end):
-                    (_, marks), path = marked[i]
-                    if marks & MATCH:
-                        if not marks & TARGET_MARK and behind[i - begin][0][1] & TARGET_MARK:
-                            marks, path = marks | TARGET_MARK, path + WEIGHTS[TARGET_MARK]
-                        kind = NEGATED if marks & NEGATION_MARK else REPORTED if marks & REPORT_MARK else TARGETED if marks & TARGET_MARK else PLAIN
-                        found.append((max(0.1, read[i][1] + path), -kind, bool(marks & THREAT_MARK)))
-                if found:
+        out, begin, hit = [], 0, 0
+        quoted = quoted_before = 0
+        for end in [*(i for i, c in enumerate(classes) if QUOTE <= c <= LINE), len(classes)]:
+            c = classes[end] if end < len(classes) else LINE
+            if c < COLON:
+                quoted = 1 if c == OPENING else 0 if c == CLOSING else 1 - quoted
+                continue
+            if c == COLON and SAYING in classes[begin:end]:
+                continue  # what follows belongs to the clause
+            if hit < len(hits) and hits[hit] < end:
+                if found := self._matches(read[begin:end], BEGIN[quoted_before]):
                     out.append((-max(found)[1], sum(f[0] for f in found), any(f[2] for f in found)))
-            begin = end + 1
+                while hit < len(hits) and hits[hit] < end:
+                    hit += 1
+            quoted = 0 if c == LINE else quoted
+            begin, quoted_before = end + 1, quoted
         return out
 
+    @staticmethod
+    def _matches(read: list[tuple[int, float]], state: int) -> list[tuple[float, int, bool]]:
+        """(weight, kind with a minus, is a threat) of the matches in a clause."""
+        marked = MACHINE.run([(c, MATCH if c == INSULT else 0) for c, _ in read], state)
+        behind = TARGETING.run([x for x, _ in reversed(marked)])[::-1]
+        found = []
+        for (_, weight), ((_, marks), path), ((_, after), _) in zip(read, marked, behind, strict=True):
+            if marks & MATCH:
+                if after & TARGET_MARK and not marks & TARGET_MARK:
+                    marks, path = marks | TARGET_MARK, path + WEIGHTS[TARGET_MARK]
+                kind = NEGATED if marks & NEGATION_MARK else REPORTED if marks & REPORT_MARK else TARGETED if marks & TARGET_MARK else PLAIN
+                found.append((max(0.1, weight + path), -kind, bool(marks & THREAT_MARK)))
+        return found
+
     def features(self, text: str | None) -> np.ndarray:
         x = np.zeros(len(PRIOR))
         x[0] = 1
