@@ -2,43 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _around(curves: DataFrame, half: int) -> DataFrame:
-    """Each position with its neighbours; beyond an end the end's value is repeated. A row
-    is sent to its neighbours, so a curve need not meet in one task."""
-    ends = curves.groupBy("curve").agg(F.max("i").alias("last"))
-    both = curves.join(ends, "curve")
-    at = both.select("curve", "y", "last", "i", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("d")).withColumn("to", F.col("i") - F.col("d"))
-    inside = at.where("to between 0 and last").select("curve", F.col("to").alias("i"), "d", "y")
-    first = both.where("i = 0").select("curve", "y", "last", F.explode(F.sequence(F.lit(1), F.lit(half))).alias("k"))
-    low = first.select("curve", "y", "last", "k", F.explode(F.expr(f"sequence(0, {half} - cast(k as int))")).alias("i")).where("i <= last").select("curve", "i", (-(F.col("k") + F.col("i"))).alias("d"), "y")
-    end = both.where("i = last").select("curve", "y", "last", F.explode(F.sequence(F.lit(1), F.lit(half))).alias("k"))
-    high = end.select("curve", "y", "last", "k", F.explode(F.expr(f"sequence(0, {half} - cast(k as int))")).alias("back")).where("back <= last").select("curve", (F.col("last") - F.col("back")).alias("i"), (F.col("k") + F.col("back")).alias("d"), "y")
-    return inside.unionByName(low).unionByName(high)
-
-
-def median_filter(curves: DataFrame, width: int = 33) -> DataFrame:
-    return _around(curves, width // 2).groupBy("curve", "i").agg(F.expr("percentile(y, 0.5)").alias("y"))
-
-
-def hann_smooth(curves: DataFrame, taps: int = 31) -> DataFrame:
-    """A normalized Hann window of ``taps`` taps."""
-    w = np.hanning(taps)
-    weights = curves.sparkSession.createDataFrame([(k - taps // 2, float(x)) for k, x in enumerate(w / w.sum())], "d int, w double")
-    return _around(curves, taps // 2).join(F.broadcast(weights), "d").groupBy("curve", "i").agg(F.sum(F.col("y") * F.col("w")).alias("y"))
-
-
-def robust_area(curves: DataFrame, width: int = 33) -> DataFrame:
-    """Trapezoid area above the final value of the running minimum of the median-filtered curve."""
-    by = Window.partitionBy("curve").orderBy("i")
-    env = median_filter(curves, width).withColumn("env", F.min("y").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    # the envelope never rises, so its last value is its least
-    steps = env.withColumn("next", F.lead("env").over(by))
-    return steps.groupBy("curve").agg(F.sum((F.col("env") + F.col("next")) / 2).alias("area"), F.count("next").alias("n"), F.min("env").alias("last")).select("curve", (F.coalesce("area", F.lit(0.0)) - F.col("n") * F.col("last")).alias("area"))
+#: Positions of a curve that are filtered together.
+BLOCK = 1 << 12
+
+
+def _filtered(curves: DataFrame, half: int, kernel: Callable[[np.ndarray], np.ndarray], block: int) -> DataFrame:
+    """``curve, block, i, y`` with ``kernel`` applied to the ``2 half + 1`` values around each
+    position; beyond an end the end's value is repeated. A curve is cut into blocks, and only
+    rows within ``half`` of a block's edge are sent to the next block too, so that a long curve
+    is spread over tasks and shuffled once."""
+    if block < half:
+        raise ValueError("a block is at least half a filter long")
+    at, place = F.floor(F.col("i") / block), F.col("i") % block
+    blocks = F.array_compact(F.array(at, F.when((place < half) & (at > 0), at - 1), F.when(place >= block - half, at + 1)))
+    dealt = curves.select("curve", "i", "y", F.explode(blocks).alias("block"))
+
+    def run(key, table):
+        table = table.sort_by("i")
+        i = table.column("i").to_numpy()
+        own = np.flatnonzero(i // block == key[1].as_py())
+        if not len(own):
+            return table.slice(0, 0).select(["curve", "block", "i", "y"])
+        y = table.column("y").cast(pa.float64()).to_numpy()  # a null is NaN
+        first, last = own[0], own[-1]
+        low, high = max(first - half, 0), min(last + half + 1, len(y))
+        around = np.concatenate([np.repeat(y[0], half - (first - low)), y[low:high], np.repeat(y[-1], half - (high - 1 - last))])
+        out = pa.array(kernel(np.lib.stride_tricks.sliding_window_view(around, 2 * half + 1)), from_pandas=True)
+        mine = table.slice(first, len(own))
+        return pa.table([mine.column("curve"), mine.column("block"), mine.column("i"), out], names=["curve", "block", "i", "y"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    return dealt.groupBy("curve", "block").applyInArrow(run, f"curve {kinds['curve']}, block {kinds['block']}, i {kinds['i']}, y double")
+
+
+def _medians(around: np.ndarray) -> np.ndarray:
+    if not np.isnan(around).any():
+        return np.median(around, axis=1)
+    out = np.full(len(around), np.nan)
+    some = ~np.isnan(around).all(axis=1)
+    out[some] = np.nanmedian(around[some], axis=1)
+    return out
+
+
+def median_filter(curves: DataFrame, width: int = 33, block: int = BLOCK) -> DataFrame:
+    """The median of ``width`` values around each; nulls among them are passed over."""
+    return _filtered(curves, width // 2, _medians, block).drop("block")
+
+
+def hann_smooth(curves: DataFrame, taps: int = 31, block: int = BLOCK) -> DataFrame:
+    """A normalized Hann window of ``taps`` taps; a null adds nothing."""
+    w = np.hanning(taps) / np.hanning(taps).sum()
+
+    def smooth(around: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(around).all(axis=1), np.nan, np.nan_to_num(around, nan=0.0) @ w)
+
+    return _filtered(curves, taps // 2, smooth, block).drop("block")
+
+
+def robust_area(curves: DataFrame, width: int = 33, block: int = BLOCK) -> DataFrame:
+    """Trapezoid area above the final value of the running minimum of the median-filtered curve.
+    The minimum runs within a block, from that of the blocks before it."""
+    filtered = _filtered(curves, width // 2, _medians, block)
+    before = Window.partitionBy("curve").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    lows = filtered.groupBy("curve", "block").agg(F.min("y").alias("low")).select(F.col("curve").alias("c"), F.col("block").alias("b"), F.min("low").over(before).alias("low"))
+    within = Window.partitionBy("curve", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    running = filtered.select("curve", "block", F.min("y").over(within).alias("y"))
+    env = running.join(lows, running.curve.eqNullSafe(lows.c) & (running.block == lows.b)).select("curve", F.least("y", "low").alias("env"))
+    # the envelope never rises: its first value is its largest, its last one its least
+    steps = env.groupBy("curve").agg(F.sum("env").alias("sum"), F.max("env").alias("first"), F.min("env").alias("last"), (F.count("env") - 1).alias("n"))
+    return steps.select("curve", (F.col("sum") - (F.col("first") + F.col("last")) / 2 - F.col("n") * F.col("last")).alias("area"))
 
 
 def outliers(values: DataFrame) -> DataFrame:

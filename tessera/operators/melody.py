@@ -18,7 +18,7 @@ def skyline(notes: DataFrame, cells: int = 4095) -> DataFrame:
     """``piece, nid, pitch, start, stop`` (cells) to ``piece, cell, token``: in each cell the
     note with the largest (pitch, raw start, id); HOLD while it is the one before, REST where
     none sounds. Notes that collapse to no cell are dropped; ``raw`` is the unquantized start."""
-    sounding = notes.where("stop > start").select("piece", "nid", "pitch", "raw", F.explode(F.expr("sequence(start, stop - 1)")).alias("cell")).where(F.col("cell") < cells)
+    sounding = notes.where(f"stop > start and start < {cells}").select("piece", "nid", "pitch", "raw", F.explode(F.expr(f"sequence(start, least(stop, {cells}) - 1)")).alias("cell"))
     top = sounding.groupBy("piece", "cell").agg(F.max(F.struct("pitch", "raw", "nid")).alias("top"))
     length = notes.where("stop > start").groupBy("piece").agg(F.max("stop").alias("length"))
     grid = length.select("piece", F.explode(F.expr(f"sequence(0L, least(length, {cells}L) - 1)")).alias("cell"))

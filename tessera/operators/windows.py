@@ -140,24 +140,59 @@ def tail_stats(df: DataFrame, window: int, *by: str, raw: str = "raw") -> DataFr
     return df.groupBy(*by).agg(F.sum(size).alias("bytes"), F.sum(F.expr(f"coalesce(octet_length(`{raw}`) div {window}, 0)")).alias("windows"), F.sum(size % window).alias("tail_bytes"), F.count_if(size < window).alias("too_short"))
 
 
+def placed(df: DataFrame, key: str, order: str, raw: str = "raw", block: int = 1 << 12, unique: bool = False) -> DataFrame:
+    """``df`` with ``at``, the byte at which each row begins in the concatenation of its key's
+    rows by ``order``: sums within blocks of ``order``, from sums of the blocks before, so that a
+    key with most rows is spread over many tasks. With ``unique``, an order that repeats within a
+    key is an error."""
+    rows = df.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_size", F.coalesce(F.octet_length(raw).cast("long"), F.lit(0).cast("long")))
+    earlier = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_b")).agg(F.sum("_size").alias("_total"))
+    bases = totals.select("_key", "_b", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(key, "_block").orderBy(order, raw)
+    ranked = rows.withColumn("_within", F.coalesce(F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if unique:
+        again = F.lag(order).over(within) == F.col(order)
+        error = F.raise_error(F.concat(F.lit("repeated index in "), F.col(key).cast("string"))).cast("long")
+        ranked = ranked.withColumn("_again", again).withColumn("_within", F.when(F.col("_again"), error).otherwise(F.col("_within")))
+    joined = ranked.join(bases, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_b")))
+    return joined.select(*df.columns, (F.col("_base") + F.col("_within")).alias("at"))
+
+
+def cut(pieces: DataFrame, key: str, window: int, raw: str = "raw") -> DataFrame:
+    """Placed pieces to ``key, idx, payload``, the whole windows of each key's stream. Windows
+    within one piece are cut there; only parts of those that cross pieces are brought together."""
+    spans = pieces.select(key, raw, "at", (F.col("at") + F.octet_length(raw)).alias("end")).where("end > at")
+    each = spans.select("*", F.explode(F.expr(f"sequence(at div {window}, (end - 1) div {window})")).alias("idx"))
+    part = F.expr(f"substring(`{raw}`, cast(greatest(idx * {window}, at) - at + 1 as int), cast(least((idx + 1) * {window}, end) - greatest(idx * {window}, at) as int))")
+    parts = each.select(key, "idx", "at", part.alias("payload"))
+    whole = parts.where(F.octet_length("payload") == window).select(key, "idx", "payload")
+    crossing = parts.where(F.octet_length("payload") < window).groupBy(key, "idx").agg(F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("parts"))
+    joined = crossing.select(key, "idx", F.expr("unhex(array_join(transform(parts, p -> hex(p.payload)), ''))").alias("payload"))
+    return whole.unionByName(joined.where(F.octet_length("payload") == window))
+
+
 def shard_bake(docs: DataFrame, window: int, total: int, shards: int) -> DataFrame:
     """``shard, doc_id, raw`` to the first windows of each shard's concatenated documents,
-    ``total`` over all. Only documents that begin within a shard's quota are joined, so a
-    shard's stream is never longer than that."""
-    order = Window.partitionBy("shard").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.select("shard", "doc_id", "raw", F.octet_length("raw").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    needed = placed.withColumn("quota", quota(total, shards, F.col("shard"))).where(F.col("before") < F.col("quota") * window)
-    streams = needed.groupBy("shard", "quota").agg(F.array_sort(F.collect_list(F.struct("doc_id", "raw"))).alias("parts"))
-    joined = streams.select("shard", "quota", F.expr("unhex(array_join(transform(parts, p -> hex(p.raw)), ''))").alias("raw"))
-    return chunk(joined, window).where("idx < quota").drop("quota")
+    ``total`` over all. Documents that begin beyond a shard's quota aren't cut."""
+    wanted = quota(total, shards, F.col("shard"))
+    needed = placed(docs.select("shard", "doc_id", "raw"), "shard", "doc_id").where(F.col("at") < wanted * window)
+    return cut(needed, "shard", window).where(F.col("idx") < wanted)
 
 
 def rechunk(pieces: DataFrame, window: int) -> DataFrame:
     """``stream, chunk_index, raw`` re-sliced: a stream's pieces joined in order (gaps are
     passed over, a repeated index is an error) and cut anew."""
-    streams = pieces.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "raw"))).alias("parts"), F.count("*").alias("n"), F.count_distinct("chunk_index").alias("different"))
-    checked = F.when(F.col("n") == F.col("different"), F.expr("unhex(array_join(transform(parts, p -> hex(p.raw)), ''))")).otherwise(F.raise_error(F.concat(F.lit("repeated index in "), F.col("stream").cast("string"))).cast("binary"))
-    return chunk(streams.select("stream", checked.alias("raw")), window)
+    return cut(placed(pieces.select("stream", "chunk_index", "raw"), "stream", "chunk_index", unique=True), "stream", window)
+
+
+#: The metadata that names a record's stream, the first that is there.
+STREAM_KEYS = ("original_file", "subset", "global_shard")
+
+
+def stream_key(*names: str):
+    """The stream that a record belongs to, by the first of ``names`` that its metadata has."""
+    return F.coalesce(*[F.when(F.col(f"metadata.{n}").isNotNull(), F.concat_ws("=", F.lit(n), F.col(f"metadata.{n}"))) for n in names or STREAM_KEYS])
 
 
 # ---- validation

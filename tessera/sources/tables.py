@@ -25,14 +25,17 @@ def frontier_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(FRONTIER_SCHEMA).csv(path).where("round <> 0")
 
 
-def score_slices(spark: SparkSession, path: str) -> DataFrame:
+def flat_slices(nested: DataFrame) -> DataFrame:
     """Nested score slices as flat rows, one for each corpus and ensemble size."""
-    nested = spark.read.option("multiLine", True).schema(SLICE_SCHEMA).json(path)
     by_corpus = nested.select("rung", "N", "round", "n_seeds", F.explode("bpb").alias("corpus", "by_k"))
     flat = by_corpus.select("rung", "N", "round", "n_seeds", "corpus", F.explode("by_k").alias("k", "bpb"))
     return flat.where("k <> 'n_seeds'").select("rung", "N", "round", "corpus", F.col("k").cast("int").alias("K"), "bpb", "n_seeds")
 
 
+def score_slices(spark: SparkSession, path: str) -> DataFrame:
+    return flat_slices(spark.read.option("multiLine", True).schema(SLICE_SCHEMA).json(path))
+
+
 def hits_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HIT_SCHEMA).json(path)
 

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.sources.tables import SLICE_SCHEMA
+from tessera.sources.tables import SLICE_SCHEMA, flat_slices
 
 
 def slice_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Score slices as files arrive, each (rung, round) once."""
-    nested = spark.readStream.option("multiLine", True).schema(SLICE_SCHEMA).json(path).dropDuplicates(["rung", "round"])
-    flat = nested.select("rung", "N", "round", "n_seeds", F.explode("bpb").alias("corpus", "by_k"))
-    return flat.select("rung", "N", "round", "n_seeds", "corpus", F.explode("by_k").alias("K", "bpb"))
+    """Score slices as files arrive, flat as the batch reader's, each (rung, round) once: the
+    state is one key for each slice, not for each row."""
+    nested = spark.readStream.option("multiLine", True).schema(SLICE_SCHEMA).json(path)
+    return flat_slices(nested.dropDuplicates(["rung", "round"]))
 
 
 def ingest(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
