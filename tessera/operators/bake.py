@@ -125,9 +125,10 @@ def choose(source: DataFrame, corpus: Corpus, context_length: int) -> DataFrame:
 
 def arithmetic(spark: SparkSession, n: int, window: int, seed: int = 0) -> DataFrame:
     """``number, start, step, payload``: progressions modulo 256 whose starts and steps are drawn
-    by NumPy's generator on the driver, a pair for each row."""
-    draws = np.random.default_rng(seed).integers(0, 256, (n, 2), dtype=np.int64)
-    rows = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(draws)], "number long, start long, step long")
+    by NumPy's generator on the driver, as bytes: all starts, then all steps."""
+    generator = np.random.default_rng(seed)
+    starts, steps = (generator.integers(0, 256, n, dtype=np.uint8).tolist() for _ in range(2))
+    rows = spark.createDataFrame(list(zip(range(n), starts, steps)), "number long, start long, step long")
     return rows.withColumn("payload", F.expr(f"unhex(array_join(transform(sequence(0, {window - 1}), j -> lpad(hex((start + step * j) % 256), 2, '0')), ''))"))
 
 

@@ -32,6 +32,14 @@ def rounds_of(checkpoints: DataFrame, wanted: DataFrame, *by: str) -> DataFrame:
     return checkpoints.join(wanted.select(*by, "round").distinct(), [*by, "round"], "left_semi")
 
 
+def strict_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Each row of ``left`` with its row of ``right``; one that has none is an error."""
+    there = right.withColumn("_there", F.lit(True))
+    missing = F.raise_error(F.concat(F.lit(f"no row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    joined = left.join(there, key, "left").where(F.when(F.col("_there"), True).otherwise(missing.cast("boolean")))
+    return joined.drop("_there")
+
+
 def assemble_curves(*named: tuple[str, DataFrame, Column]) -> DataFrame:
     """Rows of several result tables under one ``curve`` column: (name, table, which rows)."""
     return reduce(DataFrame.unionByName, [df.where(rows).withColumn("curve", F.lit(name)) for name, df, rows in named])

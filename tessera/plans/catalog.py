@@ -531,8 +531,8 @@ _P = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: exp(4
 
 
 def distributions(t):
-    soft = t("embeddings").select("vec_id", "label", F.expr("transform(embedding, v -> exp(4 * cast(v as double)))").alias("x"))
-    return soft.select("vec_id", "label", F.expr("transform(x, v -> v / aggregate(x, 0D, (a, b) -> a + b))").alias("p"), F.expr("cast(vec_id % 64 as int)").alias("answer"), F.expr("array(cast(vec_id % 64 as int), cast((vec_id * 7) % 64 as int), label)").alias("support"))
+    logits = t("embeddings").select("vec_id", "label", F.expr("transform(embedding, v -> exp(4 * (cast(v as double) - array_max(embedding))))").alias("x"))
+    return logits.select("vec_id", "label", F.expr("transform(x, v -> v / aggregate(x, 0D, (a, b) -> a + b))").alias("p"), F.expr("cast(vec_id % 64 as int)").alias("answer"), F.expr("array(cast(vec_id % 64 as int), cast((vec_id * 7) % 64 as int), label)").alias("support"))
 
 
 @query("label:i accuracy:d p_correct:d in_input:d n:i", f"{_P} SELECT label, avg((pred = answer)::INT) AS accuracy, avg(p[answer + 1]) AS p_correct, avg(list_contains(support, pred)::INT) AS in_input, count(*) AS n FROM d GROUP BY label")

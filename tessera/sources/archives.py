@@ -71,9 +71,13 @@ def tar_members(df: DataFrame, suffix: str = "") -> DataFrame:
     return _members(df, read)
 
 
-def verified_prefix(members: DataFrame, size: int, sha256: str, prefix: int) -> DataFrame:
-    """The first ``prefix`` bytes of members whose whole size and digest are as pinned."""
-    ok = (F.octet_length("raw") == size) & (F.sha2("raw", 256) == sha256) & (F.lit(prefix) <= size)
+def verified_prefix(members: DataFrame, size: int, sha256: str | None, prefix: int, md5: str | None = None, sha1: str | None = None) -> DataFrame:
+    """The first ``prefix`` bytes of members whose whole size and digests are as pinned."""
+    if not (sha256 or md5 or sha1):
+        raise ValueError("at least one digest is pinned")
+    ok = (F.octet_length("raw") == size) & (F.lit(prefix) <= size)
+    for found, pinned in ((F.sha2("raw", 256), sha256), (F.md5("raw"), md5), (F.sha1("raw"), sha1)):
+        ok = ok & (found == pinned.lower()) if pinned else ok
     checked = F.when(ok, F.substring("raw", 1, prefix)).otherwise(F.raise_error(F.concat(F.lit("not as pinned: "), F.col("name"))).cast("binary"))
     return members.withColumn("raw", checked)
 
@@ -201,6 +205,47 @@ def _track_notes(data: bytes) -> tuple[list[tuple[int, int, int, int]], int]:
     return sorted(notes, key=lambda n: n[3]), spare
 
 
+def ticks_per_quarter(raw: bytes) -> int:
+    """What a MIDI file's header says; divisions by time codes are an error."""
+    if raw[:4] != b"MThd" or len(raw) < 14:
+        raise ValueError("not a MIDI file")
+    division = struct.unpack_from(">H", raw, 12)[0]
+    if not 0 < division < 0x8000:
+        raise ValueError(f"ticks of {division:#x} aren't parts of a quarter")
+    return division
+
+
+def midi_table(df: DataFrame, track: int) -> DataFrame:
+    """The notes of a track of each file ``path, content``: ``path, quarter, nid, pitch, start,
+    stop`` in ticks, ``quarter`` of them to a quarter note, and ``spare`` off-events without a
+    note. A track without a note is an error."""
+    schema = "path string, quarter int, nid int, pitch int, start long, stop long, spare int"
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                quarter = ticks_per_quarter(content)
+                notes, spare = midi_notes(content, track)
+                if not notes:
+                    raise ValueError(f"{path}: no note in track {track}")
+                pitch, start, stop, order = map(list, zip(*notes))
+                n = len(notes)
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+                columns = [[path] * n, [quarter] * n, order, pitch, start, stop, [spare] * n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "quarter", "nid", "pitch", "start", "stop", "spare"])
+
+    return df.select("path", "content").mapInArrow(run, schema)
+
+
+def table_fingerprint(clips: DataFrame) -> str:
+    """:func:`content_fingerprint` of a table ``name, frames``: the digest runs over all clips in
+    order, so they pass the driver one partition at a time and none is kept."""
+    h = hashlib.sha256()
+    for r in clips.select("name", "frames").orderBy(F.col("name").cast("binary")).toLocalIterator():
+        h.update(r.name.encode() + b"\0" + bytes(r.frames))
+    return h.hexdigest()
+
+
 def content_fingerprint(clips: list[tuple[str, bytes]]) -> str:
     """SHA-256 over ``name NUL frames`` of all clips in order of their names."""
     h = hashlib.sha256()

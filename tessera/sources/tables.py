@@ -58,10 +58,16 @@ def checkpoint_index(paths: DataFrame, group: str | None = None) -> DataFrame:
     return parts.groupBy("target", "round").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("seed", "path")))).alias("paths"))
 
 
-def first_path_per_shard(manifest: DataFrame) -> DataFrame:
-    """From manifest lines (``line_no, path``) the first path of each ``shard_NN`` tag."""
+def first_path_per_shard(manifest: DataFrame, shards: int | None = None) -> DataFrame:
+    """From manifest lines (``line_no, path``) the first path of each ``shard_NN`` tag; where
+    ``shards`` says how many there are, one that is absent is an error."""
     tagged = manifest.withColumn("shard", F.regexp_extract("path", r"shard_0*(\d+)", 1)).where("shard <> ''")
-    return tagged.groupBy(F.col("shard").cast("int").alias("shard")).agg(F.min_by("path", "line_no").alias("path"))
+    found = tagged.groupBy(F.col("shard").cast("int").alias("shard")).agg(F.min_by("path", "line_no").alias("path"))
+    if shards is None:
+        return found
+    every = manifest.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
+    absent = F.raise_error(F.concat(F.lit("no path of shard "), F.col("shard").cast("string"))).cast("string")
+    return every.join(found, "shard", "left").select("shard", F.coalesce("path", absent).alias("path"))
 
 
 def arithmetic_sequences(spark: SparkSession, n: int, width: int, seed: int = 0) -> DataFrame:

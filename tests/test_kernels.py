@@ -12,12 +12,13 @@ import zipfile
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera import streaming
 from tessera.functions import signal, text
-from tessera.operators import curves, detect, export, frontier, probes, programs, scoring, windows
+from tessera.operators import curves, detect, export, frontier, probes, programs, results, scoring, windows
 from tessera.sources import archives, tables
 
 
@@ -279,3 +280,93 @@ def test_prompts(spark):
         for o in r.ops[:-1]:
             s = s[:-1] if o == 0 else [*s, o]
         assert r.answer == s[-1]
+
+
+def test_blocks_of_curves_equal_one_block(spark):
+    rng = np.random.default_rng(8)
+    rows = [(c, i, float(v)) for c, n in enumerate((1, 2, 16, 17, 64, 200)) for i, v in enumerate(rng.normal(size=n))]
+    rows += [(9, i, None if i % 7 == 3 else float(i % 5)) for i in range(90)] + [(None, i, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "curve int, i int, y double")
+    plain = lambda x: {(r[0], r[1]): None if r[2] is None else round(r[2], 9) for r in x.select("curve", "i", "y").collect()}
+    for f in (curves.median_filter, curves.hann_smooth):
+        whole = plain(f(df))
+        assert len(whole) == len(rows) and whole == plain(f(df, block=16)) == plain(f(df, block=64))
+    area = lambda **k: {r.curve: round(r.area, 9) for r in curves.robust_area(df, **k).collect()}
+    assert area() == area(block=16) and area()[0] == 0 and area()[None] == 0
+    with pytest.raises(ValueError, match="block"):
+        curves.median_filter(df, block=8)
+    assert curves.median_filter(df.where("false")).count() == 0
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.binary(max_size=12), min_size=1, max_size=12), st.integers(1, 9))
+def test_streams_are_cut_as_if_joined(spark, pieces, window):
+    df = spark.createDataFrame([(s, 3 * i, bytearray(p)) for s in (1, None) for i, p in enumerate(pieces)] + [(2, 0, None)], "stream int, chunk_index int, raw binary")
+    joined = b"".join(pieces)
+    want = [joined[i : i + window] for i in range(0, len(joined) - window + 1, window)]
+    for block in (1 << 12, 6):
+        got = windows.cut(windows.placed(df, "stream", "chunk_index", block=block, unique=True), "stream", window).collect()
+        for s in (1, None):
+            assert [bytes(r.payload) for r in sorted((r for r in got if r.stream == s), key=lambda r: r.idx)] == want
+        assert len(got) == 2 * len(want)
+
+
+def test_stream_key_takes_the_first_there(spark):
+    df = spark.createDataFrame([(1, ("f", "s", None)), (2, (None, "s", "0")), (3, (None, None, None))], "id int, metadata struct<original_file:string, subset:string, global_shard:string>")
+    assert [r.k for r in df.select("id", windows.stream_key().alias("k")).orderBy("id").collect()] == ["original_file=f", "subset=s", None]
+
+
+def test_association_and_nested_prompts(spark):
+    made = probes.associations(spark, 4, 9, 3, np.random.default_rng(4))
+    each = {t: [r for r in made.orderBy("demo").collect() if r.trial == t] for t in range(3)}
+    for rows in each.values():
+        seen = {r.x[0]: r.answer for r in rows[:4]}
+        assert len(rows) == 10 and len(seen) == 4 and all(seen[r.x[0]] == r.answer for r in rows)
+    got = {r.trial: r for r in probes.prompts(made, None).collect()}
+    for t, rows in each.items():
+        assert got[t].prompt == [79, *(v for r in rows[:-1] for v in (0, *r.x, r.answer)), 0, *rows[-1].x] and got[t].answer == rows[-1].answer
+    with pytest.raises(ValueError, match="at least once"):
+        probes.associations(spark, 4, 3, 1, np.random.default_rng(0))
+    table = probes.demo_table(spark, 6, 2, trials=3, seed=1)
+    nested = probes.prompts(probes.nested_demos(table.where("demo < 6"), table.where("demo = 6"), [0, 2, 5]), "sum", by=("size", "trial")).collect()
+    by = {(r["size"], r.trial): r for r in nested}
+    assert len(by) == 9 and all(len(by[m, 0].prompt) == 1 + 4 * m + 3 for m in (0, 2, 5))
+    assert by[5, 1].prompt[:9] == by[2, 1].prompt[:9] and by[5, 1].answer == by[0, 1].answer
+
+
+def test_softmax_of_large_logits(spark):
+    x = np.random.default_rng(0).normal(size=16) * 900
+    df = spark.createDataFrame([(x.tolist(),)], "x array<double>")
+    want = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    r = df.select(probes.softmax("x").alias("p"), probes.log_probability("x", F.lit(3)).alias("l")).first()
+    assert np.allclose(r.p, want) and math.isclose(r.l, x[3] - x.max() - math.log(np.exp(x - x.max()).sum()))
+
+
+def test_midi_files_as_a_table(spark):
+    body = b"\x00\x90\x3c\x40" + b"\x60\x80\x3c\x00" + b"\x00\x90\x40\x40" + b"\x81\x40\x80\x40\x00" + b"\x00\xff\x2f\x00"
+    file = lambda division, b: bytearray(b"MThd" + struct.pack(">IHHH", 6, 0, 1, division) + b"MTrk" + struct.pack(">I", len(b)) + b)
+    df = lambda *a: spark.createDataFrame([("a.mid", file(*a))], "path string, content binary")
+    got = archives.midi_table(df(96, body), 0).orderBy("nid").collect()
+    assert [tuple(r) for r in got] == [("a.mid", 96, 0, 60, 0, 96, 0), ("a.mid", 96, 1, 64, 96, 288, 0)]
+    for bad in (df(0xE728, body), df(96, body[-4:])):
+        with pytest.raises(Exception, match="quarter|no note"):
+            archives.midi_table(bad, 0).collect()
+
+
+def test_pins_joins_and_manifests(spark):
+    raw = b"some member"
+    members = spark.createDataFrame([("m", bytearray(raw))], "name string, raw binary")
+    ok = archives.verified_prefix(members, len(raw), None, 4, md5=hashlib.md5(raw).hexdigest(), sha1=hashlib.sha1(raw).hexdigest())
+    assert bytes(ok.first().raw) == b"some"
+    with pytest.raises(Exception, match="not as pinned"):
+        archives.verified_prefix(members, len(raw), None, 4, sha1=hashlib.sha1(b"x").hexdigest()).collect()
+    clips = [("b", b"2"), ("a", b"1"), ("é", b"3")]
+    assert archives.table_fingerprint(spark.createDataFrame([(n, bytearray(f)) for n, f in clips], "name string, frames binary")) == archives.content_fingerprint(clips)
+    left, right = spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("a", 1)], "k string, v int")
+    assert results.strict_join(left.where("k = 'a'"), right, "k").first().v == 1
+    with pytest.raises(Exception, match="no row for k b"):
+        results.strict_join(left, right, "k").collect()
+    lines = spark.createDataFrame([(0, "x/shard_01/a"), (1, "x/shard_00/b"), (2, "x/shard_01/c")], "line_no int, path string")
+    assert [r.path for r in tables.first_path_per_shard(lines, 2).orderBy("shard").collect()] == ["x/shard_00/b", "x/shard_01/a"]
+    with pytest.raises(Exception, match="no path of shard 2"):
+        tables.first_path_per_shard(lines, 3).collect()

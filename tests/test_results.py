@@ -101,3 +101,11 @@ def test_corpus_names(tmp_path):
     for names, context in (("c", 256), ("", 512), (str(tmp_path / "z.jsonl"), 256)):
         with pytest.raises(FileNotFoundError):
             bake.resolve_corpora(names, str(tmp_path), context)
+
+
+def test_arithmetic_draws(spark):
+    g = np.random.default_rng(0)
+    starts, steps = g.integers(0, 256, 5, dtype=np.uint8), g.integers(0, 256, 5, dtype=np.uint8)
+    got = bake.arithmetic(spark, 5, 9).orderBy("number").collect()
+    for r, a, b in zip(got, starts.tolist(), steps.tolist()):
+        assert bytes(r.payload) == bytes((a + b * j) % 256 for j in range(9))
