@@ -412,12 +412,29 @@ def program_table(t):
     return spark.createDataFrame([(i, bytearray(p.encode())) for i, p in enumerate(PROGRAMS)], "id long, program binary")
 
 
-@query("id:i code:s n_written:i steps:i output:s")
+# What they write, read off step by step: two count up by 2 and 3, one repeats its byte.
+_COUNT = "(SELECT string_agg(format('{{:02x}}', (1 + {a} + {b} * i) % 256), '' ORDER BY i) FROM range({n}) r(i))"
+_RUNS = [
+    ("+[.++]", 64, 255, _COUNT.format(a=0, b=2, n=64)),
+    ("++[.+++]", 64, 319, _COUNT.format(a=1, b=3, n=64)),
+    ("[-]++++++++++++++++[.-]", 16, 66, "'100f0e0d0c0b0a090807060504030201'"),
+    ("+++++[>+++<-]>.", 1, 43, "'0f'"),
+    ("]][[.+.", 2, 7, "'0001'"),
+    ("[-]++++++++++++++++>+++[<.>-]", 3, 37, "'101010'"),
+    ("+.>+.<[.>.<]", 64, 160, "repeat('01', 64)"),
+    ("[->+<][->+>+<<][[-]>+<][>][<][.>][->+++<][-<->][-].", 1, 10, "'00'"),
+    (",.,.,.", 3, 6, "'f390f3'"),  # the draws of its id
+    ("xyz", 0, 3, "''"),
+    ("", 0, 0, "''"),
+]
+
+
+@query("id:i code:s n_written:i steps:i output:s", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', {n}, {steps}, {out})" for i, (c, n, steps, out) in enumerate(_RUNS)) + ") v(id, code, n_written, steps, output)")
 def vm_run(t):
     return programs.run(program_table(t), output_length=64).withColumn("output", F.lower(F.hex("output")))
 
 
-@query("id:i size:i head:s n_written:i")
+@query("id:i size:i head:s n_written:i", "SELECT id, 256 AS size, rpad('4f' || output, 32, '0')[1:32] AS head, n_written FROM (VALUES " + ", ".join(f"({i}, {out.replace('range(64)', 'range(255)')}, {({0: 255, 1: 170, 6: 255}).get(i, n)})" for i, (_, n, _, out) in enumerate(_RUNS)) + ") v(id, output, n_written)")
 def vm_training_rows(t):
     rows = programs.training_rows(programs.run(program_table(t), output_length=255), 256)
     return rows.select("id", F.octet_length("row").alias("size"), F.lower(F.hex(F.expr("substring(row, 1, 16)"))).alias("head"), "n_written")
@@ -440,7 +457,19 @@ def finite_difference_orders(t):
     return tapes(t).select("id", detect.polynomial_order("tape").alias("degree"))
 
 
-@query("id:i family:s start_offset:i period:i params:s")
+_FAMILIES = f"""{_TAPES}, t AS (SELECT id % 4 AS k, p_size, any_value(tape) AS tape FROM f JOIN part ON id = p_partkey GROUP BY ALL),
+a AS (SELECT *, {_D.format(n=400, x="tape")} AS d1 FROM t), b AS (SELECT *, {_D.format(n=399, x="d1")} AS d2 FROM a), c AS (SELECT *, {_D.format(n=398, x="d2")} AS d3 FROM b), d AS (SELECT *, {_D.format(n=397, x="d3")} AS d4 FROM c),
+g AS (SELECT k, p_size, tape, r, list_transform(range(1, 400), lambda i: ((tape[i + 1] - r * tape[i]) % 256 + 256) % 256) AS res FROM d, range(256) x(r)),
+m AS (SELECT k, p_size, 'arithmetic' AS family, tape, d2 AS res, concat('{{"diffs": [', d1[31], ']}}') AS params FROM d WHERE list_sum(d2[31:]) = 0
+UNION ALL SELECT k, p_size, 'quadratic', tape, d3, concat('{{"diffs": [', d1[31], ', ', d2[31], ']}}') FROM d WHERE list_sum(d3[31:]) = 0 AND list_sum(d2[31:]) > 0
+UNION ALL SELECT k, p_size, 'cubic', tape, d4, concat('{{"diffs": [', d1[31], ', ', d2[31], ', ', d3[31], ']}}') FROM d WHERE list_sum(d4[31:]) = 0 AND list_sum(d3[31:]) > 0
+UNION ALL SELECT k, p_size, 'fibonacci', tape, res, '{{}}' FROM (SELECT *, list_transform(range(1, 399), lambda i: ((tape[i + 2] - tape[i + 1] - tape[i]) % 256 + 256) % 256) AS res FROM d) WHERE list_sum(res[31:]) = 0
+UNION ALL SELECT k, p_size, 'geometric', any_value(tape), arg_min(res, r), concat('{{"ratio": ', min(r), '}}') FROM g WHERE list_sum(res[31:]) = 0 GROUP BY k, p_size),
+o AS (SELECT *, list_min(list_filter(range(31), lambda s: list_sum(res[s + 1:]) = 0)) AS start FROM m), x AS (SELECT *, tape[start + 1:] AS x FROM o),
+p AS (SELECT *, coalesce(list_min(list_filter(range(1, len(x)), lambda s: x[s + 1:] = x[:len(x) - s])), len(x)) AS period FROM x)"""
+
+
+@query("id:i family:s start_offset:i period:i params:s", f"{_FAMILIES} SELECT p_partkey AS id, family, start AS start_offset, period, params FROM p JOIN part ON p_partkey % 4 = k AND part.p_size = p.p_size WHERE period >= 30")
 def detect_families(t):
     return detect.scan(tapes(t))
 
