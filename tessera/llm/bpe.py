@@ -54,6 +54,8 @@ class ByteBpe:
         plain = model["type"] == "BPE" and pre["type"] == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
         plain = plain and not spec.get("normalizer") and not model.get("dropout") and not model.get("ignore_merges") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
         merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        # added tokens are found as they stand: one that takes spaces, or whole words alone, would be another encoding
+        plain = plain and not any(t.get(flag) for t in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word"))
         if not plain or merged != sorted(set(merged)):
             raise ValueError(f"{path} isn't plain byte-level BPE whose ids follow its merges")
         byte = _byte_of_char()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -21,7 +22,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or the
-    context's own; only where neither is set (tests on one machine) a temporary one."""
+    context's own. Where neither is set, a temporary one in local mode; on a cluster an error,
+    for no folder of one machine would do."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
@@ -30,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if current is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir names the folder that driver and executors share; it isn't set")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")
@@ -60,8 +64,11 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 
 def unstash(df: DataFrame) -> None:
-    """Delete what :func:`stash` wrote; nothing may read it any more."""
+    """Delete what :func:`stash` wrote, or the tables (``_stashes``) that a frame is made of;
+    nothing may read them any more."""
     path = getattr(df, "_stash_path", None)
+    for part in getattr(df, "_stashes", ()):
+        unstash(part)
     if path:
         spark = df.sparkSession
         jvm = spark.sparkContext._jvm

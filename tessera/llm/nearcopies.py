@@ -284,6 +284,7 @@ def near_copy_groups(docs: DataFrame, words: int = 5, least: float = LEAST) -> D
     unstash(found)
     near = simhash.links(own.select("fp"))
     label = components(near.unionByName(same).unionByName(_alike(_leader_pairs(classes), classes, least)))
+    unstash(near)
     of = label.withColumnRenamed("node", "label_of")
     met = _indexed_pairs(classes, of, least)
     if not met.isEmpty():

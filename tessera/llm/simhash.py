@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textkern as K
-from tessera.llm.common import pick, prepare, slices, stash
+from tessera.llm.common import pick, prepare, slices, stash, unstash
 from tessera.llm.components import components
 
 BITS = 3
@@ -258,10 +258,11 @@ def links(fps: DataFrame, run_cap: int = RUN_CAP) -> DataFrame:
 
     first = find(_variants(fps), 1, run_cap)
     over = first.where("over")
-    edges = first.where("not over").select("a", "b")
+    edges, tables = first.where("not over").select("a", "b"), [first]
     if not over.isEmpty():
         second = find(_variants_again(over).distinct(), 2, 1 << 62)
-        edges = edges.unionByName(second.select("a", "b"))
+        edges, tables = edges.unionByName(second.select("a", "b")), [first, second]
+    edges._stashes = tables
     return edges
 
 
@@ -270,7 +271,9 @@ def near_groups(docs: DataFrame, words: int = 3, run_cap: int = RUN_CAP) -> Data
     that links lead to. The fingerprints are stashed, links and labels stay distributed."""
     rows = stash(with_fingerprint(docs, words), "fingerprints")
     own = rows.groupBy("fp").agg(F.min("doc_id").alias("own"))
-    label = components(links(own.select("fp"), run_cap))
+    near = links(own.select("fp"), run_cap)
+    label = components(near)
+    unstash(near)
     named = own.join(label, own.fp == label.node, "left").select("fp", "own", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("own").alias("component_id"))
     by_fp = named.join(least, "label").select("fp", "component_id")

@@ -275,5 +275,5 @@ def pack_best_fit(docs: DataFrame, capacity: int = CAPACITY, end_id: int | None
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """The packed matrices as Parquet: a row group is a block of the id matrix."""
+    """The packed matrices as Parquet files, one row for each sequence."""
     packed.write.parquet(path)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_rows, prepare, stash
+from tessera.llm.common import arrow_rows, prepare, stash, unstash
 
 BLOCK = 8192
 QUERIES = 512
@@ -125,7 +125,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE
     prepare(spark)
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
     clean = lambda df: df.select(df["vec_id"].cast("long").alias("vec_id"), df["embedding"].alias("embedding")).where(F.col("embedding").isNotNull() & finite)
-    ask = stash(clean(queries).where("vec_id is not null").distinct().withColumn("number", F.monotonically_increasing_id()), "queries")
+    asked = ask = stash(clean(queries).where("vec_id is not null").distinct().withColumn("number", F.monotonically_increasing_id()), "queries")
     have = clean(vectors)
     n_have, n_ask = have.count(), ask.count()
     blocks, query_blocks = max(1, -(-n_have // block)), max(1, -(-n_ask // query_block))
@@ -166,6 +166,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE
         return arrow_rows(schema, *found)
 
     near = stash(have.groupBy("block", "group").cogroup(ask.groupBy("block", "group")).applyInArrow(best, schema), "near")
+    unstash(asked)
     order = Window.partitionBy("query_id", "number").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

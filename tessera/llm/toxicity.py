@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, prepare, slices, stash
+from tessera.llm.common import pick, prepare, slices, stash, unstash
 
 MOST_TOXIC = 3000
 MOST_CLEAN = 6000
@@ -317,6 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
+        unstash(sample)
         return Grammar(seeds)
     least = max(3, toxic // 500)
     have = _count(sample.where("toxic = 1"), None, least)
@@ -350,6 +351,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     got = sample.select("text", "toxic").mapInArrow(run, "x array<double>, toxic int").groupBy("x", "toxic").count().collect()
     x = np.repeat([r.x for r in got], [r["count"] for r in got], axis=0)
     y = np.repeat([float(r.toxic) for r in got], [r["count"] for r in got])
+    unstash(sample)
     grammar.weights = fit_weights(x, y)
     return grammar
 

@@ -175,3 +175,42 @@ def test_pack_best_fit_is_lossless(spark, lib, tmp_path):
         got = [x for k in sorted(parts[i if i else None]) for x in parts[i if i else None][k][1]]
         assert got == [*lib.encode(t or "", add_special_tokens=False).ids, 50256]
     assert tokens.pack_best_fit(docs.limit(0)).count() == 0
+
+
+def test_buffer_is_packed_as_plain_best_fit_decreasing(spark, lib):
+    """One task and one buffer: what is left in the bins is what a plain search for the tightest leaves."""
+    rng = np.random.default_rng(11)
+    words = ["alpha", "beta", "gamma", "delta"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 150))) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    lengths = []
+    for t in texts:
+        n = len(lib.encode(t, add_special_tokens=False).ids) + 1
+        lengths += [min(256, n - s) for s in range(0, n, 256)]
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fit = [(r, b) for b, r in enumerate(rooms) if r >= n]
+        if fit:
+            rooms[min(fit)[1]] -= n
+        else:
+            rooms.append(256 - n)
+    assert sorted(256 - r.n_tokens for r in tokens.pack_best_fit(docs, 256).collect()) == sorted(rooms)
+
+
+def test_packers_with_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "one two", "p", 5, 7)] * 3 + [(2, None, "q", 6, 8), (None, "three", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, length int, sequence_id int")
+    packed = tokens.pack_best_fit(docs).collect()
+    assert sorted(str(d) for r in packed for d in r.doc_ids) == ["1", "1", "1", "2", "None"]
+    slack = tokens.pack_minimum_slack(tokens.document_pieces(docs)).collect()
+    assert sorted(str(r.doc_id) for r in slack) == ["1", "1", "1", "2", "None"] and len({(r.sequence_id, r.offset) for r in slack}) == 5
+
+
+@pytest.mark.parametrize("flag", ["lstrip", "rstrip", "single_word"])
+def test_added_tokens_of_another_kind_are_refused(tmp_path, flag):
+    with open(B.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"][0][flag] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="plain"):
+        B.ByteBpe(str(tmp_path / "t.json"))
