@@ -6,33 +6,35 @@ The number of rounds grows with the logarithm of a component's diameter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stash, unstash
 
 
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a table, and their number and sum of hashes, taken while they are written."""
+    seen = Observation()
+    table = stash(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "links")
+    return table, (seen.get["n"], seen.get["h"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """``links`` has two long columns ``a`` and ``b``; returns ``node, label``: every
     node that has a link, and the smallest node of its component. Self-links and
     repeated links are harmless; an empty table gives an empty result."""
-    e = stash(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = _state(e)
+    e, seen = _written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while seen[0]:
         # large star: every larger neighbour of u is linked to u's smallest neighbour (or u)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: u and its smaller neighbours are linked to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = stash(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        new, after = _written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         unstash(e)
-        e, before = new, seen
-        if (seen := _state(e)) == before:
+        e, before, seen = new, seen, after
+        if seen == before:
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
