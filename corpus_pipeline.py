@@ -44,7 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = nearcopies.near_copy_groups(docs, words=5)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"))
     # an id whose rows have one fingerprint is in one group; that of others only the fingerprint tells
-    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.max("fp").alias("last"), F.min("component_id").alias("component_id"))
+    ids = stash(groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.max("fp").alias("last"), F.min("component_id").alias("component_id")), "ids")
     keep = ids.where("fp = last and component_id = doc_id").select("doc_id")
     several = ids.where("fp <> last").select(F.col("doc_id").alias("id"))
     named = rows.join(keep, rows.id == keep.doc_id, "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))

@@ -276,9 +276,10 @@ def near_copy_groups(docs: DataFrame, words: int = 5, least: float = LEAST) -> D
     rows = stash(with_names(docs, words), "names")
     own = rows.groupBy("fp").agg(F.min("doc_id").alias("own"))
     # a class stands for its smallest fingerprint, and equal sets of other fingerprints link to it
-    every = rows.where("n > 0").select("sk", "fp").distinct()
-    node = every.groupBy("sk").agg(F.min("fp").alias("node"))
-    same = every.join(node, "sk").where("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
+    sets = rows.where("n > 0")
+    ends = stash(sets.groupBy("sk").agg(F.min("fp").alias("node"), F.max("fp").alias("last")), "nodes")
+    node = ends.select("sk", "node")
+    same = sets.join(ends.where("node <> last"), "sk").where("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
     found = stash(candidates(docs, words, least), "candidates")
     classes = stash(found.join(node, "sk"), "classes")
     unstash(found)
@@ -299,6 +300,6 @@ def near_copy_groups(docs: DataFrame, words: int = 5, least: float = LEAST) -> D
     named = own.join(label, own.fp == label.node, "left").select("fp", "own", F.coalesce("label", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("own").alias("component_id"))
     out = stash(rows.join(named.select("fp", "label").join(smallest, "label"), "fp").select("doc_id", "fp", "component_id", "label"), "groups")
-    for x in (rows, classes, met):
+    for x in (rows, ends, classes, met):
         unstash(x)
     return out
