@@ -18,6 +18,13 @@ def window_of(context_length: int) -> int:
     return context_length - 1
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows dealt over tasks, where few files or row groups would leave the work that
+    follows to a few of them. A number is given, since small partitions would be joined again."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
+
+
 def chunk(df: DataFrame, window: int, raw: str = "raw") -> DataFrame:
     """Consecutive whole windows of each row's bytes; a short tail is dropped. ``raw`` is
     replaced by ``idx`` and ``payload``."""

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tessera import streaming
 from tessera.functions import signal, text
 from tessera.operators import curves, detect, export, frontier, probes, programs, results, scoring, windows
+from tessera.plans import catalog
 from tessera.sources import archives, tables
 
 
@@ -81,6 +82,19 @@ def test_min_period(x):
     assert detect.min_period(np.array(x)) == next(p for p in range(1, len(x) + 1) if all(x[i] == x[i + p] for i in range(len(x) - p)))
 
 
+def test_periods_of_rows_whose_sums_agree():
+    """Halves of a Thue-Morse sequence of 2,048 have the same sum modulo 2^64, whatever the odd base."""
+    morse = np.array([bin(i).count("1") % 2 for i in range(4096)])
+    rows = np.stack((morse, np.tile([1, 2], 2048), np.arange(4096)))
+    want = [next(p for p in range(1, 4097) if (x[p:] == x[: 4096 - p]).all()) for x in rows]
+    assert detect.min_periods(rows).tolist() == want
+
+
+def test_tapes_are_dealt_over_tasks(spark):
+    t = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    assert catalog.tapes(t).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_scan_skips_what_cannot_be_read(spark):
     good = json.dumps([(3 * i + 1) % 256 for i in range(300)])
     df = spark.createDataFrame([(1, good), (2, "no"), (3, None), (4, "[1, null]")], "id long, tape string")
