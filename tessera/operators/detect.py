@@ -162,14 +162,23 @@ def scan(tapes: DataFrame) -> DataFrame:
     return base.mapInArrow(run, "id long, " + HIT)
 
 
-def polynomial_order(column: str):
-    """1, 2 or 3 for the lowest order of constant differences modulo 256; null if none."""
-    d = f"`{column}`"
-    orders = []
-    for _ in range(3):
-        d = f"zip_with(slice({d}, 2, size({d}) - 1), slice({d}, 1, size({d}) - 1), (a, b) -> pmod(a - b, 256))"
-        orders.append(f"size(array_distinct({d})) = 1")
-    return F.expr("case " + " ".join(f"when {o} then {k}" for k, o in enumerate(orders, 1)) + " end")
+def polynomial_orders(tapes: DataFrame) -> DataFrame:
+    """``id, tape`` to ``id, degree``: 1, 2 or 3 for the lowest order of constant differences
+    modulo 256; null if none, or where a value is null."""
+
+    def run(batches):
+        for b in batches:
+            degree = np.zeros(b.num_rows, np.int32)
+            for some, matrix in _by_length(b.column(1)):
+                left = np.arange(len(some))
+                for order in (1, 2, 3):
+                    matrix = differences(matrix, 1)
+                    constant = (matrix == matrix[:, :1]).all(axis=1) & (matrix.shape[1] > 0)
+                    degree[some[left[constant]]] = order
+                    left, matrix = left[~constant], matrix[~constant]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(degree, mask=degree == 0)], ["id", "degree"])
+
+    return tapes.select(F.col("id").cast("long"), F.col("tape").cast("array<int>")).mapInArrow(run, "id long, degree int")
 
 
 def first_discovery(hits: DataFrame, rungs: DataFrame) -> DataFrame:

@@ -101,6 +101,13 @@ def test_scan_skips_what_cannot_be_read(spark):
     assert [(r.id, r.family, json.loads(r.params)) for r in detect.scan(df).collect()] == [(1, "arithmetic", {"diffs": [3]})]
 
 
+def test_orders_of_short_and_broken_tapes(spark):
+    n = range(9)
+    rows = [(0, []), (1, [5]), (2, [5, 7]), (3, [i * i for i in n]), (4, [i**3 % 256 for i in n]), (5, [i**4 % 256 for i in n]), (6, None), (7, [None] * 9), (8, [250, 4, 14])]
+    got = detect.polynomial_orders(spark.createDataFrame(rows, "id long, tape array<int>")).collect()
+    assert dict(map(tuple, got)) == {0: None, 1: None, 2: 1, 3: 2, 4: 3, 5: None, 6: None, 7: None, 8: 1}
+
+
 def test_poisson_interval():
     for k, lo, hi in ((0, 0.0, 3.688879454), (1, 0.02531780798, 5.571643390), (10, 4.795389, 18.39036)):
         a, b = detect.poisson_interval(k)
