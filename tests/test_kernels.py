@@ -108,6 +108,13 @@ def test_orders_of_short_and_broken_tapes(spark):
     assert dict(map(tuple, got)) == {0: None, 1: None, 2: 1, 3: 2, 4: 3, 5: None, 6: None, 7: None, 8: 1}
 
 
+def test_bytes_are_decoded_once(spark):
+    df = spark.createDataFrame([(bytearray(range(256)),), (bytearray(),), (None,)], "raw binary").select(windows.bytes_of("raw").alias("v"))
+    assert [r.v for r in df.collect()] == [list(range(256)), [], None]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert "decode" in plan.lower() and "decode" not in plan[plan.index("lambdafunction") :].lower()
+
+
 def test_poisson_interval():
     for k, lo, hi in ((0, 0.0, 3.688879454), (1, 0.02531780798, 5.571643390), (10, 4.795389, 18.39036)):
         a, b = detect.poisson_interval(k)
