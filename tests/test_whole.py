@@ -37,7 +37,7 @@ def test_families_are_looked_for_in_all_parts(spark):
     assert catalog.QUERIES["detect_families"](spark, SF).agg({"id": "max"}).first()[0] >= 200
 
 
-@pytest.mark.parametrize("name", ["skyline_melody", "melody_to_notes"])
+@pytest.mark.parametrize("name", ["skyline_melody", "melody_to_notes", "melody_token_stats"])
 def test_notes_of_large_ids_equal_sql(spark, tmp_path, name):
     """Of one pitch, the note that starts a tick earlier has an id three million higher and ends earlier."""
     pq.write_table(pa.table({"event_id": [1401, 1400 + 76 * 40_000], "user_id": [1, 1], "value": [60.0, 60.0]}), tmp_path / "events.parquet")
